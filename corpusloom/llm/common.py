@@ -148,3 +148,30 @@ def components(edges: DataFrame) -> DataFrame:
         m = m.select(F.col("u").alias("k"), F.col("p").alias("pp"))
         out = out.join(m, out.component == m.k, "left").select("node", F.coalesce("pp", "component").alias("component"))
     return out
+
+
+class BitFilter:
+    """A set of 64-bit values as at most 2**most bits: answers "no" surely and "yes" probably.
+
+    Its size has a fixed bound, so it may be broadcast whatever the input; a full filter only lets more rows through
+    to the exact join that follows.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+
+    @classmethod
+    def build(cls, values: DataFrame, count: int, most: int = 26) -> BitFilter:
+        """values: one long column; count: about how many."""
+        bits = min(most, max(16, (16 * max(count, 1)).bit_length()))
+        x = F.col(values.columns[0])
+        place = x.bitwiseAND(F.lit((1 << bits) - 1))
+        words = values.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, CAST({values.columns[0]} & 63 AS INT))").alias("b"))
+        out = np.zeros(1 << (bits - 6), np.uint64)
+        pdf = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2**(most - 6) rows
+        out[pdf["w"].to_numpy(np.int64)] = pdf["b"].to_numpy(np.int64).view(np.uint64)
+        return cls(out)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        at = values.astype(np.uint64) & self.mask
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
