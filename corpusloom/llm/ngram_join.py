@@ -14,6 +14,7 @@ repeated rows and ties get the smallest id of their group; an empty table gives
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BLOCK = 1500
 #: Tokens counted exactly for the rarity order: at most this many, those above an equal share of all occurrences.
 FREQUENT = 100_000
+#: Hashed cells that count the other tokens.
+CELLS = 1 << 20
 
 
 class Measure:
@@ -152,18 +155,34 @@ def _sets_of(docs: DataFrame, text: str, n: int, wanted: BitFilter) -> DataFrame
 
 
 class Rarity:
-    """A total order of tokens: exact counts of frequent ones after all others, ties by the token."""
+    """A total order of tokens, the rarest first: exact counts of frequent tokens after counts of hashed cells of others.
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+    Any total order gives the same links; this one is of fixed size (FREQUENT tokens and CELLS cells) and keeps tokens
+    that many sets share out of the prefixes. Ties go by the token.
+    """
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, cells: np.ndarray):
         order = np.argsort(tokens)
-        self.tokens, self.counts = tokens[order], counts[order]
+        self.tokens, self.counts, self.cells = tokens[order], counts[order], cells
+
+    @classmethod
+    def count(cls, tokens: DataFrame) -> Rarity:
+        """Of the one column `token`, with repetition."""
+        seen = materialize(tokens.groupBy("token").count(), "token-counts")
+        total = seen.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+        most = max(2, total // FREQUENT)
+        often = seen.where(F.col("count") > most).toPandas()  # at most FREQUENT rows
+        rest = seen.where(F.col("count").between(2, most)).groupBy(F.col("token").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.sum("count").alias("n")).toPandas()  # at most CELLS rows
+        cells = np.zeros(CELLS, np.int32)
+        cells[rest["cell"].to_numpy(np.int64)] = np.minimum(rest["n"].to_numpy(np.int64), most)
+        return cls(often["token"].to_numpy(np.int64), often["count"].to_numpy(np.int64), cells)
 
     def order(self, tokens: np.ndarray) -> np.ndarray:
         """Places that sort tokens, the rarest first."""
-        count = np.zeros(len(tokens), np.int64)
+        count = self.cells[tokens & (CELLS - 1)].astype(np.int64)
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            count = np.where(self.tokens[at] == tokens, self.counts[at], 0)
+            count = np.where(self.tokens[at] == tokens, self.counts[at], count)
         return np.lexsort((tokens, count))
 
 
@@ -216,31 +235,52 @@ class Trie:
         return (low, high, depth, end, [self._node(x, y, end) for x, y in children] if len(children) > 0 else [], int(n.min()), int(n.max()))
 
     def join(self) -> None:
-        """Labels sets by the components of their links; sets in one component aren't compared again."""
+        """Labels sets by the components of their links; sets in one component aren't compared again.
+
+        A set's candidates are the sets before it that share a token of both necessary prefixes and fit in size; only
+        subtrees with candidates are visited.
+        """
+        prefix = [s[: self.measure.spare(len(s)) + 1] for s in self.sets]
+        owner = np.repeat(np.arange(len(prefix)), [len(p) for p in prefix])
+        order = np.argsort(np.concatenate(prefix), kind="stable")  # owners of a token stay in order
+        token = np.concatenate(prefix)[order]
+        first = np.concatenate([[True], token[1:] != token[:-1]])
+        begin = np.empty(len(order), np.int64)
+        begin[order] = np.flatnonzero(first)[np.cumsum(first) - 1]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        owners = owner[order]
+        at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
+        least = self.measure.least(self.n)
         for i, x in enumerate(self.sets):
-            if len(x):
+            low, n = begin[at[i] : at[i + 1]], (place - begin)[at[i] : at[i + 1]]
+            if not n.sum():
+                continue
+            near = np.unique(owners[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())])
+            near = near[(self.labels[near] != self.labels[i]) & (self.n[near] >= least[i]) & (least[near] <= self.n[i])]
+            if len(near):
                 self.mark[x] = True
-                self._visit(i, x)
+                self._visit(i, x, near.tolist())
                 self.mark[x] = False
 
-    def _visit(self, i: int, x: np.ndarray) -> None:
-        percent, size, todo = self.measure.percent, len(x), [(self.root, 0)]
+    def _visit(self, i: int, x: np.ndarray, near: list[int]) -> None:
+        percent, size, labels, todo = self.measure.percent, len(x), self.labels, [(self.root, 0, 0, len(near))]
         while todo:
-            (low, high, depth, end, children, least, most), overlap = todo.pop()
-            if low >= i or (self.labels[low : min(high, i)] == self.labels[i]).all():
-                continue  # only sets before i, and only other components
+            (low, high, depth, end, children, least, most), overlap, a, b = todo.pop()
+            a, b = bisect_left(near, low, a, b), bisect_left(near, high, a, b)
+            if a == b or (b - a == 1 and labels[near[a]] == labels[i]):
+                continue  # no candidate below
             part = self.sets[low][depth:end]
-            overlap += int(self.mark[part].sum())
-            rest = size - int(np.searchsorted(x, part[-1], "right")) if len(part) else size - overlap
+            overlap += int(np.count_nonzero(self.mark[part]))
+            rest = size - int(x.searchsorted(part[-1], "right")) if len(part) else size
             if (100 + percent) * (overlap + min(rest, most - end)) < percent * (size + least):
                 continue
-            for j in range(low, min(high, i)):  # sets that end at this node
-                if len(self.sets[j]) != end:
-                    break
-                if self.measure.links(overlap, size, end) and self.labels[j] != self.labels[i]:
-                    a, b = sorted((self.labels[i], self.labels[j]))
-                    self.labels[self.labels == b] = a
-            todo += [(c, overlap) for c in reversed(children)]
+            while a < b and self.n[near[a]] == end:  # candidates that end at this node
+                if self.measure.links(overlap, size, end) and labels[near[a]] != labels[i]:
+                    one, other = sorted((labels[i], labels[near[a]]))
+                    labels[labels == other] = one
+                a += 1
+            todo += [(c, overlap, a, b) for c in reversed(children)]
 
     def links(self) -> list[tuple[int, int]]:
         """A forest of the links by the sets' places: (set, first set of its component)."""
@@ -267,10 +307,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, text: str, n: int, meas
     wanted = BitFilter.build(alive.select("s1"), alive.count())
     sets = _sets_of(docs, text, n, wanted).join(alive, ["s1", "s2"]).dropDuplicates(["rep"]).select("rep", "n", "tokens")
     sets = materialize(sets, "sets")
-    seen = sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = seen.where(F.col("count") > F.lit(max(2, total // FREQUENT))).toPandas()  # at most FREQUENT rows
-    rarity = spark.sparkContext.broadcast(Rarity(often["token"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+    rarity = spark.sparkContext.broadcast(Rarity.count(sets.select(F.explode("tokens").alias("token"))))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
