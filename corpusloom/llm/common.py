@@ -168,8 +168,8 @@ class BitFilter:
         place = x.bitwiseAND(F.lit((1 << bits) - 1))
         words = values.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, CAST({values.columns[0]} & 63 AS INT))").alias("b"))
         out = np.zeros(1 << (bits - 6), np.uint64)
-        pdf = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2**(most - 6) rows
-        out[pdf["w"].to_numpy(np.int64)] = pdf["b"].to_numpy(np.int64).view(np.uint64)
+        got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2**(most - 6) rows
+        out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
         return cls(out)
 
     def has(self, values: np.ndarray) -> np.ndarray:

@@ -171,11 +171,11 @@ class Rarity:
         seen = materialize(tokens.groupBy("token").count(), "token-counts")
         total = seen.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
         most = max(2, total // FREQUENT)
-        often = seen.where(F.col("count") > most).toPandas()  # at most FREQUENT rows
-        rest = seen.where(F.col("count").between(2, most)).groupBy(F.col("token").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.sum("count").alias("n")).toPandas()  # at most CELLS rows
+        often = seen.where(F.col("count") > most).toArrow()  # at most FREQUENT rows
+        rest = seen.where(F.col("count").between(2, most)).groupBy(F.col("token").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.sum("count").alias("n")).toArrow()  # at most CELLS rows
         cells = np.zeros(CELLS, np.int32)
-        cells[rest["cell"].to_numpy(np.int64)] = np.minimum(rest["n"].to_numpy(np.int64), most)
-        return cls(often["token"].to_numpy(np.int64), often["count"].to_numpy(np.int64), cells)
+        cells[rest.column("cell").to_numpy()] = np.minimum(rest.column("n").to_numpy(), most)
+        return cls(often.column("token").to_numpy(), often.column("count").to_numpy(), cells)
 
     def order(self, tokens: np.ndarray) -> np.ndarray:
         """Places that sort tokens, the rarest first."""
