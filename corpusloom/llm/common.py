@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import scratch_path
+
 #: Rows of an Arrow batch that goes to a Python worker; keeps a batch of long texts small.
 BATCH_ROWS = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,19 +29,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
