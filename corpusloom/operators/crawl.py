@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from corpusloom.sources.scratch import shared_folder
+
 HIDDEN = {"script", "style", "nav", "footer"}
 
 
@@ -105,6 +107,7 @@ def reachable(link: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
 
     Rounds are checkpointed, so plans don't grow with depth.
     """
+    shared_folder(link.sparkSession)  # checkpoints need one
     link = link.distinct()
     seen = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
     front = seen

@@ -12,6 +12,7 @@ from corpusloom.plans import tables as tb
 from corpusloom.plans.corpus_queries import feedback, index_docs
 from corpusloom.plans.graph_queries import GAZETTEER
 from corpusloom.plans.registry import query
+from corpusloom.sources.scratch import scratch_path
 from corpusloom.streaming import jobs
 
 # ---- retrieval
@@ -269,30 +270,25 @@ def v5(spark, d):
 # ---- streams
 
 
-def _scratch(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
-
-
 @query("X1", f"WITH {_FB} SELECT strftime(ts, '%Y-%m-%d') AS day, type, count(*) AS n FROM fb GROUP BY ALL")
 def x1(spark, d):
     """The feedback log as a stream; replayed to the end, its counts are those of the batch."""
-    folder = _scratch(spark, "feedback-log")
+    folder = scratch_path(spark, "feedback-log")
     feedback(spark, d).select("timestamp", "type").repartition(4).write.parquet(folder)
     stream = spark.readStream.schema("timestamp timestamp_ntz, type string").option("maxFilesPerTrigger", 2).parquet(folder)
     name = f"feedback_{uuid.uuid4().hex}"
-    jobs.run_available(jobs.daily_feedback(stream), name, _scratch(spark, "checkpoint"), "complete").awaitTermination()
+    jobs.run_available(jobs.daily_feedback(stream), name, scratch_path(spark, "checkpoint"), "complete").awaitTermination()
     return spark.table(name).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "type", "n")
 
 
 @query("X2", "SELECT id, text FROM (SELECT source AS id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM (SELECT source, doc_id, 'c' || n_chars AS text FROM documents)) WHERE r = 1")
 def x2(spark, d):
     """Documents streamed into an index, the last one of each source winning; the replay equals the batch."""
-    folder, index = _scratch(spark, "incoming"), _scratch(spark, "index")
+    folder, index = scratch_path(spark, "incoming"), scratch_path(spark, "index")
     docs = tb.table(spark, d, "documents").select(F.col("source").alias("id"), F.col("doc_id").alias("version"), F.concat(F.lit("c"), F.col("n_chars").cast("string")).alias("text"))
     docs.repartition(4).write.parquet(folder)
     stream = spark.readStream.schema("id string, version long, text string").option("maxFilesPerTrigger", 2).parquet(folder)
-    jobs.ingest(stream, index, _scratch(spark, "checkpoint"), lambda b: b.withColumn("text", tx.normalize_whitespace(F.col("text")))).awaitTermination()
+    jobs.ingest(stream, index, scratch_path(spark, "checkpoint"), lambda b: b.withColumn("text", tx.normalize_whitespace(F.col("text")))).awaitTermination()
     return jobs.read_index(spark, index).select("id", "text")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -11,6 +9,7 @@ from corpusloom.operators import chunks, crawl, documents, language
 from corpusloom.plans import tables as tb
 from corpusloom.plans.registry import query
 from corpusloom.sources import files
+from corpusloom.sources.scratch import scratch_path
 
 # ---- sources and sinks
 
@@ -24,15 +23,10 @@ def _page_docs(spark, d):
     return tb.table(spark, d, "pages").select("page_id", F.col("url").alias("source_url"), F.lit("text/html").alias("content_type"), F.col("html").alias("text"), meta.alias("metadata"))
 
 
-def _folder(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
-
-
 @query("S1")
 def s1(spark, d):
     """Documents written as a tree of JSON files and read back with their paths."""
-    folder = _folder(spark, "tree")
+    folder = scratch_path(spark, "tree")
     _page_docs(spark, d).select(*PAGES_AS_DOCS).repartition(8).write.partitionBy("content_type").json(folder)
     return spark.read.schema(files.DOCUMENT).option("recursiveFileLookup", True).json(folder).select("source_url", F.length("text").alias("n_chars"), F.col("metadata")["host"].alias("host"))
 
@@ -40,7 +34,7 @@ def s1(spark, d):
 @query("S2")
 def s2(spark, d):
     """Documents parted by kind; the sink's folders read back."""
-    folder = _folder(spark, "kinds")
+    folder = scratch_path(spark, "kinds")
     files.write_documents(_page_docs(spark, d).select("source_url", "content_type", "text"), folder)
     return spark.read.option("basePath", folder).schema("source_url string, text string, kind string").json(folder).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -48,7 +42,7 @@ def s2(spark, d):
 @query("S3")
 def s3(spark, d):
     """A curated knowledge base: benchmark items written as JSON and read with the fixed schema."""
-    folder = _folder(spark, "curated")
+    folder = scratch_path(spark, "curated")
     b = tb.table(spark, d, "benchmark")
     b.select(F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("id"), "text", F.lit("curated").alias("type"), F.lit("general").alias("category")).write.json(folder)
     return spark.read.schema(files.CURATED).json(folder)
@@ -57,7 +51,7 @@ def s3(spark, d):
 @query("S4")
 def s4(spark, d):
     """Labelled examples nested under one key, unnested."""
-    folder = _folder(spark, "examples")
+    folder = scratch_path(spark, "examples")
     rows = tb.table(spark, d, "documents").join(tb.table(spark, d, "labels"), "doc_id")
     rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct(F.col("text"), F.col("quality").cast("int").alias("label"))).alias("examples")).select("examples").write.json(folder)
     return spark.read.schema(files.EXAMPLES).json(folder).select(F.inline("examples")).groupBy("label").agg(F.count("*").alias("n"))
@@ -89,7 +83,7 @@ def feedback(spark, d):
 @query("S7")
 def s7(spark, d):
     """The feedback log written as JSON lines, with malformed lines among them, and read back."""
-    folder = _folder(spark, "log")
+    folder = scratch_path(spark, "log")
     rows = feedback(spark, d).withColumn("timestamp", F.col("timestamp").cast("string"))
     rows.select(F.to_json(F.struct("*")).alias("value")).unionByName(rows.select(F.concat(F.lit("{bad "), "message_id").alias("value"))).write.text(folder)
     return files.read_feedback(spark, folder).groupBy("type").agg(F.count("*").alias("n"))
@@ -104,7 +98,7 @@ def s8(spark, d):
 @query("S9")
 def s9(spark, d):
     """A catalog export as JSON, read back as text lines."""
-    folder = _folder(spark, "report")
+    folder = scratch_path(spark, "report")
     files.write_report(tb.nodes(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.min("name").alias("first")), folder)
     return spark.read.text(folder)
 
@@ -114,7 +108,7 @@ def s10(spark, d):
     """A generated training set of positive and negative examples, written and read back."""
     from corpusloom.operators import classify
 
-    folder = _folder(spark, "training")
+    folder = scratch_path(spark, "training")
     p = tb.provides(spark, d)
     files.write_examples(classify.positives(p, 500), classify.negatives(p.select("satellite").distinct(), tb.measures(spark, d).select("name").distinct(), 500), folder)
     return spark.read.schema("text string, label int").json(folder)
