@@ -13,6 +13,8 @@ repeated rows and ties get the smallest id of their group; an empty table gives
 
 from __future__ import annotations
 
+import hashlib
+import struct
 import sys
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -59,24 +61,29 @@ class Measure:
         return 100 * overlap >= self.percent * (a + b - overlap)
 
 
-def token_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of each text's n-grams; words are parted by ASCII blanks, A-Z are lower-cased."""
-    split = [t.encode("utf-8", "surrogatepass").translate(FOLD).split() if t else [] for t in texts]
-    hashes = word_hashes([w for ws in split for w in ws])
-    at = 0
-    for ws in split:
-        yield np.unique(shingle_hashes(hashes[at : at + len(ws)], n))
-        at += len(ws)
+def token_sets(texts: list[str | None], n: int, at_once: int = 500_000) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's n-grams; words are parted by ASCII blanks, A-Z are lower-cased.
+
+    The n-grams of many texts are hashed at once; those that would join two texts are passed over.
+    """
+    words = word_hashes([t.encode("utf-8", "surrogatepass").translate(FOLD) if t else b"" for t in texts])
+    ends = np.cumsum([len(w) for w in words])
+    low = 0
+    while low < len(words):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + at_once, "right")))
+        grams, at = shingle_hashes(np.concatenate(words[low:high]), n), 0
+        for w in words[low:high]:
+            yield np.unique(grams[at : at + len(w) - n + 1] if len(w) >= n else shingle_hashes(w, n))
+            at += len(w)
+        low = high
 
 
 def signature(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit digests of a set; (0, 0) of the empty one."""
-    with np.errstate(over="ignore"):
-        a = int((s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29))).sum(dtype=np.uint64))
-        b = int(((s ^ np.uint64(0xD6E8FEB86659FD93)) * (s | np.uint64(1))).sum(dtype=np.uint64))
-    mixed = np.array([a, b, len(s)], np.uint64)
-    out = np.array([shingle_hashes(mixed, 3)[0], shingle_hashes(mixed[::-1], 3)[0]], np.uint64).view(np.int64) if len(s) else [0, 0]
-    return int(out[0]), int(out[1])
+    if not len(s):
+        return 0, 0
+    a, b = struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+    return a, b
 
 
 def _signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
