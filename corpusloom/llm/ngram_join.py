@@ -340,7 +340,8 @@ def similar_classes(docs: DataFrame, classes: DataFrame, text: str, n: int, meas
         found = join_group(group.column("rep").to_numpy(), [x.values.to_numpy() for x in group.column("tokens")], rarity.value, measure)
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    return member.groupBy("component", "a", "b").applyInArrow(join, "u long, v long")
+    # written before components are found: one Python step a stage needs half the workers
+    return materialize(member.groupBy("component", "a", "b").applyInArrow(join, "u long, v long"), "links")
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:

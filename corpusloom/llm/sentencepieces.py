@@ -25,7 +25,7 @@ from .common import prepare, table
 
 SPACE = "▁"
 #: Stretches kept by each Python worker; only speed depends on it.
-CACHE = 300_000
+CACHE = 200_000
 #: Symbols up to which the agenda is a plain list.
 SHORT, NEVER = 40, float("inf")
 #: A stretch: optional spaces, then letters, or marks, or one digit, or one blank.
