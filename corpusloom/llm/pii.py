@@ -32,8 +32,9 @@ PATTERNS = {
 }
 #: A text without a match of these has no match of the kind either; cheaper to look for.
 HINTS = {"email": "@", "phone": "+"}
-#: Tokens that could be identifiers: five characters or more with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9_@.+-])(?=[A-Za-z_-]{0,40}+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{3,62}+[A-Za-z0-9](?![A-Za-z0-9_@-])"
+#: Tokens that could be identifiers: five characters or more with a digit, however long, without hyphens and underscores
+#: at their ends. Only the start of a run of such characters is tried, and giving back stops at the run's last letter or digit.
+CANDIDATE = r"(?<![A-Za-z0-9_@.+-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{3,}[A-Za-z0-9](?![_-]*+[A-Za-z0-9@])"
 PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 OCTETS = rf"^{PART}(?:\.{PART}){{3}}$"
 #: Rounds of scoring; smoothing of a pattern's mean; least confidence, and least different seeds behind a pattern.

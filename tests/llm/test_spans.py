@@ -66,6 +66,15 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert got[200] == got[201] == "" and got[5] == "email:16:33"
 
 
+def test_identifiers_of_any_length_are_candidates(spark):
+    ids = ["A1234", "ZX081234Q", "A-1_b", "x" * 50 + "7", "q9" * 31 + "z", "k3" * 32, "k3" * 40, "AB12345-"]
+    rows = [(i, f"Please write to user{i}@example.org today") for i in range(60)]
+    rows += [(100 + i, f"please write to {x} now") for i, x in enumerate(ids)] + [(200, "please write to A123 now"), (201, "please write to letters now"), (202, "please write to a1b2c3@ now")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + i] for i in range(len(ids))] == [f"found:16:{16 + len(x.rstrip('-'))}" for x in ids]
+    assert got[200] == got[201] == got[202] == ""
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{32,}") is True
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", (b"aki", b"kia"))
