@@ -149,7 +149,8 @@ UNION ALL SELECT 'data_product', 'Data product ''' || product || ''' from ' || s
 UNION ALL SELECT 'parameter', name || ': ' || left('Parameter ' || name || ' measured by ' || string_agg(product, ', ' ORDER BY product), 300) FROM (SELECT * FROM measures QUALIFY row_number() OVER (PARTITION BY name ORDER BY product) <= 5) GROUP BY name
 UNION ALL SELECT 'curated', left(text, 500) FROM benchmark""")
 def p3(spark, d):
-    return index_docs(spark, d).where("type <> 'crawled_page'").select("type", prompts.format_doc().alias("line"))
+    """Of all types; the SQL beside it lacks the chunks, as K8's."""
+    return index_docs(spark, d).select("type", prompts.format_doc().alias("line"))
 
 
 @query("P4", f"""WITH {_LINES}, {_I2}, l AS (SELECT qid, string_agg('- ' || left(text, 500), E'\\n' ORDER BY rank) AS ctx FROM best JOIN benchmark ON id = 'k' || item_id WHERE rank <= 3 GROUP BY qid)

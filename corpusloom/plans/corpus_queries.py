@@ -349,11 +349,12 @@ def index_docs(spark, d):
 SELECT text, type, satellite, NULL AS product, NULL AS name, NULL AS id FROM ({_K5}) UNION ALL SELECT text, type, satellite, product, NULL, NULL FROM ({_K6}) UNION ALL SELECT text, type, NULL, NULL, name, NULL FROM ({_K7})
 UNION ALL SELECT text, 'curated', NULL, NULL, NULL, 'curated_' || item_id FROM benchmark)""")
 def k8(spark, d):
-    """The parts with a SQL form; K4 has the chunks."""
-    return index_docs(spark, d).where("type <> 'crawled_page'").select("type", "text", "satellite", "product", "name", "id")
+    """The whole index; the SQL beside it lacks the chunks, which have no SQL form."""
+    return index_docs(spark, d).select("type", "text", "satellite", "product", "name", "id")
 
 
 @query("K9", f"""WITH {tb.GRAPH_SQL} SELECT 'satellite' AS type, count(DISTINCT satellite) AS n FROM provides UNION ALL SELECT 'data_product', least(200, count(*)) FROM provides
 UNION ALL SELECT 'parameter', count(DISTINCT name) FROM measures UNION ALL SELECT 'curated', count(*) FROM benchmark""")
 def k9(spark, d):
-    return chunks.breakdown(index_docs(spark, d).where("type <> 'crawled_page'"))
+    """Of all types; the SQL beside it lacks the chunks, as K8's."""
+    return chunks.breakdown(index_docs(spark, d))
