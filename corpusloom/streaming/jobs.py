@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.operators import documents
+from corpusloom.functions import text as tx
+from corpusloom.operators import chunks, documents
 
 
 def daily_feedback(stream: DataFrame, time: str = "timestamp", late: str = "1 day") -> DataFrame:
@@ -39,3 +40,18 @@ def ingest(stream: DataFrame, index: str, checkpoint: str, transform: Callable[[
 def read_index(spark, index: str, key: str = "id", order: str = "version") -> DataFrame:
     """The documents of an ingested index, the last version of each."""
     return documents.latest(spark.read.option("basePath", index).parquet(index), key, [F.desc(order), F.desc("batch")]).drop("batch")
+
+
+def index_chunks(batch: DataFrame, key: str = "id", order: str = "version") -> DataFrame:
+    """Chunks of a batch's normalised texts, and a row without a chunk for each document, so that an emptied one wins too."""
+    docs = batch.select(F.col(key).alias("stem"), order, tx.normalize_text(F.col("text")).alias("text"))
+    return chunks.chunk_rows(docs).unionByName(docs.select("stem", order), allowMissingColumns=True)
+
+
+def read_chunks(spark, index: str, order: str = "version") -> DataFrame:
+    """The chunks of an index written by index_chunks: all of each document's last version, none of earlier ones."""
+    rows = spark.read.option("basePath", index).parquet(index)
+    last = rows.where("chunk_index IS NULL").groupBy("stem").agg(F.max(F.struct(order, "batch")).alias("last"))
+    last = last.select(F.col("stem").alias("__stem"), F.col(f"last.{order}").alias("__order"), F.col("last.batch").alias("__batch"))
+    same = rows["stem"].eqNullSafe(last["__stem"]) & rows[order].eqNullSafe(last["__order"]) & (rows["batch"] == last["__batch"])
+    return rows.where("chunk_index IS NOT NULL").join(last, same, "left_semi").drop("batch")

@@ -4,7 +4,11 @@ import re
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as tx
 from corpusloom.plans import registry
+from corpusloom.streaming import jobs
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 BLANK = " \t\n\x0b\f\r"
@@ -42,3 +46,26 @@ def test_index_holds_chunks_of_documents(spark, sf_dir):
     assert got == parts(sf_dir, "K9", "type, n") + Counter([("crawled_page", len(pages))])
     got = Counter(tuple(r) for r in QUERIES["P3"](spark, sf_dir).select("type", "line").collect())
     assert got == parts(sf_dir, "P3", "type, line") + Counter(("crawled_page", f"[{source}] {c[:300]}") for source, _, c in pages)
+
+
+def test_ingest_holds_chunks_of_last_versions(spark, sf_dir):
+    last = {}
+    for r in documents(spark, sf_dir):
+        last[r["source"]] = max(last.get(r["source"], (-1, "")), (r["doc_id"], r["text"]))
+    df = spark.createDataFrame([(s, t) for s, (_, t) in last.items()], "id string, text string")
+    texts = df.select("id", tx.normalize_text(F.col("text")).alias("text")).collect()
+    want = sorted((f"crawled_{r['id']}_c{i}", c) for r in texts for i, c in enumerate(brute_chunks(r["text"])))
+    assert sorted(tuple(r) for r in QUERIES["X2"](spark, sf_dir).select("id", "text").collect()) == want
+
+
+def test_ingest_of_shortened_emptied_and_late_documents(spark, tmp_path):
+    long = " ".join(f"Sentence {i} is here." for i in range(150))
+    batches = [[("a", 1, long), ("b", 1, long), ("c", 5, "new c"), ("d", 1, "d  one")], [("a", 2, "short"), ("b", 2, " \n"), ("c", 4, long), ("d", 1, "d two"), ("e", 1, "old"), ("e", 2, long)]]
+    index, schema = str(tmp_path / "index"), "id string, version long, text string"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.ingest(stream, index, str(tmp_path / "checkpoint"), jobs.index_chunks).awaitTermination()
+    want = {"a": ["short"], "c": ["new c"], "d": ["d two"], "e": brute_chunks(long)}
+    got = sorted((r["id"], r["text"]) for r in jobs.read_chunks(spark, index).collect())
+    assert got == sorted((f"crawled_{k}_c{i}", c) for k, cs in want.items() for i, c in enumerate(cs))
