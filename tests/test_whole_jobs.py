@@ -69,3 +69,17 @@ def test_ingest_of_shortened_emptied_and_late_documents(spark, tmp_path):
     want = {"a": ["short"], "c": ["new c"], "d": ["d two"], "e": brute_chunks(long)}
     got = sorted((r["id"], r["text"]) for r in jobs.read_chunks(spark, index).collect())
     assert got == sorted((f"crawled_{k}_c{i}", c) for k, cs in want.items() for i, c in enumerate(cs))
+
+
+def test_acronyms_of_all_languages(spark, sf_dir):
+    def expand(t):
+        for a, e in {"the": "definite article", "of": "preposition"}.items():
+            t = re.sub(rf"\b{a}\b(?!\s*\()", f"{a} ({e})", t)
+        return t
+
+    rows = documents(spark, sf_dir)
+    assert {r["lang"] for r in rows} > {"en"}
+    assert {r["doc_id"]: r["text"] for r in QUERIES["T4"](spark, sf_dir).collect()} == {r["doc_id"]: expand(r["text"]) for r in rows}
+    odd = ["éthe theé the", "प्रthe of", "the  (x) of (y)", "THE the_of the-of"]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select(tx.expand_acronyms(F.col("t"), {"the": "definite article", "of": "preposition"}).alias("t")).collect()
+    assert [r["t"] for r in got] == [expand(t) for t in odd]
