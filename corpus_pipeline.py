@@ -16,6 +16,8 @@ from corpusloom.llm.common import materialize, prepare, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MASK = "[SECRET]"
+#: Near duplicates share five-word n-grams with a Jaccard similarity of 0.8 or more; op7's own values are stricter.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component; of repeated rows, one."""
     prepare(spark)
-    found = ngram_join.ngram_components(docs.select("doc_id", "text"))
+    found = ngram_join.ngram_components(docs.select("doc_id", "text"), n=NEAR_WORDS, percent=NEAR_PERCENT)
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 

@@ -242,6 +242,22 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert len(out) == len(texts) and all(r["ids"] == library.encode(texts[r["doc_id"]], add_eos=True) for r in out)
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark, sf_dir):
+    """Copies between op7's threshold and the stage's: lone word changes, an appended block and a replaced one."""
+    from .test_ngram_join import brute
+
+    words = [f"w{i}" for i in range(500)]
+    lone = lambda k: [f"x{i}" if i % 50 == 25 and i < 50 * k else w for i, w in enumerate(words)]
+    copies = [words, lone(9), lone(10), words + [f"y{i}" for i in range(90)], [f"z{i}" for i in range(40)] + words[40:], [f"v{i}" for i in range(120)] + words[120:]]
+    texts = [(10**6 + i, " ".join(ws)) for i, ws in enumerate(copies)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], docs.schema))
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect())
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
+    assert got == sorted(i for i, (_, c) in want.items() if i == c)
+    assert [i for i in got if i >= 10**6] == [10**6, 10**6 + 5]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, sf_dir, name):
     con = duckdb.connect()
