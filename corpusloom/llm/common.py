@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +15,6 @@ from corpusloom.sources.scratch import scratch_path
 #: Rows of an Arrow batch that goes to a Python worker; keeps a batch of long texts small.
 BATCH_ROWS = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NEXT_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,73 +47,45 @@ def mix64(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-#: Bytes whose words are hashed at once.
-CHUNK = 2 << 20
-BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0xD6E8FEB86659FD93
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of an odd base modulo 2**64; kept and grown as needed."""
-    if len(_powers.get(base, ())) < n:
-        p = np.full(max(n, CHUNK + CHUNK // 4), np.uint64(base))
-        p[0] = 1
-        _powers[base] = np.cumprod(p, dtype=np.uint64)
-    return _powers[base][:n]
-
-
-def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
-    """Groups of (text number, piece) of about CHUNK bytes; long texts are cut at blanks."""
-    held, size = [], 0
-    for i, t in enumerate(texts):
-        at = 0
-        while at < len(t):
-            end = len(t)
-            if end - at > CHUNK and (cut := NEXT_BLANK.search(t, at + CHUNK)):
-                end = cut.start()
-            if held and size + end - at > CHUNK:
-                yield held
-                held, size = [], 0
-            held.append((i, t[at:end]))
-            size += end - at + 1
-            at = end
-    if held:
-        yield held
-
-
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """Of each text the 64-bit hashes of its words, parted by ASCII blanks; equal on every machine.
-
-    Words are polynomials of their bytes, read off prefix sums over many texts at once.
-    """
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    for part in _pieces(texts):
-        data = np.frombuffer(b" ".join([b"", *(t for _, t in part), b""]), np.uint8)
-        blank = BLANK[data]
-        turn = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        start, end = turn[::2], turn[1::2]
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE[data] * powers(BASE, len(data)), dtype=np.uint64, out=prefix[1:])
-        inverse = powers(pow(BASE, -1, 1 << 64), len(data))
-        h = mix64((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
-        bounds = np.searchsorted(start, np.cumsum([1, *(len(t) + 1 for _, t in part)]))
-        for (i, _), a, b in zip(part, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            out[i].append(h[a:b])
-    return [x[0] if len(x) == 1 else np.concatenate([np.empty(0, np.uint64), *x]) for x in out]
+#: Key of the words' digests, and different words that a worker remembers.
+KEY, WORDS = b"corpusloom words", 1 << 18
+
+
+class _Places(dict):
+    """Numbers words as they come; the digest of word i stands at place i of `raw`."""
+
+    def __init__(self):
+        super().__init__()
+        self.raw = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        self.raw += hashlib.blake2b(word, digest_size=16, key=KEY).digest()
+        n = self[word] = len(self)
+        return n
+
+
+_places = _Places()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes (two rows) of the words: halves of a keyed digest, equal on every machine."""
+    global _places
+    if len(_places) > WORDS:
+        _places = _Places()
+    at = np.fromiter(map(_places.__getitem__, words), np.int64, len(words))
+    return np.ascontiguousarray(np.frombuffer(_places.raw, np.uint64).reshape(-1, 2)[at].T)
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive word hashes; fewer words give one hash of them all, none give none."""
-    n = len(h)
+    """Hash of each k consecutive word hashes, along the last axis; fewer words give one hash of them all, none give none."""
+    n = h.shape[-1]
     if n == 0:
-        return np.empty(0, np.uint64)
+        return h
     k = min(k, n)
-    out = np.full(n - k + 1, np.uint64(k), np.uint64)
+    out = np.full((*h.shape[:-1], n - k + 1), np.uint64(k), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : n - k + 1 + i])
+            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[..., i : n - k + 1 + i])
     return out
 
 

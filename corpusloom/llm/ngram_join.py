@@ -4,11 +4,17 @@ Documents with equal n-gram sets are one class. Classes that can have a partner
 prefix tokens; their sets, ordered by a global rarity order, are split into families that share a token of their
 necessary prefixes, so that no link crosses families. A family's sets are stored in a compressed trie; each set
 traverses it, sharing partial overlaps between sets with equal beginnings and pruning subtrees by remaining-length
-bounds. Large families are cut in blocks and all pairs of blocks are joined, so no task holds an unbounded family.
-A task returns a forest of the links it found, never all pairs; components are then joined across tasks.
+bounds. Families beyond BLOCK sets are cut in blocks of sets of similar size, and a set meets another block only if
+that block holds a token of its prefix and sets of fitting size, so no task holds an unbounded family. A task returns
+a forest of the links it found, never all pairs; components are then joined across tasks.
+
+Words are compared by a keyed 64-bit digest, sets as a whole by 128 bits. Tokens that very many sets hold come last in
+the first order of tokens and count as shared where they are seen, so they are never gathered.
 
 Defined results: null and wordless texts have no n-grams and link with nothing; fewer words than n are one n-gram;
-repeated rows and ties get the smallest id of their group; an empty table gives no rows.
+repeated rows and ties get the smallest id of their group; rows with equal ids and different texts are judged apart;
+a null id is judged like any other, but a component is named by its smallest id that isn't null (null if it has none);
+an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -23,12 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, UPPER, BitFilter, components, materialize, prepare, shingle_hashes, table, word_hashes
 
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Sets of a family that one task joins (twice as many for a pair of blocks).
-BLOCK = 1500
+#: Sets of a family that one task joins (twice as many for a pair of blocks), about.
+BLOCK = 512
+#: Tokens with at least this many sets may be known as hot; a task tells of this many at most, after each batch.
+HOT, TOLD = 64, 8192
+#: Salts over which the tokens of a large family are spread.
+SALTS = 16
 #: Tokens counted exactly for the rarity order: at most this many, those above an equal share of all occurrences.
 FREQUENT = 100_000
 #: Hashed cells that count the other tokens.
@@ -57,80 +68,175 @@ class Measure:
         """Tokens that a set of n shares with partners of any fitting size."""
         return self.shared(self.least(n))
 
+    def bucket(self, n):
+        """A number for sizes: sets that can link have the same or neighbouring ones."""
+        n = np.asarray(n, np.int64)
+        if self.percent >= 100:
+            return n
+        return np.floor(np.log(np.maximum(n, 1)) / (np.log(100 / self.percent) * (1 + 1e-9))).astype(np.int64)
+
     def links(self, overlap, a, b):
         return 100 * overlap >= self.percent * (a + b - overlap)
 
 
-def token_sets(texts: list[str | None], n: int, at_once: int = 500_000) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of each text's n-grams; words are parted by ASCII blanks, A-Z are lower-cased.
+def _gram_hashes(texts: list[str | None], n: int, at_once: int = 500_000) -> Iterator[np.ndarray]:
+    """Two hashes (rows) of each text's n-grams; words are parted by ASCII blanks, A-Z are lower-cased.
 
     The n-grams of many texts are hashed at once; those that would join two texts are passed over.
     """
-    words = word_hashes([t.encode("utf-8", "surrogatepass").translate(FOLD) if t else b"" for t in texts])
-    ends = np.cumsum([len(w) for w in words])
-    low = 0
-    while low < len(words):
-        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + at_once, "right")))
-        grams, at = shingle_hashes(np.concatenate(words[low:high]), n), 0
-        for w in words[low:high]:
-            yield np.unique(grams[at : at + len(w) - n + 1] if len(w) >= n else shingle_hashes(w, n))
-            at += len(w)
-        low = high
-
-
-def signature(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit digests of a set; (0, 0) of the empty one."""
-    if not len(s):
-        return 0, 0
-    a, b = struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-    return a, b
-
-
-def _signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    held: list[list[bytes]] = []
+
+    def hashed() -> Iterator[np.ndarray]:
+        h = word_hashes([w for words in held for w in words])
+        grams, at = shingle_hashes(h, n), 0
+        for words in held:
+            k = len(words)
+            yield grams[:, at : at + k - n + 1] if k >= n else shingle_hashes(h[:, at : at + k], n)
+            at += k
+
+    size = 0
+    for t in texts:
+        words = t.encode("utf-8", "surrogatepass").translate(FOLD).split() if t else []
+        if held and size + len(words) > at_once:
+            yield from hashed()
+            held, size = [], 0
+        held.append(words)
+        size += len(words)
+    yield from hashed()
+
+
+def token_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's n-grams."""
+    return (np.unique(g[0]) for g in _gram_hashes(texts, n))
+
+
+def signed_sets(texts: list[str | None], n: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """token_sets with two 64-bit digests of each set over both hashes of its n-grams; 0, 0 of the empty one."""
+    for g in _gram_hashes(texts, n):
+        tokens, at = np.unique(g[0], return_index=True)
+        yield tokens, *(struct.unpack("<qq", hashlib.blake2b(tokens.tobytes() + g[1, at].tobytes(), digest_size=16).digest()) if len(tokens) else (0, 0))
+
+
+class Tally:
+    """The tokens that most of the sets seen so far hold, about: less frequent ones are forgotten after each batch."""
+
+    def __init__(self):
+        self.tokens, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        if not sets:
+            return
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        often = counts > 1
+        tokens, where = np.unique(np.concatenate([self.tokens, tokens[often]]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([self.counts, counts[often]]), len(tokens)).astype(np.int64)
+        if len(tokens) > TOLD:
+            best = np.sort(np.argpartition(-counts, TOLD)[:TOLD])
+            tokens, counts = tokens[best], counts[best]
+        self.tokens, self.counts = tokens, counts
+
+
+class Seen:
+    """Remembers sets by their digests, a bounded number of them."""
+
+    def __init__(self, most: int = 500_000):
+        self.known, self.most = set(), most
+
+    def new(self, key: tuple[int, int]) -> bool:
+        if key in self.known:
+            return False
+        if len(self.known) >= self.most:
+            self.known.clear()
+        self.known.add(key)
+        return True
+
+
+def _signatures(docs: DataFrame, columns: list[str], text: str, n: int) -> DataFrame:
+    """(columns, n, s1, s2) of every row, and (null, -1, token, count) of tokens that many sets of a task hold."""
+    kept = [T.StructField(f.name, f.dataType) for f in docs.select(*columns).schema.fields]
+    schema = T.StructType([*kept, *T.StructType.fromDDL("n long, s1 long, s2 long").fields])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, seen, kinds = Tally(), Seen(), None
         for b in batches:
-            sets = list(token_sets(b.column(text).to_pylist(), n))
-            sig = [signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[0] for s in sig], pa.int64()), pa.array([s[1] for s in sig], pa.int64())], names=["id", "n", "s1", "s2"])
+            sets = list(signed_sets(b.column(text).to_pylist(), n))
+            tally.add([s for s, *key in sets if len(s) and seen.new(tuple(key))])
+            old = [b.column(c) for c in columns]
+            kinds = [c.type for c in old]
+            yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, pa.int64()) for x in ([len(s) for s, _, _ in sets], [a for _, a, _ in sets], [b for _, _, b in sets]))], names=[*columns, "n", "s1", "s2"])
+        if kinds is not None:
+            k = len(tally.tokens)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds), pa.array(np.full(k, -1)), pa.array(tally.tokens.view(np.int64)), pa.array(tally.counts)], names=[*columns, "n", "s1", "s2"])
+
+    return docs.select(*columns, text).mapInArrow(run, schema)
+
+
+class Hot:
+    """Tokens that very many sets hold, with their counts; at most FREQUENT, whatever the input."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.counts = tokens[order], counts[order]
+
+    @classmethod
+    def of(cls, signatures: DataFrame) -> Hot:
+        told = signatures.where("n = -1").groupBy(F.col("s1").alias("token")).agg(F.sum("s2").alias("n"))
+        total = told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        got = told.where(F.col("n") >= max(HOT, total // FREQUENT)).toArrow()  # at most FREQUENT rows
+        return cls(got.column("token").to_numpy(), got.column("n").to_numpy())
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "id long, n long, s1 long, s2 long")
+    def counted(self, tokens: np.ndarray) -> np.ndarray:
+        """The count of each hot token, 0 of others."""
+        if not len(self.tokens):
+            return np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.counts[at], 0)
 
 
-def _prefix_tokens(docs: DataFrame, text: str, n: int, measure: Measure) -> DataFrame:
-    """(token, s1): the first spare + shared tokens, by hash, of each set; a task gives a set once."""
+def _prefix_tokens(docs: DataFrame, text: str, n: int, measure: Measure, hot: Hot) -> DataFrame:
+    """(token, s1, n): the first spare + shared tokens of each set, hot ones last; a task gives a set once.
+
+    Hot tokens are shared surely: they are only counted, in one row of the set with its own place and n > 0.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = Seen()
         for b in batches:
-            tokens, owners = [], []
-            for s in token_sets(b.column(text).to_pylist(), n):
-                s1 = signature(s)[0]
-                if len(s) and s1 not in seen:
-                    seen.add(s1)
-                    tokens.append(s[: measure.spare(len(s)) + measure.shared(len(s))])
-                    owners.append(np.full(len(tokens[-1]), s1, np.int64))
-            if len(seen) > 1_000_000:
-                seen.clear()
+            tokens, owners, counts = [], [], []
+            for s, *key in signed_sets(b.column(text).to_pylist(), n):
+                if len(s) and seen.new(tuple(key)):
+                    s, k = s.view(np.int64), measure.spare(len(s)) + measure.shared(len(s))
+                    often = held.value.counted(s)
+                    p = np.lexsort((s, often))[:k]
+                    rare = s[p[often[p] == 0]]
+                    many = len(p) - len(rare)
+                    tokens += [rare, [key[0]] * (many > 0)]
+                    counts += [np.zeros(len(rare), np.int64), [many] * (many > 0)]
+                    owners.append(np.full(len(rare) + (many > 0), key[0], np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], names=["token", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, owners, counts)], names=["token", "s1", "n"])
 
-    return docs.select(text).mapInArrow(run, "token long, s1 long")
+    return docs.select(text).mapInArrow(run, "token long, s1 long, n long")
 
 
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, s1): how many tokens each s1 shares with another; holds one row between batches."""
-    held, held_shared = np.empty((0, 2), np.int64), False
+    """Of rows sorted by (token, s1): how many tokens each s1 shares with another; holds one row between batches.
+
+    Rows with n > 0 are counts already; of a set's copies from several tasks the counts are equal, one is taken.
+    """
+    held, held_shared = np.empty((0, 3), np.int64), False
 
     def give(rows: np.ndarray) -> pa.RecordBatch:
-        s1, n = np.unique(rows[:, 1], return_counts=True)
+        s1, at = np.unique(rows[:, 1], return_inverse=True)
+        n = np.bincount(at, np.maximum(rows[:, 2], 1), len(s1))
         return pa.RecordBatch.from_arrays([pa.array(s1), pa.array(n.astype(np.int64))], names=["s1", "n"])
 
     for b in batches:
-        rows = np.concatenate([held, np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)])
-        first = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
-        rows = rows[first]
+        rows = np.concatenate([held, np.stack([c.to_numpy() for c in b.columns], 1)])
+        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
         same = rows[1:, 0] == rows[:-1, 0]
-        shared = np.zeros(len(rows), bool)
+        shared = rows[:, 2] > 0
         shared[1:] |= same
         shared[:-1] |= same
         shared[0] |= held_shared and len(held) > 0
@@ -141,24 +247,20 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield give(held)
 
 
-def _sets_of(docs: DataFrame, text: str, n: int, wanted: BitFilter) -> DataFrame:
-    """(s1, s2, tokens) of sets that may be wanted; a task gives a set once."""
+def _sets_of(docs: DataFrame, text: str, n: int, wanted: BitFilter, measure: Measure) -> DataFrame:
+    """(s1, s2, bucket, tokens) of sets that may be wanted; a task gives a set once."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen = Seen()
         for b in batches:
             rows = []
-            for s in token_sets(b.column(text).to_pylist(), n):
-                sig = signature(s)
-                if sig not in seen and bits.value.has(np.array([sig[0]]))[0]:
-                    seen.add(sig)
-                    rows.append((*sig, s.view(np.int64)))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["s1", "s2", "tokens"])
+            for s, *key in signed_sets(b.column(text).to_pylist(), n):
+                if len(s) and bits.value.has(np.array(key[:1]))[0] and seen.new(tuple(key)):
+                    rows.append((*key, s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(measure.bucket([len(r[2]) for r in rows]), pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["s1", "s2", "bucket", "tokens"])
 
-    return docs.select(text).mapInArrow(run, "s1 long, s2 long, tokens array<long>")
+    return docs.select(text).mapInArrow(run, "s1 long, s2 long, bucket long, tokens array<long>")
 
 
 class Rarity:
@@ -193,13 +295,32 @@ class Rarity:
         return np.lexsort((tokens, count))
 
 
-def _family_edges(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, n, rep): links between neighbours whose sizes fit. A chain, not all pairs."""
-    held = np.empty((0, 3), np.int64)
+def _local_edges(batches: Iterator[pa.RecordBatch], prefix_of, measure: Measure) -> Iterator[pa.RecordBatch]:
+    """Of sets (rep, bucket, tokens), batch by batch: (token, bucket, u, null) for the first set u of a token and bucket,
+    and (u, -1, v, u) for other sets v of it: however many sets hold a token, a batch sends it once a bucket."""
     for b in batches:
-        rows = np.concatenate([held, np.stack([c.to_numpy() for c in b.columns], 1)])
-        link = (rows[1:, 0] == rows[:-1, 0]) & (rows[:-1, 1] >= measure.least(rows[1:, 1])) & (rows[1:, 2] != rows[:-1, 2])
-        pairs = np.unique(np.stack([rows[1:, 2][link], rows[:-1, 2][link]], 1), axis=0)
+        rows = [np.empty((0, 3), np.int64)]
+        tokens = b.column("tokens")
+        for i, (rep, bucket) in enumerate(zip(b.column("rep").to_pylist(), b.column("bucket").to_pylist(), strict=True)):
+            p = prefix_of(tokens[i].values.to_numpy())
+            rows.append(np.stack([p, np.full(len(p), bucket), np.full(len(p), rep)], 1))
+        rows = np.concatenate(rows)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        first = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])[: len(rows)]
+        lead = rows[first][np.cumsum(first) - 1, 2] if len(rows) else rows[:, 2]
+        pairs = np.unique(np.stack([lead[~first], rows[~first, 2]], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((rows[first, 0], pairs[:, 0]), (rows[first, 1], np.full(len(pairs), -1)), (rows[first, 2], pairs[:, 1]), (np.full(first.sum(), -1), pairs[:, 0]))], names=["token", "bucket", "u", "v"])
+
+
+def _family_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (token, bucket, u): links between neighbours of fitting buckets, a chain and not all pairs; links pass."""
+    held = np.empty((0, 4), np.int64)
+    for b in batches:
+        rows = np.stack([c.to_numpy() for c in b.columns], 1)
+        known = rows[rows[:, 1] < 0][:, 2:]
+        rows = np.concatenate([held, rows[rows[:, 1] >= 0]])
+        link = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] - rows[:-1, 1] <= 1) & (rows[1:, 2] != rows[:-1, 2])
+        pairs = np.unique(np.concatenate([np.stack([rows[1:, 2][link], rows[:-1, 2][link]], 1), known]), axis=0)
         held = rows[-1:]
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
@@ -211,10 +332,12 @@ class Trie:
     depth..end; sets that end there need no child.
     """
 
-    def __init__(self, sets: list[np.ndarray], measure: Measure):
+    def __init__(self, sets: list[np.ndarray], measure: Measure, sides: np.ndarray | None = None):
+        """sides: a number for each set; with them, only sets of different sides are compared."""
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
         self.sets, self.measure = [sets[i] for i in self.order], measure
         self.n = np.array([len(s) for s in self.sets])
+        self.sides = None if sides is None else np.asarray(sides)[self.order]
         self.labels = np.arange(len(sets))
         self.mark = np.zeros(1 + max((int(s[-1]) for s in self.sets if len(s)), default=0), bool)
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 2 * len(sets)))  # nested sets nest nodes
@@ -265,6 +388,8 @@ class Trie:
                 continue
             near = np.unique(owners[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())])
             near = near[(self.labels[near] != self.labels[i]) & (self.n[near] >= least[i]) & (least[near] <= self.n[i])]
+            if self.sides is not None:
+                near = near[self.sides[near] != self.sides[i]]
             if len(near):
                 self.mark[x] = True
                 self._visit(i, x, near.tolist())
@@ -294,65 +419,98 @@ class Trie:
         return [(self.order[i], self.order[r]) for i, r in enumerate(self.labels.tolist()) if i != r]
 
 
-def join_group(ids: np.ndarray, tokens: list[np.ndarray], rarity: Rarity, measure: Measure) -> list[tuple[int, int]]:
+def join_group(ids: np.ndarray, tokens: list[np.ndarray], rarity: Rarity, measure: Measure, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     known = np.unique(np.concatenate(tokens))
     rank = np.empty(len(known), np.int64)
     rank[rarity.order(known)] = np.arange(len(known))
-    trie = Trie([np.sort(rank[np.searchsorted(known, t)]) for t in tokens], measure)
+    trie = Trie([np.sort(rank[np.searchsorted(known, t)]) for t in tokens], measure, sides)
     trie.join()
     return [(int(ids[a]), int(ids[b])) for a, b in trie.links()]
 
 
-def similar_classes(docs: DataFrame, classes: DataFrame, text: str, n: int, measure: Measure) -> DataFrame:
-    """Links (u, v) between representatives of classes(s1, s2, n, rep): a forest with the components of all links."""
+def _meetings(sets: DataFrame, placed: DataFrame, prefix_of) -> DataFrame:
+    """(component, a, b, at, rep): the groups in which each set of placed(rep, component, bucket, parts) is compared.
+
+    A family without parts is one group. In larger ones a block is a bucket of sizes and a hash; a set goes to its own
+    block's group and to the groups of its block with others that hold a token of its prefix in a fitting bucket.
+    """
+    code = F.coalesce(F.shiftleft("bucket", 20) + F.pmod(F.xxhash64("rep"), F.col("parts")), F.lit(-1))
+    placed = placed.withColumn("at", code)
+    own = placed.select("component", F.col("at").alias("a"), F.col("at").alias("b"), "at", "rep")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [prefix_of(t.values.to_numpy()) for t in b.column("tokens")]
+            n = [len(p) for p in held]
+            columns = [pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("component", "bucket", "at", "rep")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.empty(0, np.int64), *held]))], names=["component", "bucket", "at", "rep", "token"])
+
+    large = sets.select("rep", "tokens").join(placed.where("parts IS NOT NULL"), "rep").select("component", "bucket", "at", "rep", "tokens")
+    rows = materialize(large.mapInArrow(explode, "component long, bucket long, at long, rep long, token long"), "family-tokens")
+    blocks = rows.select(F.col("component").alias("c"), F.col("token").alias("t"), F.col("bucket").alias("k"), F.col("at").alias("other")).distinct()
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    fits = (F.col("component") == F.col("c")) & (F.col("token") == F.col("t")) & (mine.salt == blocks.salt) & (F.abs(F.col("bucket") - F.col("k")) <= 1) & (F.col("at") != F.col("other"))
+    met = mine.join(blocks, fits).select("component", F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"), "at", "rep").distinct()
+    return own.unionByName(met)
+
+
+def similar_classes(docs: DataFrame, classes: DataFrame, hot: Hot, text: str, n: int, measure: Measure) -> DataFrame:
+    """Links (u, v) between classes(s1, s2, n, rep), by rep: a forest with the components of all links."""
     spark = docs.sparkSession
-    counts = _prefix_tokens(docs, text, n, measure).repartition("token").sortWithinPartitions("token", "s1").mapInArrow(_shared_counts, "s1 long, n long")
-    shared = counts.groupBy("s1").agg(F.sum("n").alias("shared"))
+    tokens = _prefix_tokens(docs, text, n, measure, hot).repartition("token").sortWithinPartitions("token", "s1")
+    shared = tokens.mapInArrow(_shared_counts, "s1 long, n long").groupBy("s1").agg(F.sum("n").alias("shared"))
     least = F.ceil(F.col("n") * measure.percent / 100)
     alive = classes.join(shared, "s1").where(F.col("shared") >= 1 + F.floor(least * (100 - measure.percent) / 100))
-    alive = materialize(alive.select("s1", "s2", "n", "rep"), "alive")
+    alive = materialize(alive.select("s1", "s2", "rep"), "alive")
     wanted = BitFilter.build(alive.select("s1"), alive.count())
-    sets = _sets_of(docs, text, n, wanted).join(alive, ["s1", "s2"]).dropDuplicates(["rep"]).select("rep", "n", "tokens")
+    sets = _sets_of(docs, text, n, wanted, measure).join(alive, ["s1", "s2"]).dropDuplicates(["rep"]).select("rep", "bucket", "tokens")
     sets = materialize(sets, "sets")
     rarity = spark.sparkContext.broadcast(Rarity.count(sets.select(F.explode("tokens").alias("token"))))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [np.empty((0, 3), np.int64)]
-            tokens = b.column("tokens")
-            for i, rep in enumerate(b.column("rep").to_pylist()):
-                t = tokens[i].values.to_numpy()
-                p = t[rarity.value.order(t)[: measure.spare(len(t)) + 1]]
-                out.append(np.stack([p, np.full(len(p), len(t)), np.full(len(p), rep)], 1))
-            rows = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["token", "n", "rep"])
-
-    rows = sets.mapInArrow(prefixes, "token long, n long, rep long").repartition("token").sortWithinPartitions("token", "n", "rep")
-    edges = rows.mapInArrow(lambda batches: _family_edges(batches, measure), "u long, v long").distinct()
-    family = materialize(components(edges), "families")
-    blocks = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = sets.join(family, sets.rep == family.node).join(blocks, "component").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("component", F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"), "rep", "tokens")
+    def prefix_of(t: np.ndarray) -> np.ndarray:
+        return t[rarity.value.order(t)[: measure.spare(len(t)) + 1]]
+
+    rows = sets.mapInArrow(lambda batches: _local_edges(batches, prefix_of, measure), "token long, bucket long, u long, v long")
+    edges = rows.repartition("token").sortWithinPartitions("token", "bucket", "u").mapInArrow(_family_edges, "u long, v long").distinct()
+    family = components(edges).join(sets.select(F.col("rep").alias("node"), "bucket"), "node")
+    family = materialize(family.select("component", "bucket", F.col("node").alias("rep")), "families")
+    sizes = family.groupBy("component", "bucket").agg(F.count("*").alias("some"))
+    whole = sizes.groupBy("component").agg(F.sum("some").alias("all"))
+    parts = sizes.join(whole, "component").where(F.col("all") > BLOCK).select("component", "bucket", F.ceil(F.col("some") / BLOCK).alias("parts"))
+    placed = family.join(parts, ["component", "bucket"], "left")
+    member = _meetings(sets, placed, prefix_of).join(sets.select("rep", "tokens"), "rep").select("component", "a", "b", "at", "rep", "tokens")
 
     def join(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        found = join_group(group.column("rep").to_numpy(), [x.values.to_numpy() for x in group.column("tokens")], rarity.value, measure)
+        a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+        found = join_group(group.column("rep").to_numpy(), [x.values.to_numpy() for x in group.column("tokens")], rarity.value, measure, None if a == b else group.column("at").to_numpy())
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
     # written before components are found: one Python step a stage needs half the workers
     return materialize(member.groupBy("component", "a", "b").applyInArrow(join, "u long, v long"), "links")
 
 
+def ngram_classes(docs: DataFrame, columns: list[str], text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """(columns, n, group) of every row: group numbers the component of the row's n-gram set, null without n-grams."""
+    measure = Measure(percent)
+    signed = materialize(_signatures(docs, columns, text, n), "signatures")
+    hot, rows = Hot.of(signed), signed.where("n >= 0")
+    classes = rows.where("n > 0").select("s1", "s2", "n").distinct().withColumn("rep", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")  # numbers are fixed by writing them
+    linked = materialize(components(similar_classes(docs, classes, hot, text, n, measure)), "linked-classes")
+    known = classes.join(linked, classes.rep == linked.node, "left").select("s1", "s2", F.col("n").alias("n0"), F.coalesce("component", "rep").alias("group"))
+    out = rows.join(known, (rows.s1 == known.s1) & (rows.s2 == known.s2) & (rows.n == F.col("n0")), "left")
+    return materialize(out.select(*[rows[c] for c in columns], rows.n, "group"), "grouped-rows")
+
+
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(key, n_shingles, component_id) of every row: components of links with Jaccard similarity >= percent / 100."""
-    measure = Measure(percent)
-    rows = materialize(_signatures(docs, key, text, n), "signatures")
-    classes = materialize(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "classes")
-    linked = materialize(components(similar_classes(docs, classes, text, n, measure)), "linked-classes")
-    classes = classes.join(linked, classes.rep == linked.node, "left").select("s1", "s2", F.col("n").alias("n0"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(classes, (rows.s1 == classes.s1) & (rows.s2 == classes.s2) & (rows.n == F.col("n0")), "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    ids = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = ngram_classes(ids, ["id"], "text", n, percent).select("id", F.col("n").alias("n_shingles"), "group")
+    named = rows.where("group IS NOT NULL").groupBy(F.col("group").alias("g")).agg(F.min("id").alias("component"), F.count("*").alias("rows")).where("rows > 1")
+    out = rows.join(named, F.col("group") == F.col("g"), "left")
+    return out.select(F.col("id").alias(key), "n_shingles", F.when(F.col("g").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,44 @@ def test_components_match_brute_force(spark, monkeypatch, seed, block):
     assert got == brute(rows)
 
 
+def test_hot_tokens_match_brute_force(spark, monkeypatch):
+    """Tokens of three sets or more are hot, families of more than seven sets are cut, and rows come in many batches."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    rows = variants(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == brute(rows)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words agree under every polynomial modulo 2**64 with an odd base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x y {a} z"), (2, f"x y {b} z"), (3, f"X y {a} Z")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    h = ngram_join.word_hashes([a.encode(), b.encode(), a.encode()])
+    assert (h[:, 0] != h[:, 1]).all() and (h[:, 0] == h[:, 2]).all()
+
+
+def test_null_and_equal_ids(spark):
+    """Equal ids with different texts are judged apart; null ids link, but name no component."""
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words, "more"])
+    other = " ".join(f"v{i}" for i in range(50))
+    lone = " ".join(f"u{i}" for i in range(50))
+    rows = [(None, " ".join(words)), (9, near), (5, " ".join(words) + " end"), (5, other), (7, other), (None, lone), (None, lone), (None, None)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n long")
+    got = sorted((tuple(r) for r in ngram_join.ngram_components(df).collect()), key=str)
+    assert got == sorted([(None, 98, 5), (9, 99, 5), (5, 99, 5), (5, 48, 5), (7, 48, 5), (None, 48, None), (None, 48, None), (None, 0, None)], key=str)
+
+
 def test_documents_match_brute_force(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(df).collect()}
