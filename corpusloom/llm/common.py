@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.sources.scratch import scratch_path
 
@@ -185,3 +186,13 @@ class BitFilter:
     def has(self, values: np.ndarray) -> np.ndarray:
         at = values.astype(np.uint64) & self.mask
         return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+    def column(self, spark: SparkSession, value: Column) -> Column:
+        """Whether a long column may be a member, as a vectorized expression."""
+        held = spark.sparkContext.broadcast(self)
+
+        @F.pandas_udf(T.BooleanType())
+        def member(x: pd.Series) -> pd.Series:
+            return pd.Series(held.value.has(x.to_numpy()))
+
+        return member(value)

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -491,26 +491,30 @@ def similar_classes(docs: DataFrame, classes: DataFrame, hot: Hot, text: str, n:
     return materialize(member.groupBy("component", "a", "b").applyInArrow(join, "u long, v long"), "links")
 
 
-def ngram_classes(docs: DataFrame, columns: list[str], text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """(columns, n, group) of every row: group numbers the component of the row's n-gram set, null without n-grams."""
+def ngram_classes(docs: DataFrame, columns: list[str], name: Column, text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """(columns, n, name) of every row: the least name (an expression over columns, nulls aside) of the rows in the
+    component of the row's n-gram set; null without n-grams."""
     measure = Measure(percent)
     signed = materialize(_signatures(docs, columns, text, n), "signatures")
     hot, rows = Hot.of(signed), signed.where("n >= 0")
-    classes = rows.where("n > 0").select("s1", "s2", "n").distinct().withColumn("rep", F.monotonically_increasing_id())
+    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(name).alias("name")).withColumn("rep", F.monotonically_increasing_id())
     classes = materialize(classes, "classes")  # numbers are fixed by writing them
     linked = materialize(components(similar_classes(docs, classes, hot, text, n, measure)), "linked-classes")
-    known = classes.join(linked, classes.rep == linked.node, "left").select("s1", "s2", F.col("n").alias("n0"), F.coalesce("component", "rep").alias("group"))
+    # a component's name goes to salted copies, so that a large one doesn't meet its members in one place
+    best = linked.join(classes, linked.node == classes.rep).groupBy(F.col("component").alias("c")).agg(F.min("name").alias("best"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = linked.withColumn("at", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    named = linked.join(best, (linked.component == best.c) & (F.col("at") == best.salt)).select("node", "best")
+    known = classes.join(named, classes.rep == named.node, "left").select("s1", "s2", F.col("n").alias("n0"), F.when(F.col("node").isNull(), F.col("name")).otherwise(F.col("best")).alias("name"))
     out = rows.join(known, (rows.s1 == known.s1) & (rows.s2 == known.s2) & (rows.n == F.col("n0")), "left")
-    return materialize(out.select(*[rows[c] for c in columns], rows.n, "group"), "grouped-rows")
+    return out.select(*[rows[c] for c in columns], rows.n, known.name)
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(key, n_shingles, component_id) of every row: components of links with Jaccard similarity >= percent / 100."""
     ids = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = ngram_classes(ids, ["id"], "text", n, percent).select("id", F.col("n").alias("n_shingles"), "group")
-    named = rows.where("group IS NOT NULL").groupBy(F.col("group").alias("g")).agg(F.min("id").alias("component"), F.count("*").alias("rows")).where("rows > 1")
-    out = rows.join(named, F.col("group") == F.col("g"), "left")
-    return out.select(F.col("id").alias(key), "n_shingles", F.when(F.col("g").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    rows = ngram_classes(ids, ["id"], F.col("id"), "text", n, percent)
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

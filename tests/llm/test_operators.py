@@ -208,7 +208,8 @@ def test_toxicity_edge_cases(spark, edge):
 
 
 def test_other_operators_on_edge_cases(edge):
-    assert ngram_join.ngram_components(edge.where("doc_id IS NOT NULL")).count() == edge.where("doc_id IS NOT NULL").count()
+    got = ngram_join.ngram_components(edge)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"] and got.count() == edge.count()
     assert secrets.find_secrets(edge).where("n_assign = 1").count() == 1
 
 
@@ -228,7 +229,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     kept = stages["toxicity"](spark, docs, sf_dir)
     assert kept.columns == corpus_pipeline.COLUMNS and 0 < kept.count() <= docs.count()
     near = stages["near_duplicates"](spark, kept.unionByName(kept.limit(3)), sf_dir)
-    want = brute([(r["doc_id"], r["text"]) for r in kept.collect()])
+    want = brute([(r["doc_id"], r["text"]) for r in kept.collect()], corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)
     assert sorted(r["doc_id"] for r in near.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     clean = stages["decontamination"](spark, near, sf_dir)
@@ -242,6 +243,33 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert len(out) == len(texts) and all(r["ids"] == library.encode(texts[r["doc_id"]], add_eos=True) for r in out)
 
 
+def test_pipeline_stages_on_edge_cases(spark, edge, sf_dir):
+    """Nulls, empty and long texts, ties, repeated rows, clashing and extra columns, and an empty table in every stage."""
+    rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
+    distinct = sorted({r for r in rows}, key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        got = [(r["doc_id"], *([r["text"]] if name != "encode" else [])) for r in stage(spark, edge, sf_dir).collect()]
+        if name == "encode":
+            assert sorted(map(str, got)) == sorted(str((i,)) for i, _ in rows)
+        elif name == "near_duplicates":  # "word" twice and its repeated row, and an item of ten words, whose rows differ
+            assert sorted(got, key=str) == [r for r in distinct if r != (4, "word")]
+        elif name == "secrets":
+            assert (8, "idiot clown [SECRET]") in got and len(got) == len(rows) and (0, None) in got
+        else:
+            assert set(got) <= set(rows) and (0, None) in got and (1, "") in got
+        assert stage(spark, edge, sf_dir).columns == (corpus_pipeline.COLUMNS if name != "encode" else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        assert stage(spark, edge.limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_judges_rows_and_not_ids(spark, sf_dir):
+    words = [f"w{i}" for i in range(300)]
+    near, other = " ".join([*words, "end"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(3, " ".join(words)), (5, near), (5, other), (None, other), (None, near), (6, other), (6, other), (7, None), (7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(3, " ".join(words)), (5, other), (7, None), (7, "")], key=str)
+
+
 def test_pipeline_drops_near_copies_of_five_words(spark, sf_dir):
     """Copies between op7's threshold and the stage's: lone word changes, an appended block and a replaced one."""
     from .test_ngram_join import brute
