@@ -40,6 +40,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as keep them apart from the columns."""
+    known, mark = {c.lower() for c in columns}, "__"
+    while any(mark + n in known for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     with np.errstate(over="ignore"):

@@ -1,23 +1,30 @@
 """Removal of repeated byte strings by a hash-compared sort of suffixes.
 
-Every string of LENGTH bytes holds an anchor that its content alone selects: the least hashed GRAM-byte substring in
-it. Strings are equal only if their anchors are, so suffixes are sorted and compared only at anchors, and only at those
-that occur again (counted over all texts). Prefix polynomial hashes and binary search give the common extension of two
-suffixes, which makes a comparison logarithmic; a mergesort with such comparisons orders the suffixes of an anchor to
-the right and, read backwards, to the left. The neighbours in both orders say which strings around an anchor repeat;
-every extension is verified on the bytes. Where neighbours leave a doubt, all strings around the anchor are compared.
-
-Anchors with the same surroundings are one row for each batch, and their number only is counted, so copies cost little. Anchors
-with more than CROWD occurrences aren't gathered: each string around them is a row of its own and is counted by
-pre-aggregated groups. Texts are cut by joining spans to those texts alone that have any.
+Every string of LENGTH bytes holds an anchor that its content alone selects: the leftmost of the least hashed GRAM-byte
+substrings in it. Strings are equal only if their anchors are, so suffixes are sorted and compared only at anchors, and
+only at those that occur again (counted over all texts). Prefix polynomial hashes and binary search give the common
+extension of two suffixes, which makes a comparison logarithmic; a mergesort with such comparisons orders the suffixes
+of an anchor to the right and, read backwards, to the left. The neighbours in both orders say which strings around an
+anchor repeat. Where neighbours leave a doubt, all strings around the anchor are compared.
+
+Collisions change nothing: extensions and the order of neighbours are verified on the bytes, and where hashes misled
+the sort, bytes are sorted. Anchors whose surroundings are all equal, by a keyed 128-bit digest of their bytes counted
+over all texts, are settled without moving the bytes; equal surroundings within a batch are compared as bytes.
+
+Anchors with the same surroundings are one row for each batch, and their number only is counted, so copies cost little.
+Anchors with more than CROWD occurrences aren't gathered: where all their surroundings are equal, spans are known at
+once; else each string around them is a row of its own, which is counted by pre-aggregated groups. Texts are cut by
+joining spans to those texts alone that have any.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH keep all; equal texts, repeated rows
-among them, are judged alike and count as repeats of one another; an empty table gives no rows.
+among them, are judged alike and count as repeats of one another; an empty table gives no rows; extra columns stay,
+those named like results are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BitFilter, materialize, mix64, prepare, table
+from .common import BitFilter, fresh, materialize, mix64, prepare, table
 
 LENGTH, GRAM = 200, 48
 BEFORE = LENGTH - GRAM  # the farthest that a string starts before its anchor
 #: Occurrences of an anchor that one task may gather, anchors it resolves at once, and bytes it hashes at once.
-CROWD, AT_ONCE, CHUNK = 40_000, 8_000, 2 << 20
+CROWD, AT_ONCE, CHUNK = 10_000, 8_000, 2 << 20
+#: Anchors that may be known to all tasks as crowded, at most; in larger inputs the crowd grows to keep to this.
+CROWDED = 100_000
 MARGIN = 2 * LENGTH
 
 _r = np.random.default_rng(7)
@@ -64,11 +73,19 @@ def text_key(b: bytes) -> bytes:
 
 
 def _least_in_window(x: np.ndarray, w: int) -> np.ndarray:
-    h = 1
+    """Of each w consecutive values, the place of the leftmost least one; w is at most 256."""
+    at, h = np.zeros(len(x), np.uint8), 1
+
+    def joined(x: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        right = x[step:] < x[:-step]
+        return np.minimum(x[:-step], x[step:]), np.where(right, at[step:] + np.uint8(step), at[:-step])
+
     while 2 * h <= w:
-        x = np.minimum(x[:-h], x[h:])
+        x, at = joined(x, at, h)
         h *= 2
-    return np.minimum(x[: len(x) - (w - h)], x[w - h :]) if w > h else x
+    if w > h:
+        x, at = joined(x, at, w - h)
+    return np.arange(len(x)) + at
 
 
 def _chunks(texts: list[bytes], chunk: int) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -88,23 +105,25 @@ def _chunks(texts: list[bytes], chunk: int) -> Iterator[list[tuple[int, int, int
         yield held
 
 
-def anchors(texts: list[bytes], chunk: int = CHUNK) -> dict[str, np.ndarray]:
-    """Of every anchor: its text, place, hash of its gram and of its surroundings, and the bytes around (before, after)."""
+def anchors(texts: list[bytes], chunk: int = CHUNK, bits: int = 64) -> dict[str, np.ndarray]:
+    """Of every anchor: its text, place, hash of its gram and of its surroundings, and the bytes around (before, after).
+
+    bits: how many bits of the hashes are used; fewer than 64 are for tests of collisions.
+    """
+    mask = np.uint64((1 << bits) - 1)
     found: list[tuple[np.ndarray, ...]] = []
     _, inverse = powers()
     for part in _chunks(texts, chunk):
         data = np.frombuffer(b"".join(texts[i][low:high] for i, low, high, _ in part), np.uint8)
         starts = np.concatenate([[0], np.cumsum([high - low for _, low, high, _ in part])])
         prefix = prefix_hashes(data)
-        gram = mix64((prefix[GRAM:] - prefix[:-GRAM]) * inverse[: len(data) - GRAM + 1])
-        bits = np.uint64(int(len(data)).bit_length())
-        place = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
-        least = _least_in_window(place, BEFORE + 1)
+        gram = mix64((prefix[GRAM:] - prefix[:-GRAM]) * inverse[: len(data) - GRAM + 1]) & mask
+        least = _least_in_window(gram, BEFORE + 1)
         edge = np.zeros(len(least) + 1, np.int32)
         np.add.at(edge, starts[:-1], 1)
         np.add.at(edge, np.minimum(np.maximum(starts[1:] - LENGTH + 1, starts[:-1]), len(least)), -1)
         inside = np.cumsum(edge)[:-1] > 0  # strings that lie in one text
-        x = np.unique(least[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        x = np.flatnonzero(np.bincount(least[inside], minlength=len(gram)))
         k = np.searchsorted(starts, x, "right") - 1
         low = np.array([p[1] for p in part])[k]
         core = np.array([p[3] for p in part])[k]
@@ -113,7 +132,7 @@ def anchors(texts: list[bytes], chunk: int = CHUNK) -> dict[str, np.ndarray]:
         x, k, at, low = x[own], k[own], at[own], low[own]
         before = np.minimum(BEFORE, x - starts[k])
         after = np.minimum(LENGTH, starts[k + 1] - x)
-        around = mix64((prefix[x + after] - prefix[x - before]) * inverse[x - before]) ^ mix64((before * 1000 + after).astype(np.uint64))
+        around = mix64((prefix[x + after] - prefix[x - before]) * inverse[x - before]) & mask ^ mix64((before * 1000 + after).astype(np.uint64))
         found.append((np.array([p[0] for p in part])[k], at, gram[x], around, before, after))
     names = ("text", "x", "gram", "around", "before", "after")
     if not found:
@@ -135,22 +154,43 @@ def _distinct(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     return list(seen), np.array(list(seen.values()), np.int64)
 
 
-def _count_grams(docs: DataFrame, text: str, chunk: int) -> DataFrame:
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted columns is the first with its values."""
+    return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])[: len(columns[0])]
+
+
+def _around(texts: list[bytes], a: dict[str, np.ndarray]) -> list[bytes]:
+    """The bytes around each anchor."""
+    low, high = (a["x"] - a["before"]).tolist(), (a["x"] + a["after"]).tolist()
+    return [texts[i][x:y] for i, x, y in zip(a["text"].tolist(), low, high, strict=True)]
+
+
+def _digests(around: list[bytes], before: np.ndarray) -> np.ndarray:
+    """Keyed 128-bit digests (two columns) of surroundings and of where the anchor stands in them."""
+    raw = b"".join(hashlib.blake2b(s, digest_size=16, key=b"%d" % n).digest() for s, n in zip(around, before.tolist(), strict=True))
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+
+
+def _count_grams(docs: DataFrame, text: str, chunk: int, bits: int) -> DataFrame:
     """(gram, n, alike): anchors that occur again, and whether all have the same surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, times = _distinct(b.column(text).to_pylist())
-            a = anchors(texts, chunk)
+            a = anchors(texts, chunk, bits)
+            if not len(a["gram"]):
+                continue
             order = np.argsort(a["gram"], kind="stable")
-            gram, around, n = a["gram"][order], a["around"][order].view(np.int64), times[a["text"][order]]
-            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
-            if len(first):
-                yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(np.add.reduceat(n, first)), pa.array(np.minimum.reduceat(around, first)), pa.array(np.maximum.reduceat(around, first))], names=["gram", "n", "low", "high"])
+            a = {k: v[order] for k, v in a.items()}
+            first = np.flatnonzero(_starts(a["gram"]))
+            marks = _digests(_around(texts, a), a["before"])
+            same = (np.minimum.reduceat(marks, first) == np.maximum.reduceat(marks, first)).all(1)
+            columns = [a["gram"][first].view(np.int64), np.add.reduceat(times[a["text"]], first), marks[first, 0], marks[first, 1], same]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "n", "d", "e", "same"])
 
-    rows = docs.select(text).mapInArrow(run, "gram long, n long, low long, high long")
-    rows = rows.groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1")
-    return rows.select("gram", "n", (F.col("low") == F.col("high")).alias("alike"))
+    rows = docs.select(text).mapInArrow(run, "gram long, n long, d long, e long, same boolean")
+    counts = rows.groupBy("gram").agg(F.sum("n").alias("n"), (F.every("same") & (F.min("d") == F.max("d")) & (F.min("e") == F.max("e"))).alias("alike"))
+    return counts.where("n > 1")
 
 
 #: Anchors on their way to be resolved, with the counts of their gram in a row before them (tag 0), and spans (tag 2).
@@ -175,40 +215,73 @@ def _merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return owner[at], start[at], np.maximum.reduceat(end, at)
 
 
-def _repeated_anchors(docs: DataFrame, text: str, again: BitFilter, unlike: BitFilter, chunk: int) -> DataFrame:
-    """Anchors that may occur again, one for each batch and surroundings; spans of those that repeat in the batch."""
-    bits = docs.sparkSession.sparkContext.broadcast((again, unlike))
+class Crowds:
+    """The crowded anchors, at most CROWDED of them, and whether each has equal surroundings everywhere."""
+
+    def __init__(self, grams: np.ndarray, alike: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.alike = grams[order], alike[order]
+
+    @classmethod
+    def of(cls, grams: DataFrame, crowd: int) -> Crowds:
+        total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        got = grams.where(F.col("n") > max(crowd, total // CROWDED)).toArrow()  # at most CROWDED rows
+        return cls(got.column("gram").to_numpy(), got.column("alike").to_numpy(zero_copy_only=False).astype(bool))
+
+    def kinds(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which grams are crowded and alike, and which are crowded and not."""
+        if not len(self.grams):
+            return np.zeros(len(grams), bool), np.zeros(len(grams), bool)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        known = self.grams[at] == grams
+        return known & self.alike[at], known & ~self.alike[at]
+
+
+def _grouped(texts: list[bytes], a: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, list[bytes]]:
+    """Anchors sorted into groups of equal grams and surroundings, which are compared as bytes; firsts of groups."""
+    part = np.zeros(len(a["gram"]), np.int64)
+    order = np.lexsort((a["around"], a["gram"]))
+    a = {k: v[order] for k, v in a.items()}
+    around = _around(texts, a)
+    first = _starts(a["gram"], a["around"])
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1].tolist()
+    odd: dict[tuple[int, bytes], int] = {}
+    for i in np.flatnonzero(~first).tolist():
+        if around[i] != around[lead[i]]:  # two strings with one hash
+            part[i] = odd.setdefault((lead[i], around[i]), len(odd) + 1)
+    if odd:
+        order = np.lexsort((part, a["around"], a["gram"]))
+        a, part, around = {k: v[order] for k, v in a.items()}, part[order], [around[i] for i in order.tolist()]
+        first = _starts(a["gram"], a["around"], part)
+    return a, first, around
+
+
+def _repeated_anchors(docs: DataFrame, text: str, again: BitFilter, unlike: BitFilter, crowds: Crowds, chunk: int, bits: int) -> DataFrame:
+    """Anchors that may occur again (tag 1), one for each batch and surroundings; crowded ones (tag 3), at places of their
+    own; spans of those that repeat in the batch or are crowded and alike (tag 2)."""
+    held = docs.sparkSession.sparkContext.broadcast((again, unlike, crowds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again, unlike = bits.value
+        again, unlike, crowds = held.value
         for b in batches:
             texts, times = _distinct(b.column(text).to_pylist())
             keys = np.array([text_key(t) for t in texts], dtype=object)
-            a = anchors(texts, chunk)
+            a = anchors(texts, chunk, bits)
             have = again.has(a["gram"])
-            a = {k: v[have] for k, v in a.items()}
-            order = np.lexsort((a["around"], a["gram"]))
-            a = {k: v[order] for k, v in a.items()}
-            if not len(order):
+            if not have.any():
                 continue
-            first = np.concatenate([[True], (a["gram"][1:] != a["gram"][:-1]) | (a["around"][1:] != a["around"][:-1])])
+            a, first, around = _grouped(texts, {k: v[have] for k, v in a.items()})
             group = np.cumsum(first) - 1
-            n = np.bincount(group, times[a["text"]])
-            # several in this batch: equal surroundings are compared as bytes with the first of them
-            lead = np.flatnonzero(first)[group]
-            surroundings = lambda i: texts[a["text"][i]][a["x"][i] - a["before"][i] : a["x"][i] + a["after"][i]]
-            twice = n[group] > 1
-            for i in np.flatnonzero(twice & ~first & (a["text"] != a["text"][lead])).tolist():
-                if surroundings(i) != surroundings(lead[i]):
-                    raise RuntimeError("two strings have one 64-bit hash")
+            sure, crowded = crowds.kinds(a["gram"].view(np.int64))
             low, high = whole(a["before"], a["after"])
-            s = np.flatnonzero(twice & (low <= high))
+            s = np.flatnonzero(((np.bincount(group, times[a["text"]]) > 1)[group] | sure) & (low <= high))
             owner, start, end = _merged(a["text"][s], a["x"][s] - high[s], a["x"][s] - low[s] + LENGTH)
             if len(owner):
                 yield _rows(len(owner), gram=mix64(owner.astype(np.uint64) + a["gram"][0]).view(np.int64), tag=np.full(len(owner), 2), key=list(keys[owner]), start=start, end=end)
-            send = np.flatnonzero(first)
-            many = unlike.has(a["gram"][send])
-            yield _rows(len(send), gram=a["gram"][send].view(np.int64), tag=np.full(len(send), 1), key=list(keys[a["text"][send]]), x=a["x"][send], before=a["before"][send], n=a["after"][send], bytes=[surroundings(i) if m else None for i, m in zip(send.tolist(), many.tolist(), strict=True)])
+            send = np.flatnonzero(first & ~sure)
+            many = (unlike.has(a["gram"]) | crowded)[send]
+            place = np.where(crowded[send], mix64(a["gram"][send] + send.astype(np.uint64)), a["gram"][send]).view(np.int64)
+            yield _rows(len(send), gram=place, tag=np.where(crowded[send], 3, 1), key=list(keys[a["text"][send]]), x=a["x"][send], before=a["before"][send], n=a["after"][send], bytes=[around[i] if m else None for i, m in zip(send.tolist(), many.tolist(), strict=True)])
 
     return docs.select(text).mapInArrow(run, ANCHOR)
 
@@ -216,9 +289,9 @@ def _repeated_anchors(docs: DataFrame, text: str, again: BitFilter, unlike: BitF
 class Suffixes:
     """Byte strings by rows, all from the same place on, in groups that are sorted and compared within themselves."""
 
-    def __init__(self, data: np.ndarray, length: np.ndarray, group: np.ndarray):
+    def __init__(self, data: np.ndarray, length: np.ndarray, group: np.ndarray, bits: int = 64):
         self.data, self.length, self.group = data, length, group
-        self.prefix = prefix_hashes(data)
+        self.prefix = prefix_hashes(data) & np.uint64((1 << bits) - 1)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common beginning of rows a and b: binary search on prefix hashes."""
@@ -235,16 +308,19 @@ class Suffixes:
         differ = (self.data[a] != self.data[b]) & (np.arange(self.data.shape[1]) < n[:, None])
         return np.where(differ.any(1), differ.argmax(1), n)
 
-    def before(self, a: np.ndarray, b: np.ndarray, or_equal: bool) -> np.ndarray:
-        """Whether row a sorts before row b."""
-        n = self.common(a, b)
+    def before(self, a: np.ndarray, b: np.ndarray, or_equal: bool, n: np.ndarray | None = None) -> np.ndarray:
+        """Whether row a sorts before row b; n: their common beginning, where it is known."""
+        n = self.common(a, b) if n is None else n
         top = self.data.shape[1] - 1
         x = np.where(n < self.length[a], self.data[a, np.minimum(n, top)].astype(np.int64), -1)
         y = np.where(n < self.length[b], self.data[b, np.minimum(n, top)].astype(np.int64), -1)
         return (x <= y) if or_equal else (x < y)
 
     def sort(self) -> np.ndarray:
-        """Rows by group and suffix: a bottom-up mergesort of all groups at once; each row finds its place by bisection."""
+        """Rows by group and suffix: a bottom-up mergesort of all groups at once; each row finds its place by bisection.
+
+        Where hashes misled comparisons so far that two rows find one place, the bytes are sorted instead.
+        """
         order = np.argsort(self.group, kind="stable")
         g = self.group[order]
         start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
@@ -271,14 +347,32 @@ class Suffixes:
             begin = np.where(mine, first[pick] + run[pick] * width, base)
             own = np.where(mine, here[pick] - begin, here[pick] - (first[pick] + run[pick] * width))
             to[pick] = begin + own + (low - base)
+            if np.bincount(to, minlength=len(to)).max() > 1:
+                return self._sorted_bytes()
             new = np.empty_like(order)
             new[to] = order
             order = new
             width *= 2
         return order
 
+    def _sorted_bytes(self) -> np.ndarray:
+        return np.array(sorted(range(len(self.group)), key=lambda i: (self.group[i], self.data[i, : self.length[i]].tobytes())), np.int64)
+
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (a, b) that follow one another in the sort of a group, and their common beginnings, verified on the bytes."""
+        order = self.sort()
+        for _ in range(2):
+            a, b = order[:-1], order[1:]
+            same = self.group[a] == self.group[b]
+            a, b = a[same], b[same]
+            n = self.verified(a, b)
+            if self.before(a, b, True, n).all():
+                break
+            order = self._sorted_bytes()
+        return a, b, n
 
-def repeats_around(group: np.ndarray, blocks: list[bytes], before: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+
+def repeats_around(group: np.ndarray, blocks: list[bytes], before: np.ndarray, bits: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of anchors in groups of one gram: (anchor, least, greatest offset) at which a string repeats in the group."""
     m = len(blocks)
     after = np.array([len(b) for b in blocks]) - before
@@ -288,17 +382,13 @@ def repeats_around(group: np.ndarray, blocks: list[bytes], before: np.ndarray) -
     row = np.repeat(np.arange(m), sizes)
     column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(BEFORE - before, sizes)
     data[row, column] = flat
-    right = Suffixes(data[:, BEFORE:], after, group)
-    left = Suffixes(data[:, BEFORE - 1 :: -1] if BEFORE else data[:, :0], before, group)
+    right = Suffixes(data[:, BEFORE:], after, group, bits)
+    left = Suffixes(data[:, BEFORE - 1 :: -1] if BEFORE else data[:, :0], before, group, bits)
     low, high = whole(before, after)
     out, best_r, best_l = [], np.zeros(m, np.int64), np.zeros(m, np.int64)
     pairs = []
     for side, best in ((right, best_r), (left, best_l)):
-        order = side.sort()
-        a, b = order[:-1], order[1:]
-        same = group[a] == group[b]
-        a, b = a[same], b[same]
-        n = side.verified(a, b)
+        a, b, n = side.neighbours()
         np.maximum.at(best, a, n)
         np.maximum.at(best, b, n)
         pairs += [(a, b), (b, a)]
@@ -314,7 +404,7 @@ def repeats_around(group: np.ndarray, blocks: list[bytes], before: np.ndarray) -
     doubt = np.unique(group[~settled])
     if len(doubt):
         at = np.flatnonzero(np.isin(group, doubt))
-        prefix = prefix_hashes(data[at])
+        prefix = prefix_hashes(data[at]) & np.uint64((1 << bits) - 1)
         for o in range(BEFORE + 1):
             fits = np.flatnonzero((low[at] <= o) & (o <= high[at]))
             c = BEFORE - o
@@ -322,15 +412,20 @@ def repeats_around(group: np.ndarray, blocks: list[bytes], before: np.ndarray) -
             order = np.lexsort((h, group[at[fits]]))
             x, y = at[fits[order[:-1]]], at[fits[order[1:]]]
             same = (h[order[1:]] == h[order[:-1]]) & (group[x] == group[y])
-            same[same] = (data[x[same], c : c + LENGTH] == data[y[same], c : c + LENGTH]).all(1)
-            hit = np.unique(np.concatenate([x[same], y[same]]))
+            agree = (data[x[same], c : c + LENGTH] == data[y[same], c : c + LENGTH]).all(1)
+            if agree.all():
+                hit = np.unique(np.concatenate([x[same], y[same]]))
+            else:  # unequal strings with one hash: the bytes decide
+                strings = [(group[i], data[i, c : c + LENGTH].tobytes()) for i in at[fits].tolist()]
+                times = Counter(strings)
+                hit = np.array([i for i, t in zip(at[fits].tolist(), strings, strict=True) if times[t] > 1], np.int64)
             out.append((hit, np.full(len(hit), o), np.full(len(hit), o)))
     return out
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (gram, tag): spans (tag 2), and anchors in crowds as they are (tag 3)."""
-    info: tuple[int, int, bool] | None = None
+    info: tuple[int, bool] | None = None
     groups: list[list[tuple]] = []
     waiting = 0
 
@@ -341,7 +436,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.Recor
         groups, waiting = [], 0
         if rows:
             x, before = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            found = repeats_around(number, [r[3] for r in rows], before)
+            found = repeats_around(number, [r[3] for r in rows], before, bits)
             i, lo, hi = (np.concatenate([f[k] for f in found]) for k in range(3))
             owner, start, end = _merged(i, x[i] - hi, x[i] - lo + LENGTH)
             yield _rows(len(owner), tag=np.full(len(owner), 2), key=[rows[k][0] for k in owner.tolist()], start=start, end=end)
@@ -352,20 +447,20 @@ def _resolve(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.Recor
         for i in range(b.num_rows):
             tag, gram = c["tag"][i], c["gram"][i]
             if tag == 0:
-                info = (gram, c["n"][i], c["alike"][i])
+                info = (gram, c["alike"][i])
                 if waiting >= AT_ONCE:
                     yield from settle()
                 groups.append([])
             elif tag == 2:
                 spans.append((c["key"][i], c["start"][i], c["end"][i]))
+            elif tag == 3:
+                crowded.append((gram, c["key"][i], c["x"][i], c["before"][i], c["bytes"][i]))
             elif info is None or info[0] != gram:
                 continue  # let through by the filter alone
-            elif info[2]:
+            elif info[1]:
                 x, before, after = c["x"][i], c["before"][i], c["n"][i]
                 if max(0, LENGTH - after) <= before:
                     spans.append((c["key"][i], x - before, x - max(0, LENGTH - after) + LENGTH))
-            elif info[1] > crowd:
-                crowded.append((gram, c["key"][i], c["x"][i], c["before"][i], c["bytes"][i]))
             else:
                 groups[-1].append((c["key"][i], c["x"][i], c["before"][i], c["bytes"][i]))
                 waiting += 1
@@ -377,25 +472,34 @@ def _resolve(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.Recor
 
 
 def _crowd_spans(crowd: DataFrame) -> DataFrame:
-    """Spans of strings around crowded anchors: each string is a row, counted by its bytes' digest."""
+    """Spans of strings around crowded anchors: each string is a row, counted by 128 bits of its bytes' digest.
+
+    Only rows that may repeat, by a filter of bounded size, meet the repeated strings.
+    """
     o = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(LENGTH) - (F.length("bytes") - F.col("before"))), F.col("before")))
     able = crowd.where(F.length("bytes") >= LENGTH).withColumn("o", o)
-    rows = able.select("gram", "key", "x", "o", F.sha2(F.substring("bytes", F.col("before") - F.col("o") + 1, F.lit(LENGTH)), 256).alias("string"))
-    again = rows.groupBy("gram", "o", "string").count().where("count > 1").drop("count")
-    return rows.join(again, ["gram", "o", "string"], "left_semi").select("key", (F.col("x") - F.col("o")).alias("start"), (F.col("x") - F.col("o") + LENGTH).alias("end"))
+    string = F.substring(F.sha2(F.substring("bytes", F.col("before") - F.col("o") + 1, F.lit(LENGTH)), 256), 1, 32)
+    rows = able.select("key", "x", "o", F.unhex(string).alias("string"))
+    again = materialize(rows.groupBy("o", "string").count().where("count > 1").drop("count"), "crowd-strings")
+    some = BitFilter.build(again.select(F.xxhash64("string").alias("h")), again.count())
+    rows = rows.where(some.column(crowd.sparkSession, F.xxhash64("string")))
+    return rows.join(again, ["o", "string"], "left_semi").select("key", (F.col("x") - F.col("o")).alias("start"), (F.col("x") - F.col("o") + LENGTH).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", crowd: int = CROWD, chunk: int = CHUNK, bits: int = 64) -> DataFrame:
     """(key, spans): by key of a text (text_key of its bytes), the spans that repeat elsewhere, not yet united."""
-    grams = materialize(_count_grams(docs, text, chunk), "grams")
+    grams = materialize(_count_grams(docs, text, chunk, bits), "grams")
     n = grams.count()
     again = BitFilter.build(grams.select("gram"), n)
     unlike = BitFilter.build(grams.where("NOT alike").select("gram"), n)
     blank = {f.name: F.lit(None).cast(f.dataType) for f in T.StructType.fromDDL(ANCHOR).fields}
     heads = grams.select(*[(F.col(c) if c in grams.columns else F.lit(0) if c == "tag" else blank[c]).alias(c) for c in blank])
-    rows = heads.unionByName(_repeated_anchors(docs, text, again, unlike, chunk))
-    found = materialize(rows.repartition("gram").sortWithinPartitions("gram", "tag").mapInArrow(lambda batches: _resolve(batches, crowd), ANCHOR).select("gram", "tag", "key", "x", "before", "bytes", "start", "end"), "repeats")
-    spans = found.where("tag = 2").select("key", "start", "end").unionByName(_crowd_spans(found.where("tag = 3")))
+    rows = heads.unionByName(_repeated_anchors(docs, text, again, unlike, Crowds.of(grams, crowd), chunk, bits))
+    found = materialize(rows.repartition("gram").sortWithinPartitions("gram", "tag").mapInArrow(lambda batches: _resolve(batches, bits), ANCHOR).select("tag", "key", "x", "before", "bytes", "start", "end"), "repeats")
+    spans = found.where("tag = 2").select("key", "start", "end")
+    crowded = found.where("tag = 3")
+    if not crowded.isEmpty():
+        spans = spans.unionByName(_crowd_spans(crowded))
     return spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -407,17 +511,19 @@ _KINDS = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongT
 ADDED = T.StructType([T.StructField(n, k) for n, k in _KINDS.items()])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", kept: bool = True, crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", kept: bool = True, crowd: int = CROWD, chunk: int = CHUNK, bits: int = 64) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes); columns of these names are replaced.
 
     Without kept, the text and its remaining bytes are left out, and only texts with repeats are moved at all.
     """
-    spans = materialize(repeated_spans(docs, text, crowd, chunk), "spans")
+    spans = materialize(repeated_spans(docs, text, crowd, chunk, bits), "spans")
     number = spans.select(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long").alias("k"))
     some = docs.sparkSession.sparkContext.broadcast(BitFilter.build(number, spans.count()))
     added = [f for f in ADDED.fields if kept or f.name != "kept"]
     old = [f for f in docs.schema.fields if f.name not in {x.name for x in added} and (kept or f.name != text)]
     nothing = hashlib.sha256(b"").hexdigest()
+    own = fresh(docs.columns, "key", "body", "n", "sha", "k", "spans")
+    k_key, k_body, k_n, k_sha, k_other, k_spans = own
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -427,15 +533,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", kept: bool = True, crowd
             digest = [None if h else hashlib.sha256(t).hexdigest() if t else nothing for t, h in zip(raw, hit, strict=True)]
             body = [t if h or kept else None for t, h in zip(raw, hit, strict=True)]
             columns = [b.column(f.name) for f in old] + [pa.array(keys, pa.binary()), pa.array(body, pa.binary()), pa.array([len(t) for t in raw], pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in old), "__key", "__body", "__n", "__sha"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in old), *own[:4]])
 
-    keyed = docs.mapInArrow(key, T.StructType([*old, *T.StructType.fromDDL("__key binary, __body binary, __n long, __sha string").fields]))
-    joined = keyed.join(spans.select(F.col("key").alias("__k"), F.col("spans").alias("__spans")), F.col("__key") == F.col("__k"), "left")
+    keyed = docs.mapInArrow(key, T.StructType([*old, *T.StructType.fromDDL(f"{k_key} binary, {k_body} binary, {k_n} long, {k_sha} string").fields]))
+    joined = keyed.join(spans.select(F.col("key").alias(k_other), F.col("spans").alias(k_spans)), F.col(k_key) == F.col(k_other), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {f.name: [] for f in ADDED.fields}
-            for raw, n, sha, found in zip(*(b.column(c).to_pylist() for c in ("__body", "__n", "__sha", "__spans")), strict=True):
+            for raw, n, sha, found in zip(*(b.column(c).to_pylist() for c in (k_body, k_n, k_sha, k_spans)), strict=True):
                 removed, runs, rest = 0, 0, raw
                 if found:
                     pieces, at = [], 0

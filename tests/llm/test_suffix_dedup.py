@@ -52,11 +52,12 @@ def planted(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "crowd", "chunk"), [(1, 40_000, 2 << 20), (2, 5, 2 << 20), (3, 40_000, 900)])
-def test_planted_repeats(spark, seed, crowd, chunk):
+@pytest.mark.parametrize(("seed", "crowd", "chunk", "bits"), [(1, 40_000, 2 << 20, 64), (2, 5, 2 << 20, 64), (3, 40_000, 900, 64), (4, 40_000, 2 << 20, 5), (5, 5, 900, 3)])
+def test_planted_repeats(spark, seed, crowd, chunk, bits):
+    """Crowded anchors, texts cut in chunks, and hashes of so few bits that most of them collide."""
     rows = planted(seed)
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_spans int").repartition(3)
-    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.remove_repeats(df, crowd=crowd, chunk=chunk).collect())
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.remove_repeats(df, crowd=crowd, chunk=chunk, bits=bits).collect())
     assert got == brute(rows)
 
 
@@ -66,6 +67,23 @@ def test_documents(spark, sf_dir):
     assert got == brute([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_columns_named_like_own_ones_and_nulls(spark):
+    rows = [(1, "a" * 250, "k", 1, b"b"), (None, None, None, None, None), (1, "a" * 250, "k", 1, b"b"), (2, "b" * 199, "k", 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, __key int, __body binary")
+    got = sorted(tuple(r) for r in sd.remove_repeats(df).select("n_bytes", "n_removed", "n_spans", "kept", "__key", "__body").collect())
+    assert got == [(0, 0, 0, b"", None, None), (199, 0, 0, b"b" * 199, 1, None), (250, 250, 1, b"", 1, b"b"), (250, 250, 1, b"", 1, b"b")]
+
+
+def test_misled_sort_falls_back_to_bytes():
+    r = np.random.default_rng(2)
+    data = r.integers(97, 99, (300, 12)).astype(np.uint8)
+    s = sd.Suffixes(data, np.full(300, 12), np.zeros(300, int), bits=2)
+    a, b, n = s.neighbours()
+    rows = [bytes(x) for x in data]
+    assert [rows[i] for i in [*a.tolist(), b[-1]]] == sorted(rows)
+    assert n.tolist() == [next((k for k, (p, q) in enumerate(zip(rows[i], rows[j])) if p != q), 12) for i, j in zip(a, b)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sd.remove_repeats(df).count() == 0
