@@ -70,8 +70,15 @@ def _encode(row: dict, level: int) -> bytes:
     return _member("response", [*headers, ("Content-Type", "application/http; msgtype=response")], head.encode() + row["payload"], level)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme by which Spark itself would read it, so that workers and Spark mean the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def write_archives(records: DataFrame, folder: str, level: int = 3) -> DataFrame:
     """Writes classified records to .warc.gz files in a shared folder; returns the written index."""
+    folder = qualified(records.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -124,11 +131,16 @@ def _parse(member: bytes) -> dict:
 def read_archives(index: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     """The records of the selected index rows; with payload, their bytes too (null for revisits).
 
-    Rows of a file are grouped by stretches of RANGE_BYTES, so a group is bounded by that many bytes of records;
+    Tasks are as many as RANGE_BYTES go into the selected records. Rows of a file are grouped by stretches of RANGE_BYTES, so a group is bounded by that many bytes of records;
     in a stretch, records nearer than GAP_BYTES share one read.
     """
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload
-    ranges = index.groupBy("file", F.floor(F.col("offset") / RANGE_BYTES).alias("range")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))
+    folder = qualified(index.sparkSession, folder)
+    ranges = index.groupBy("file", F.floor(F.col("offset") / RANGE_BYTES).alias("range")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"), F.sum("length").alias("bytes"))
+    ranges = materialize(ranges, "warc-ranges")
+    total = ranges.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    # as many tasks as the selected bytes need, however small the index is
+    ranges = ranges.repartition(max(1, -(-total // RANGE_BYTES)), "file", "range")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
