@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 #: Candidates a splitter in each round, and the first grid's candidates a shard.
 PROBES = 16
@@ -102,8 +102,9 @@ def shard_by_bytes(docs: DataFrame, shards: int, size: Column, group: Column, ke
     added names are replaced. The wide rows move once, into ranges that each hold a bounded part of a shard.
     """
     docs = docs.drop("shard", "slot")
-    marked = docs.withColumns({"size": size, "__h": F.xxhash64(F.coalesce(group, F.lit(""))), "__k": F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))})
-    rows = materialize(marked.select(F.col("__h").alias("h"), F.col("__k").alias("k"), "size"), "shard-keys")
+    h, k, s, r, d, b = fresh(docs.columns, "h", "k", "s", "r", "d", "b")
+    marked = docs.withColumns({h: F.xxhash64(F.coalesce(group, F.lit(""))), k: F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)), "size": size})
+    rows = materialize(marked.select(F.col(h).alias("h"), F.col(k).alias("k"), "size"), "shard-keys")
     keys, starts, cuts = find_splitters(rows, shards, tolerance)
     packed = _pack(keys)
     shard_of = np.searchsorted(np.array(cuts), np.arange(len(keys)), "right")
@@ -114,11 +115,10 @@ def shard_by_bytes(docs: DataFrame, shards: int, size: Column, group: Column, ke
     def stretch(h: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(packed, _packed(h.to_numpy(), k.to_numpy()), "right").astype(np.int32) - 1)
 
-    w = Window.partitionBy("__s").orderBy("__h", "__k")
-    out = marked.withColumn("__s", stretch("__h", "__k")).withColumn("__r", F.row_number().over(w))
-    places = docs.sparkSession.createDataFrame(pd.DataFrame({"__s": np.arange(len(keys), dtype=np.int32), "__d": shard_of.astype(np.int32), "__b": base.astype(np.int64)}))
-    out = out.join(F.broadcast(places), "__s")  # one row a stretch; their number depends on that of shards alone
-    return out.withColumns({"shard": F.col("__d"), "slot": F.col("__b") + F.col("__r") - 1}).drop("__s", "__r", "__h", "__k", "__d", "__b")
+    out = marked.withColumn(s, stretch(h, k)).withColumn(r, F.row_number().over(Window.partitionBy(s).orderBy(h, k)))
+    places = docs.sparkSession.createDataFrame(pd.DataFrame({s: np.arange(len(keys), dtype=np.int32), d: shard_of.astype(np.int32), b: base.astype(np.int64)}))
+    out = out.join(F.broadcast(places), s)  # one row a stretch; their number depends on that of shards alone
+    return out.withColumns({"shard": F.col(d), "slot": F.col(b) + F.col(r) - 1}).drop(s, r, h, k, d, b)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
