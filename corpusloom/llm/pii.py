@@ -15,6 +15,8 @@ repeated results; without seeds nothing is added; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,23 +43,41 @@ OCTETS = rf"^{PART}(?:\.{PART}){{3}}$"
 ROUNDS, SMOOTH, CONFIDENT, SEEDS = 3, 1.0, 0.8, 3
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running_sums(xs: Column, block: int = 256) -> Column:
+    """Sums of an int array up to and with each element: by blocks, so that no array grows to the length of xs."""
+
+    def sums(some: Column) -> Column:
+        return F.aggregate(some, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda i: sums(F.slice(xs, i * block + 1, F.lit(block))))
+
+    def shifted(inner: Column) -> Column:
+        starts = F.slice(sums(F.transform(inner, lambda s: F.element_at(s, -1))), 1, F.size(inner))
+        return F.flatten(F.zip_with(inner, starts, lambda s, at: F.transform(F.slice(s, 2, F.size(s) - 1), lambda x: x + at)))
+
+    return F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(bound(blocks, shifted))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value, before>> of a pattern's leftmost non-overlapping matches, in code points.
 
-    Offsets add up from the lengths of the matches and of the pieces between them; before is the end of the piece.
+    The text is cut at the matches; ends are running sums of the lengths of pieces and matches; before is the end of the
+    piece before a match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    both = F.arrays_zip(found.alias("value"), F.slice(pieces, 1, F.size(found)).alias("piece"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start: int, end: int, value: string, before: string>>)").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["piece"], F.lit(80)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
-
-    return F.aggregate(both, zero, step, lambda acc: acc["spans"])
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("pieces"))
+
+    def placed(c: Column) -> Column:
+        pieces = F.slice(c["pieces"], 1, F.size(c["values"]))
+        ends = running_sums(F.zip_with(pieces, c["values"], lambda p, v: F.length(p) + F.length(v)))
+        rows = F.arrays_zip(c["values"].alias("value"), pieces.alias("piece"), ends.alias("end"))
+        return F.transform(rows, lambda x: F.struct((x["end"] - F.length(x["value"])).alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.right(x["piece"], F.lit(80)).alias("before")))
+
+    return bound(cut, placed)
 
 
 def luhn(digits: Column) -> Column:

@@ -1,6 +1,7 @@
 """Personal data and secrets against plain Python searches over the same texts."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -75,6 +76,67 @@ def test_identifiers_of_any_length_are_candidates(spark):
     assert got[200] == got[201] == got[202] == ""
 
 
+def brute_found(rows):
+    """Spans found by contexts: links of patterns and identifiers, and the rounds of scoring, in plain loops."""
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    token = r"(?<![A-Za-z0-9_@.+-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9][A-Za-z0-9_-]{3,}[A-Za-z0-9](?![_-]*[A-Za-z0-9@])"
+    blank = "[\\s!-/:-@\\[-`{-~]"
+    context = rf"([a-z:#=]+){blank}+([a-z:#=]+){blank}*$"
+    links, places = {}, []
+    for i, t in rows:
+        bases = [(m.start(), m.end()) for p in plain.values() for m in re.finditer(p, t)]
+        for p, seed in [*((p, 1) for p in plain.values()), (token, 0)]:
+            at = 0
+            for m in re.finditer(p, t):
+                before, at = t[at : m.start()][-80:].lower(), m.end()
+                found = re.search(context, before)
+                if found and (seed or not any(a < m.end() and m.start() < b for a, b in bases)):
+                    pattern = re.sub(r"\s+", " ", found[0])
+                    links[pattern, m[0]] = max(seed, links.get((pattern, m[0]), 0))
+                    if not seed:
+                        places.append((i, pattern, m.start(), m.end()))
+    score = {}
+    for (_, x), seed in links.items():
+        score[x] = max(seed, score.get(x, 0))
+    seeds = dict(score)
+    for _ in range(pii.ROUNDS):
+        mean, count = {}, {}
+        for p in {p for p, _ in links}:
+            held = [x for q, x in links if q == p]
+            mean[p] = sum(score[x] for x in held) / (len(held) + pii.SMOOTH)
+            count[p] = sum(links[p, x] for x in held)
+        for x in score:
+            doubt = 1.0
+            for p in (p for p, y in links if y == x):
+                doubt *= max(1 - (mean[p] if count[p] >= pii.SEEDS else 0), 1e-9)
+            score[x] = 1.0 if seeds[x] else 1 - doubt
+    good = {p for p in mean if mean[p] >= pii.CONFIDENT and count[p] >= pii.SEEDS}
+    return sorted({(i, f"found:{a}:{b}") for i, p, a, b in places if p in good}), good, set(mean)
+
+
+def test_found_spans_match_plain_scoring(spark):
+    """Contexts with many or few seeds, shared identifiers, and unseen ones that only further rounds reach."""
+    r = random.Random(6)
+    ids = [f"QX{i}7{chr(97 + i)}Z" for i in range(14)]
+    texts = []
+    for k in range(9):  # context k has k seeds, and each identifier stands in some contexts
+        lead = f"call {'abcdefghi'[k] * 3} desk"
+        texts += [f"Now {lead}: user{k}x{j}@example.org ok" for j in range(3 * k)] + [f"then {lead} +1 555 0100 {k}{j}00 as said" for j in range(k)]
+        texts += [f"{lead} {r.choice(ids)} and {lead} {r.choice(ids)}" for _ in range(r.randrange(1, 5))]
+    texts += [f"see the file {x} there" for x in ids[:4]] + [f"see the file u{j}@ex.org there" for j in range(6)] + ["", "plain words", "a b c1234"]
+    rows = list(enumerate(texts))
+    want, good, patterns = brute_found(rows)
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert 2 <= len(good) < len(patterns) - 3 and len(want) > 3
+    assert sorted((x["doc_id"], s) for x in got for s in x["spans"].split(",") if s.startswith("found")) == want
+
+
+def test_offsets_of_very_many_matches(spark):
+    rows = [(0, "é " + "a@b.c " * 700), (1, "1.2.3.4 " * 256), (2, "1.2.3.4 " * 257), (3, None), (4, "x")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: spell(brute_pii(t)) for i, t in rows}
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{32,}") is True
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", (b"aki", b"kia"))
