@@ -169,6 +169,17 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def least_names(linked: DataFrame, names: DataFrame, salts: int = 16) -> DataFrame:
+    """(node, best): the least name in each node's component, of linked(node, component) and names(rep, name), nulls aside.
+
+    A component's name goes to salted copies, so that a large one doesn't meet its members in one place.
+    """
+    best = linked.join(names.select("rep", "name"), F.col("node") == F.col("rep")).groupBy(F.col("component").alias("c")).agg(F.min("name").alias("best"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    at = linked.withColumn("at", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    return at.join(best, (at.component == best.c) & (F.col("at") == best.salt)).select("node", "best")
+
+
 class BitFilter:
     """A set of 64-bit values as at most 2**most bits: answers "no" surely and "yes" probably.
 

@@ -10,7 +10,9 @@ Expected recall of pairs at the threshold is above 0.999 (tests measure it again
 the axes a code and the tables together, so a bucket's expected size stays bounded.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and null labels, link with
-nothing; vectors of other lengths are never compared; repeated rows link with one another; an empty table gives none.
+nothing; vectors of other lengths are never compared; repeated rows link with one another; equal ids with different
+vectors are judged apart; a null id is judged like any other, but a component is named by its smallest id that isn't null
+(null if it has none) and kept is false for a null id; an empty table gives none; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, forest, materialize, prepare, table
+from .common import components, forest, least_names, materialize, prepare, table
 
 #: Rows of a bucket that are compared in one task; classes of one label that share a code of one axis, about.
 BLOCK, SHARE = 2048, 4096
@@ -125,7 +127,8 @@ def similar_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), v.alias("x"))
     good = F.col("label").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists("x", lambda a: a != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    classes = materialize(rows.where("good").groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "vector-classes")
+    classes = rows.where("good").groupBy("label", "x").agg(F.min("id").alias("name"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id())
+    classes = materialize(classes, "vector-classes")  # numbers are fixed by writing them
     axes = 1
     widest = classes.agg(F.max(F.size("x"))).first()[0] or 2
     while classes.count() / (2 * widest) ** axes > SHARE:
@@ -140,8 +143,9 @@ def similar_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 got = codes(_unit(_matrix(part.column("x"))), tables, axes)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(got.reshape(len(got), -1)), pa.list_(pa.int64()))], names=[*part.schema.names, "codes"])
 
-    schema = T.StructType([*classes.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])
-    coded = materialize(classes.mapInArrow(hashed, schema), "vector-codes")
+    bare = classes.select("label", "x", "rep", "size")
+    schema = T.StructType([*bare.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])
+    coded = materialize(bare.mapInArrow(hashed, schema), "vector-codes")
     step = 1 + PROBES
     spots = F.posexplode(F.expr("array_distinct(transform(codes, (c, i) -> struct(CAST(i DIV {0} AS INT) AS t, c AS code)))".format(step)))
     placed = coded.select("*", spots).select("label", F.size("x").alias("dim"), "rep", "size", "x", "codes", "col.t", "col.code")
@@ -160,12 +164,14 @@ def similar_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     found = materialize(placed.groupBy(*place, "a", "b").applyInArrow(links, "u long, v long, added long"), "vector-links")
     counts = found.where("v IS NULL").groupBy("u").agg(F.sum("added").alias("added"))
-    joined = components(found.where("v IS NOT NULL").select("u", "v"))
-    known = classes.join(counts, classes.rep == counts.u, "left").join(joined, F.col("rep") == F.col("node"), "left")
-    known = known.select(F.col("label").alias("l2"), F.col("x").alias("x2"), (F.col("size") - 1 + F.coalesce("added", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
+    joined = materialize(components(found.where("v IS NOT NULL").select("u", "v")), "vector-components")
+    named = least_names(joined, classes)
+    known = classes.join(counts, classes.rep == counts.u, "left").join(named, F.col("rep") == F.col("node"), "left")
+    component = F.when(F.col("node").isNull(), F.col("name")).otherwise(F.col("best"))
+    known = known.select(F.col("label").alias("l2"), F.col("x").alias("x2"), (F.col("size") - 1 + F.coalesce("added", F.lit(0))).alias("n"), component.alias("component"))
     out = rows.join(known, F.col("good") & (rows.label == F.col("l2")) & (rows.x == F.col("x2")), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("component"))
+    return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

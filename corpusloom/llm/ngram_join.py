@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, BitFilter, components, materialize, prepare, shingle_hashes, table, word_hashes
+from .common import LOWER, UPPER, BitFilter, components, least_names, materialize, prepare, shingle_hashes, table, word_hashes
 
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Sets of a family that one task joins (twice as many for a pair of blocks), about.
@@ -500,11 +500,7 @@ def ngram_classes(docs: DataFrame, columns: list[str], name: Column, text: str =
     classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(name).alias("name")).withColumn("rep", F.monotonically_increasing_id())
     classes = materialize(classes, "classes")  # numbers are fixed by writing them
     linked = materialize(components(similar_classes(docs, classes, hot, text, n, measure)), "linked-classes")
-    # a component's name goes to salted copies, so that a large one doesn't meet its members in one place
-    best = linked.join(classes, linked.node == classes.rep).groupBy(F.col("component").alias("c")).agg(F.min("name").alias("best"))
-    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    linked = linked.withColumn("at", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    named = linked.join(best, (linked.component == best.c) & (F.col("at") == best.salt)).select("node", "best")
+    named = least_names(linked, classes)
     known = classes.join(named, classes.rep == named.node, "left").select("s1", "s2", F.col("n").alias("n0"), F.when(F.col("node").isNull(), F.col("name")).otherwise(F.col("best")).alias("name"))
     out = rows.join(known, (rows.s1 == known.s1) & (rows.s2 == known.s2) & (rows.n == F.col("n0")), "left")
     return out.select(*[rows[c] for c in columns], rows.n, known.name)
