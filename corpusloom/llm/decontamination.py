@@ -3,8 +3,8 @@
 A window is `width` consecutive words of an item (all of a shorter item). Its shingles are ordered by rarity, counted
 over all documents; for exact containment the necessary prefix is its rarest shingle alone. Documents are joined on
 that shingle; the window must then fit at the implied place (bounds by position and length), and every word is
-compared. Benchmark items are broadcast in blocks of at most BLOCK words, so what is broadcast has a fixed bound;
-documents are read in place, never shuffled, whatever their sources or copies.
+compared. Benchmark items, long ones in pieces, are broadcast in blocks of about BLOCK words, so what is broadcast has a
+fixed bound; each block reads the documents twice, in place; they are never shuffled, whatever their sources or copies.
 
 Defined results: null, empty or wordless texts have no words and no hits; wordless items have no windows; equal item
 ids are one item; a null item id counts as "null"; repeated documents are judged alike; no items, no hits.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, prepare, table
+from .common import LOWER, UPPER, materialize, prepare, table
 
 #: Words of the benchmark in one broadcast block.
 BLOCK = 500_000
@@ -167,18 +167,37 @@ def _hits(ids: np.ndarray, windows: Windows, prefixes: list[Prefixes]) -> tuple[
     return (np.concatenate(starts), np.concatenate(found)) if starts else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def _pieces(items: DataFrame, width: int, block: int) -> DataFrame:
+    """(item_id, text, n): words of items, joined by blanks; of long items stretches of `block` words that share windows' ends."""
+    schema = T.StructType([*items.select("item_id").schema.fields, *T.StructType.fromDDL("text string, n long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, text, n = [], [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                words = words_of(t)
+                for at in range(0, max(len(words) - width + 1, 1) if words else 0, block):
+                    piece = words[at : at + block + width - 1]
+                    owner.append(i)
+                    text.append(b" ".join(piece).decode("utf-8", "surrogatepass"))
+                    n.append(len(piece))
+            yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(owner, pa.int64())), pa.array(text, pa.string()), pa.array(n, pa.int64())], names=["item_id", "text", "n"])
+
+    return items.mapInArrow(run, schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256, contaminated, items (array<string>) and hit_words (array of
     start/end word numbers, end exclusive) to docs; columns of these names are replaced."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // (2 * block)))  # a word and its blank take two characters at least
+    items = materialize(_pieces(benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")), width, block).distinct(), "benchmark-pieces")
+    size = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block))
     added = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(), "items": pa.list_(pa.string()), "hit_words": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
     kinds = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hit_words array<struct<start: bigint, end: bigint>>"
     out = docs.drop(*[c for c in added if c != text])
     for i in range(blocks):
-        part = [(r["item_id"], words_of(r["text"])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()]
+        part = [(r["item_id"], r["text"].encode("utf-8", "surrogatepass").split()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()]
         windows = spark.sparkContext.broadcast(Windows.of(part, width))
         prefixes = spark.sparkContext.broadcast(_prefixes(windows.value, _document_counts(docs, windows, text)))
         have = i > 0

@@ -65,6 +65,10 @@ def test_decontamination(spark, edge, block):
     got = decontamination.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block=block)
     key = lambda x: tuple(map(str, x))
     assert sorted((tuple(x) for x in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=key) == sorted(brute_hits(docs, items), key=key)
+    # one item longer than a block, and one item in many rows
+    long = [(1, " ".join(r.choices(words, k=95)))] + [(2, "w1 w2 w3 w4")] * 30
+    got = decontamination.decontaminate(df, spark.createDataFrame(long, "item_id long, text string"), block=block)
+    assert sorted((tuple(x) for x in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=key) == sorted(brute_hits(docs, long), key=key)
     assert decontamination.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
     assert decontamination.decontaminate(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
@@ -98,17 +102,28 @@ def test_embedding_links_match_brute_force(spark):
     assert got == want
 
 
-def test_embedding_blocks_and_axes(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize(("share", "block"), [(4096, 9), (0.5, 2048), (0.001, 9)])
+def test_embedding_blocks_and_axes(spark, sf_dir, monkeypatch, share, block):
+    """All links of brute force with codes of one, two and three axes."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = lambda: sorted(tuple(x) for x in embedding_dedup.similar_vectors(df).collect())
-    want = rows()
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 9)
-    assert rows() == want
-    monkeypatch.setattr(embedding_dedup, "SHARE", 3)  # two axes a code
-    assert sum(a == b for a, b in zip(rows(), want)) >= 0.9 * len(want)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "SHARE", share)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    want = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({embedding_dedup.ORACLE['op3_embedding_dedup']})").fetchall()
+    assert sorted(tuple(x) for x in embedding_dedup.similar_vectors(df).collect()) == sorted(want)
     assert embedding_dedup.similar_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_null_and_equal_ids(spark):
+    x, y = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1]
+    z = [0.0, 1.0, 0.0]
+    rows = [(None, x, 1), (4, y, 1), (4, z, 1), (7, z, 1), (None, [-1.0, 0.0, 0.0], 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((tuple(r) for r in embedding_dedup.similar_vectors(df).collect()), key=str)
+    assert got == sorted([(None, 1, 4, False), (4, 1, 4, True), (4, 1, 4, True), (7, 1, 4, False), (None, 0, None, False), (None, 0, None, False)], key=str)
+
+
 # ---- archives
 
 
@@ -155,6 +170,27 @@ def test_shards(spark, edge, sf_dir):
             assert max(bytes_.values()) - min(bytes_.values()) <= 2 * most + 0.02 * sum(bytes_.values()) / n
 
 
+def test_shard_query_against_plain_rules(spark, sf_dir):
+    """Sizes, checksums, law, gapless slots, near equal sizes and equal texts together, of the query itself."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = sharding.op8_sharding(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    raw = {i: (t or "").encode() for i, t in texts.items()}
+    assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw[r["doc_id"]]) + 16, zlib.crc32(raw[r["doc_id"]]), "bytes", None) for r in rows)
+    slots, sizes, places = Counter(), Counter(), {}
+    for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])):
+        assert 0 <= r["shard"] < 40 and r["slot"] == slots[r["shard"]]
+        slots[r["shard"]] += 1
+        sizes[r["shard"]] += r["size"]
+        places.setdefault(texts[r["doc_id"]], []).append(r["shard"])
+    mean, most = sum(sizes.values()) / 40, max(r["size"] for r in rows)
+    group = Counter()
+    for r in rows:
+        group[texts[r["doc_id"]]] += r["size"]
+    assert all(len(set(s)) == 1 for t, s in places.items() if group[t] <= mean / 100)
+    assert max(sizes.values()) - min(sizes[i] for i in range(40)) <= 2 * max(most, *group.values()) + mean / 50
+
+
 # ---- tokens
 
 
@@ -167,11 +203,21 @@ def test_tokens_match_the_library(spark, edge):
     library = sentencepieces.encoder(model).library
     for row in sentencepieces.encode_texts(df.withColumn("ids", F.lit(1)), model, decoded=True).collect():
         want = library.encode(row["text"] or "", add_eos=True)
-        assert row["ids"] == want and row["n_tokens"] == len(want) and row["decoded"] == library.decode(want)
+        assert row["ids"] == want and not row["corrected"] and row["n_tokens"] == len(want) and row["decoded"] == library.decode(want)
         assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
     assert sentencepieces.encode_texts(df.limit(0), model).count() == 0
 
 
+def test_library_stands_where_the_agenda_differs():
+    e = sentencepieces.MergeEncoder(sentencepieces.default_model())
+    texts = ["some words here", None, "other words"]
+    want = [e.library.encode(t or "", add_eos=True) for t in texts]
+    e.merge = lambda text: (7,) if "words" in text else sentencepieces.MergeEncoder.merge(e, text)
+    assert [(r[0], r[2]) for r in e.encode_batch(texts)] == [(want[0], True), (want[1], False), (want[2], True)]
+    e.known[sentencepieces.SPACE + "here"] = (1, 2, 3)  # a wrong stretch is met by the check of a whole text
+    assert [r[0] for r in e.encode_batch(texts[:1])] == want[:1]
+
+
 # ---- toxicity
 
 
@@ -197,6 +243,20 @@ def test_ordinal_fit_recovers_order():
     assert w[0] > 0.5 and (np.diff(t) > 0).all()
 
 
+def test_scores_match_a_plain_loop(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert model.weights and len(model.thresholds) >= 2
+    for r in toxicity.score(docs.unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string")), model).collect():
+        counts = Counter()
+        for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()):
+            for f in {w} | {w[:n] + "*" for n in (4, 5) if len(w) >= n}:
+                counts[f] += 1
+        x = sum(w * np.log(1 + counts[f]) for f, w in model.weights.items() if counts[f])
+        p = [1 / (1 + np.exp(t - x)) for t in model.thresholds]
+        assert abs(r["severity"] - sum(p)) < 1e-5 and r["toxic"] == (p[0] >= 0.5) and abs(r["grade"] - sum(p)) <= 0.50001
+
+
 def test_toxicity_edge_cases(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score(edge, toxicity.fit(edge, none)).where("toxic OR severity <> 0").count() == 0
