@@ -12,6 +12,7 @@ named like results are replaced.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import itertools
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from .common import prepare, table
 
 SPACE = "▁"
-#: Stretches kept by each Python worker; only speed depends on it.
-CACHE = 200_000
+#: Stretches in each of the two generations that a Python worker keeps; only speed depends on it.
+CACHE = 250_000
 #: Stretches of texts whose new ones are compared with the library at once.
 AT_ONCE = 200_000
 #: Symbols up to which the agenda is a plain list.
@@ -72,6 +73,7 @@ class MergeEncoder:
         self.cut = next(c for c in (FINE, COARSE, WHOLE) if all(c.fullmatch(x) and c.match(x).end() == len(x) for x in self.ids))
         self.names = [str(i) for i in range(len(proto.pieces))]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.corrected: set[str] = set()
 
     def merge(self, text: str) -> tuple[int, ...]:
@@ -142,22 +144,30 @@ class MergeEncoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[list[int], str, bool]]:
         """Ids of each text with the end id, their decimal form joined by spaces, and whether the library corrected them."""
-        known, cut, names, out = self.known, self.cut.findall, self.names, []
+        cut, names, out = self.cut.findall, self.names, []
         at = 0
         while at < len(texts):
+            if len(self.known) > CACHE:  # what is used again comes over from the older generation
+                self.known, self.older = {}, self.known
+                self.corrected.intersection_update(self.older)
+            known, older = self.known, self.older
             cuts, new, stop, held = [], {}, at, 0
             while stop < len(texts) and (stop == at or held < AT_ONCE):  # a stretch of texts whose new stretches are learnt at once
                 text = texts[stop]
                 parts = cut(self.prefix + text.replace(" ", SPACE)) if text else []
-                new.update(dict.fromkeys(set(parts).difference(known)))
+                for x in set(parts).difference(known):
+                    if (ids := older.get(x)) is None:
+                        new[x] = None
+                    else:
+                        known[x] = ids
                 cuts.append(parts)
                 held += len(parts)
                 stop += 1
-            if len(known) > CACHE:
-                known.clear()
-                self.corrected.clear()
-                new = dict.fromkeys(itertools.chain.from_iterable(cuts))
-            self._learn(list(new))
+            gc.disable()  # nothing here is cyclic, and walking the stretches that are kept takes time
+            try:
+                self._learn(list(new))
+            finally:
+                gc.enable()
             for parts in cuts:
                 ids = [*itertools.chain.from_iterable(map(known.__getitem__, parts)), self.end]
                 out.append((ids, " ".join(map(names.__getitem__, ids)), bool(self.corrected) and not self.corrected.isdisjoint(parts)))
