@@ -37,6 +37,10 @@ DOCUMENT_TYPES = {
 }
 # Latin strings that stand for Devanagari ones after a bad OCR, replaced in this order.
 OCR_REPAIRS = {"qr": "क", "qrf": "क्र", "T{": "भा", "ffi": "ति", "z": "्य", "t": "र", "f": "ी", "r": "ा"}
+# Consonants that a blank parts from the one they join, replaced in this order.
+CONJUNCTS = {"क र": "क्र", "त र": "त्र", "द र": "द्र", "न र": "न्र", "प र": "प्र", "म र": "म्र"}
+#: Host names that a bad OCR misspells.
+URL_REPAIRS = {".qov.in": ".gov.in"}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _DATES = re.compile(rf"\b(\d{{1,2}})(?:(?:th|st|nd|rd)\s+({'|'.join(MONTHS)})[a-z]*\s+|([-/])(\d{{1,2}})[-/])(\d{{4}})\b", re.IGNORECASE)
 
@@ -110,10 +114,11 @@ def repair(text: Column, rules: dict[str, str]) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), rules.items(), text)
 
 
-def repair_ocr(text: Column, language: Column, only: str = "hi", rules: dict[str, str] | None = None) -> Column:
-    """Repairs texts of one language and joins vowel signs that a blank parted from their consonant."""
-    fixed = F.regexp_replace(repair(text, OCR_REPAIRS if rules is None else rules), r"([क-ह])\s+([ा-ौ])", "$1$2")
-    return F.when(language == only, fixed).otherwise(text)
+def repair_ocr(text: Column, language: Column, only: str = "hi", rules: dict[str, str] | None = None, urls: dict[str, str] | None = None) -> Column:
+    """Repairs texts of one language: ordered replacements, signs and consonants that a blank parted, and misspelt hosts."""
+    signs = F.regexp_replace(repair(text, OCR_REPAIRS if rules is None else rules), r"([ा-ृ])\s+(्)", "$1$2")
+    joined = repair(F.regexp_replace(signs, r"([क-ह])\s+([ा-ौ])", "$1$2"), CONJUNCTS)
+    return F.when(language == only, repair(joined, URL_REPAIRS if urls is None else urls)).otherwise(text)
 
 
 def repair_decoding(text: Column, char: str = "°") -> Column:

@@ -20,11 +20,28 @@ def verbalise(edges: DataFrame, types: list[str] = VERBALISED) -> DataFrame:
 
 
 def split(rows: DataFrame, label: str = "label", share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Adds train (boolean): exactly the floor of `share` of each class, chosen by a hash of the text."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64("text", F.lit(seed)), "text")
-    n = rows.groupBy(label).agg(F.count("*").alias("n"))  # one row a class
-    ranked = rows.withColumn("r", F.row_number().over(order)).join(F.broadcast(n), label)
-    return ranked.withColumn("train", F.col("r") <= F.floor(F.col("n") * share)).drop("r", "n")
+    """Adds train (boolean): exactly the floor of `share` of each class, chosen by a hash of the text.
+
+    Rows are counted by stretches of the hash; only those of the stretch that holds a class's cut are ranked.
+    """
+    mark = rows.withColumn("__h", F.xxhash64("text", F.lit(seed))).withColumn("__at", F.shiftright("__h", 50))
+    counts = mark.groupBy(label, "__at").agg(F.count("*").alias("n"))  # at most 16,384 rows a class
+    of_class = Window.partitionBy(label)
+    counts = counts.select(F.col(label).alias("__label"), F.col("__at").alias("__k"), F.sum("n").over(of_class.orderBy("__at")).alias("__upto"), "n", F.floor(F.sum("n").over(of_class) * share).alias("__most"))
+    counts = counts.select("__label", "__k", (F.col("__most") - F.col("__upto") + F.col("n")).alias("__need"), F.col("n").alias("__n"))
+    both = mark.join(counts, mark[label].eqNullSafe(F.col("__label")) & (F.col("__at") == F.col("__k")))
+    open_ = (F.col("__need") > 0) & (F.col("__need") < F.col("__n"))
+    ranked = both.where(open_).withColumn("train", F.row_number().over(Window.partitionBy(label, "__at").orderBy("__h", "text")) <= F.col("__need"))
+    return both.where(~open_).withColumn("train", F.col("__need") > 0).unionByName(ranked).select(*rows.columns, "train")
+
+
+def numbered(names: DataFrame, column: str, number: str, buckets: int = 1024) -> DataFrame:
+    """Distinct names with numbers from 0 on: ranks within hash buckets, after the counts of the buckets before."""
+    rows = names.select(column).distinct().withColumn("__b", F.pmod(F.xxhash64(column), F.lit(buckets)))
+    counts = rows.groupBy("__b").agg(F.count("*").alias("n"))  # at most one row a bucket
+    before = counts.select(F.col("__b").alias("__k"), (F.sum("n").over(Window.orderBy("__b")) - F.col("n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy(column))
+    return rows.withColumn("__r", rank).join(F.broadcast(before), F.col("__b") == F.col("__k")).select(column, (F.col("__before") + F.col("__r") - 1).alias(number))
 
 
 def train(rows: DataFrame, features: int = 1 << 16) -> PipelineModel:
@@ -74,8 +91,8 @@ def negatives(satellites: DataFrame, terms: DataFrame, n: int, seed: int = 42) -
 
     A pair is drawn by hashing: satellite i of a numbered list and term j, so pairs are never all formed.
     """
-    s = satellites.select("satellite").distinct().withColumn("i", F.row_number().over(Window.orderBy("satellite")) - 1)
-    t = terms.toDF("term").distinct().withColumn("j", F.row_number().over(Window.orderBy("term")) - 1)
+    s = numbered(satellites, "satellite", "i")
+    t = numbered(terms.toDF("term"), "term", "j")
     ns, nt = s.count(), t.count()
     draws = satellites.sparkSession.range(2 * n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(ns, 1))).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max(nt, 1))).alias("j"), "id")
     drawn = draws.groupBy("i", "j").agg(F.min("id").alias("id")).orderBy("id").limit(n)

@@ -96,6 +96,27 @@ def merge_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     return nodes.unionByName(new.dropDuplicates(["label", "name"]).join(nodes.select("label", "name"), ["label", "name"], "left_anti"), allowMissingColumns=True)
 
 
+def merge_seeds(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, known: list[str], head: str = "INSTRUMENT", kind: str = "MEASURES", tail: str = "PARAMETER") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with seed pairs(head, tail) merged in: tails and edges are made where they are missing, heads too if
+    the list of known names has them; pairs of other missing heads are passed over."""
+    have = nodes.where(F.col("label") == head).select(F.col("name").alias("head")).distinct()
+    listed = pairs.where(F.col("head").isin(*known)) if known else pairs.limit(0)
+    good = pairs.join(have, "head", "left_semi").unionByName(listed).distinct()
+    new = good.select(F.lit(head).alias("label"), F.col("head").alias("name")).unionByName(good.select(F.lit(tail).alias("label"), F.col("tail").alias("name")))
+    made = good.select(F.lit(head).alias("h_label"), F.col("head").alias("h_name"), F.lit(kind).alias("type"), F.lit(tail).alias("t_label"), F.col("tail").alias("t_name"))
+    return merge_nodes(nodes, new), merge_edges(edges, made)
+
+
+def verification_samples(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
+    """(sample, name, other): the first n satellites, regions with a place, and PROVIDES edges, each in order."""
+    none = F.lit(None).cast("string")
+    satellites = sample(nodes.where("label = 'SATELLITE'").select(F.lit("satellites").alias("sample"), "name", none.alias("other")), ["name"], n)
+    place = F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string"))
+    regions = sample(nodes.where("label = 'REGION' AND lat IS NOT NULL AND lon IS NOT NULL").select(F.lit("regions").alias("sample"), "name", place.alias("other")), ["name"], n)
+    provides = sample(edges.where("type = 'PROVIDES'").select(F.lit("provides").alias("sample"), F.col("h_name").alias("name"), F.col("t_name").alias("other")), ["name", "other"], n)
+    return satellites.unionByName(regions).unionByName(provides)
+
+
 def derived_edges(nodes: DataFrame, rules: list[tuple[str, str, str, str, str]]) -> DataFrame:
     """Edges by rules(label, text in the name, edge type, tail label, tail name); a small table of rules is broadcast."""
     r = nodes.sparkSession.createDataFrame(rules, "label string, needle string, type string, t_label string, t_name string")
@@ -157,6 +178,19 @@ def cleanup_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, ["kind", "name"], "full").select("kind", "name", zero("before").alias("before"), zero("after").alias("after"), (zero("after") - zero("before")).alias("delta"))
 
 
+def cleanup_details(judged: DataFrame, orphaned: DataFrame, samples: int = 30, names: int = 20) -> DataFrame:
+    """(part, name, n, samples) of a cleaning: of each edge type the valid and the invalid edges of judged(edge, valid), and
+    of each label the orphan nodes; how many there are, and the first of them in order."""
+    j = judged.select(F.when(F.col("valid"), "valid").otherwise("invalid").alias("part"), F.col("type").alias("name"), F.concat(F.col("h_name"), F.lit(" > "), F.col("t_name")).alias("one"))
+    o = orphaned.select(F.lit("orphans").alias("part"), F.col("label").alias("name"), F.col("name").alias("one"))
+    both = j.unionByName(o)
+    counts = both.groupBy("part", "name").agg(F.count("*").alias("n"))
+    most = F.when(F.col("part") == "orphans", names).otherwise(samples)
+    first = both.withColumn("r", F.row_number().over(Window.partitionBy("part", "name").orderBy("one"))).where(F.col("r") <= most)
+    first = first.groupBy("part", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "one"))), lambda s: s["one"]).alias("samples"))
+    return counts.join(first, ["part", "name"], "left")
+
+
 def samples_by(rows: DataFrame, key: str, order: list[str], n: int, alias: str = "samples") -> DataFrame:
     """At most n rows a key as an array of structs, in order."""
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("r") <= n)

@@ -5,23 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join by CONTAINS is broadcast.
-SMALL = 100_000
 
+def grams_of(text: Column) -> Column:
+    """The distinct strings of one to three characters in a text."""
 
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if it is counted to have few rows; else as it is, and Spark plans a partitioned join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    def cuts(k: int) -> Column:
+        at = F.sequence(F.lit(1), F.length(text) - (k - 1))
+        return F.when(F.length(text) >= k, F.transform(at, lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
+    return F.array_distinct(F.concat(cuts(1), cuts(2), cuts(3)))
 
-def either_contains(a: Column, b: Column) -> Column:
-    return a.contains(b) | b.contains(a)
+
+def containing(texts: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
+    """(text, part) of distinct texts and parts where the text contains the part.
+
+    Texts are indexed by their strings of up to three characters; a part is looked up by the rarest of its longest ones
+    alone, by equality, and what is found is verified. Parts with a string that no text holds are never joined; nulls
+    match nothing; an empty part is in every text.
+    """
+    t = texts.select(F.col(text).alias("whole")).where("whole IS NOT NULL").distinct()
+    p = parts.select(F.col(part).alias("part")).where("part IS NOT NULL").distinct()
+    index = t.select("whole", F.explode(grams_of(F.col("whole"))).alias("gram"))
+    held = index.groupBy("gram").agg(F.count("*").alias("n"))
+    own = p.select("part", F.explode(grams_of(F.col("part"))).alias("gram")).where(F.length("gram") == F.least(F.length("part"), F.lit(3)))
+    rare = own.join(held, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = index.join(rare, "gram").where(F.col("whole").contains(F.col("part"))).select("whole", "part")
+    if not p.where("part = ''").isEmpty():
+        found = found.unionByName(t.withColumn("part", F.lit("")))
+    return found.select(F.col("whole").alias(text), F.col("part").alias(part))
 
 
 def matching(names: DataFrame, queries: DataFrame, name: str, query: str) -> DataFrame:
-    """(query, name) of distinct names and queries of which one contains the other."""
-    n, q = names.select(name).distinct(), small(queries.select(query).distinct())
-    return n.join(q, either_contains(F.col(name), F.col(query)))
+    """(name, query) of distinct names and queries of which one contains the other."""
+    n, q = names.select(name), queries.select(query)
+    return containing(n, q, name, query).unionByName(containing(q, n, query, name)).distinct()
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column | str], n: int) -> DataFrame:
@@ -89,7 +106,7 @@ def catalog(satellites: DataFrame, instruments: DataFrame, provides: DataFrame)
 
 
 # The catalog's filters, as patterns over product names.
-FILTERS = {"ocean": "sea|ocean|wave|wind", "weather": "rain|cloud|temp|humid|cyclone|weather", "land": "land|soil|snow|vegetation"}
+FILTERS = {"ocean": "sea|ocean|wave|wind", "weather": "rain|humidity|cyclone|tpw|olr", "land": "land|vegetation|imagery"}
 
 
 def search_catalog(rows: DataFrame, term: str = "", kind: str | None = None, filters: dict[str, str] | None = None) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import bound, running_sums
 from corpusloom.operators.chunks import sentences
 from corpusloom.operators.entities import context_of
 
@@ -19,23 +23,25 @@ SCHEMA = [
 
 
 def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sent, s_start, s_end): offsets add up within the row, so nothing is shuffled."""
-    pieces = sentences(F.col(text))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s_start:int,s_end:int>>").alias("out"))
-    spans = F.aggregate(pieces, zero, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("s_start"), (a["at"] + F.length(p)).alias("s_end")))).alias("out")), lambda a: a["out"])
+    """(key, sent, s_start, s_end): offsets are running sums within the row, so nothing is shuffled."""
+    lengths = F.transform(sentences(F.col(text)), lambda s: F.length(s))
+    spans = bound(lengths, lambda n: F.zip_with(n, running_sums(n), lambda k, end: F.struct((end - k).alias("s_start"), end.alias("s_end"))))
     return docs.select(key, F.posexplode(spans).alias("sent", "s")).select(key, "sent", "s.*")
 
 
 def in_sentences(docs: DataFrame, mentions: DataFrame, key: str = "doc_id", least: int = 2) -> DataFrame:
     """Mentions of field 'text' with the sentence that contains them, of sentences with at least `least` of them.
 
-    The join is on the document; offsets filter within one document's rows.
+    Sentences and mentions of a document are put in one order by place, and each mention takes the last sentence before
+    it, so that their numbers add up and never multiply.
     """
-    s = sentence_rows(docs, key)
     m = mentions.where("field = 'text'")
-    out = m.join(s, key).where((F.col("start") >= F.col("s_start")) & (F.col("end") <= F.col("s_end")))
-    many = out.groupBy(key, "sent").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key, "sent")
-    return out.join(many, [key, "sent"], "left_semi")
+    both = m.unionByName(sentence_rows(docs, key).withColumn("start", F.col("s_start")), allowMissingColumns=True)
+    so_far = Window.partitionBy(key).orderBy("start", F.col("s_start").isNull())
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far).alias(c)
+    placed = both.select(*m.columns, F.col("s_start").isNotNull().alias("__sentence"), last("sent"), last("s_start"), last("s_end"))
+    out = placed.where(~F.col("__sentence") & (F.col("end") <= F.col("s_end"))).drop("__sentence")
+    return out.withColumn("__n", F.count("*").over(Window.partitionBy(key, "sent"))).where(F.col("__n") >= least).drop("__n")
 
 
 def sentence_pairs(placed: DataFrame, key: str = "doc_id", both: bool = True) -> DataFrame:
@@ -79,9 +85,12 @@ def co_occurring(docs: DataFrame, mentions: DataFrame, schema: DataFrame, key: s
     heads = m.join(F.broadcast(schema), m.label == schema.head_type).select(key, F.col("text").alias("head"), "head_type", "type", "tail_type", F.col("at").alias("a"))
     tails = m.select(key, F.col("text").alias("tail"), F.col("label").alias("tail_type"), F.col("at").alias("b"))
     pairs = heads.join(tails, [key, "tail_type"]).where((F.col("head") != F.col("tail")) & ((F.col("a.start") < F.col("b.start")) | (F.col("head_type") != F.col("tail_type"))))
-    pairs = pairs.join(docs.select(key, F.col(text).alias("body")), key)
-    evidence = context_of(F.col("body"), F.least("a.start", "b.start"), F.greatest("a.end", "b.end"))
-    return pairs.select(key, "head", "head_type", "type", "tail", "tail_type", evidence.alias("evidence"), F.lit("pattern").alias("source"))
+    # a document's pairs, bounded by its distinct mentions, meet its text once
+    each = F.struct("head", "head_type", "type", "tail", "tail_type", F.least("a.start", "b.start").alias("s"), F.greatest("a.end", "b.end").alias("e"))
+    some = pairs.groupBy(key).agg(F.collect_list(each).alias("pairs"))
+    held = docs.select(key, F.col(text).alias("body")).join(some, key)
+    cut = F.transform("pairs", lambda p: F.struct(p["head"].alias("head"), p["head_type"].alias("head_type"), p["type"].alias("type"), p["tail"].alias("tail"), p["tail_type"].alias("tail_type"), context_of(F.col("body"), p["s"], p["e"]).alias("evidence")))
+    return held.select(key, F.inline(cut), F.lit("pattern").alias("source"))
 
 
 def marked_pairs(pairs: DataFrame) -> DataFrame:
@@ -89,6 +98,31 @@ def marked_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("text", F.concat(F.lit("[E1] "), "head", F.lit(" [/E1] [E2] "), "tail", F.lit(" [/E2]")))
 
 
+def train_scorer(examples: DataFrame, sample: int = 20_000, features: int = 1 << 16) -> Callable[[DataFrame], DataFrame]:
+    """A scorer for predicted(): multinomial regression on word pairs of marked texts, fitted on examples(text, type).
+
+    At most `sample` distinct examples are fitted, those with the lowest hash; type NONE stands for no relation.
+    """
+    rows = examples.select("text", "type").distinct().orderBy(F.xxhash64("text"), "text", "type").limit(sample)
+    names = StringIndexer(inputCol="type", outputCol="label").fit(rows)
+    stages = [
+        names,
+        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"),
+        NGram(n=2, inputCol="words", outputCol="grams"),
+        HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True),
+        LogisticRegression(maxIter=50, regParam=1e-4, family="multinomial"),
+        IndexToString(inputCol="prediction", outputCol="guess", labels=names.labels),
+    ]
+    model = Pipeline(stages=stages).fit(rows)
+
+    def score(texts: DataFrame) -> DataFrame:
+        # the indexer only needs the labels' column to be there
+        out = model.transform(texts.withColumn("type", F.lit(names.labels[0])))
+        return out.select("text", F.when(F.col("guess") != "NONE", F.col("guess")).alias("type"))
+
+    return score
+
+
 def predicted(pairs: DataFrame, score: Callable[[DataFrame], DataFrame], schema: DataFrame) -> DataFrame:
     """Relations that a scorer (text -> type) predicts for marked pairs, kept where the schema allows them."""
     texts = marked_pairs(pairs)

@@ -9,7 +9,7 @@ from corpusloom.operators import chunks, crawl, documents, language
 from corpusloom.plans import tables as tb
 from corpusloom.plans.registry import query
 from corpusloom.sources import files
-from corpusloom.sources.scratch import scratch_path
+from corpusloom.sources.scratch import scratch_path, written
 
 # ---- sources and sinks
 
@@ -23,15 +23,17 @@ def _page_docs(spark, d):
     return tb.table(spark, d, "pages").select("page_id", F.col("url").alias("source_url"), F.lit("text/html").alias("content_type"), F.col("html").alias("text"), meta.alias("metadata"))
 
 
-@query("S1")
+@query("S1", f"SELECT url AS source_url, length(html) AS n_chars, {_HOST} AS host, 'text%2Fhtml' AS folder, true AS has_stem FROM pages")
 def s1(spark, d):
-    """Documents written as a tree of JSON files and read back with their paths."""
+    """Documents written as a tree of JSON files, one object a file, and read back with their paths and stems."""
     folder = scratch_path(spark, "tree")
-    _page_docs(spark, d).select(*PAGES_AS_DOCS).repartition(8).write.partitionBy("content_type").json(folder)
-    return spark.read.schema(files.DOCUMENT).option("recursiveFileLookup", True).json(folder).select("source_url", F.length("text").alias("n_chars"), F.col("metadata")["host"].alias("host"))
+    _page_docs(spark, d).select(*PAGES_AS_DOCS).write.option("maxRecordsPerFile", 1).partitionBy("content_type").json(folder)
+    docs = files.read_documents(spark, folder)
+    under = F.regexp_extract("path", r"content_type=([^/]+)/", 1)
+    return docs.select("source_url", F.length("text").alias("n_chars"), F.col("metadata")["host"].alias("host"), F.regexp_replace(under, "%25", "%").alias("folder"), (F.length("stem") > 0).alias("has_stem"))
 
 
-@query("S2")
+@query("S2", "SELECT 'html' AS kind, count(*) AS n FROM pages")
 def s2(spark, d):
     """Documents parted by kind; the sink's folders read back."""
     folder = scratch_path(spark, "kinds")
@@ -39,7 +41,7 @@ def s2(spark, d):
     return spark.read.option("basePath", folder).schema("source_url string, text string, kind string").json(folder).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("S3")
+@query("S3", "SELECT 'k' || item_id AS id, text, 'curated' AS type, 'general' AS category, CAST(NULL AS VARCHAR) AS source_url FROM benchmark")
 def s3(spark, d):
     """A curated knowledge base: benchmark items written as JSON and read with the fixed schema."""
     folder = scratch_path(spark, "curated")
@@ -48,13 +50,15 @@ def s3(spark, d):
     return spark.read.schema(files.CURATED).json(folder)
 
 
-@query("S4")
+@query("S4", "SELECT CAST(quality AS INT) AS label, count(*) AS n, sum(length(text)) AS n_chars FROM documents JOIN labels USING (doc_id) GROUP BY quality")
 def s4(spark, d):
-    """Labelled examples nested under one key, unnested."""
+    """Labelled examples nested under one key, unnested; an object holds about 64 examples, whatever the input."""
     folder = scratch_path(spark, "examples")
-    rows = tb.table(spark, d, "documents").join(tb.table(spark, d, "labels"), "doc_id")
-    rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct(F.col("text"), F.col("quality").cast("int").alias("label"))).alias("examples")).select("examples").write.json(folder)
-    return spark.read.schema(files.EXAMPLES).json(folder).select(F.inline("examples")).groupBy("label").agg(F.count("*").alias("n"))
+    labels = tb.table(spark, d, "labels")
+    parts = -(-labels.count() // 64) or 1
+    rows = tb.table(spark, d, "documents").join(labels, "doc_id")
+    rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct(F.col("text"), F.col("quality").cast("int").alias("label"))).alias("examples")).select("examples").write.json(folder)
+    return spark.read.schema(files.EXAMPLES).json(folder).select(F.inline("examples")).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query("S5", f"SELECT host, page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id DESC) AS r FROM (SELECT {_HOST} AS host, page_id, url FROM pages)) WHERE r = 1")
@@ -80,7 +84,7 @@ def feedback(spark, d):
     return e.select(F.col("ts").alias("timestamp"), F.col("event_id").cast("string").alias("message_id"), F.concat(F.lit("user "), (F.col("user_id")).cast("string")).alias("query"), F.col("props").cast("string").alias("response"), kind.alias("type"))
 
 
-@query("S7")
+@query("S7", "SELECT CASE event_type WHEN 'purchase' THEN 'up' ELSE 'down' END AS type, count(*) AS n FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL")
 def s7(spark, d):
     """The feedback log written as JSON lines, with malformed lines among them, and read back."""
     folder = scratch_path(spark, "log")
@@ -95,7 +99,7 @@ def s8(spark, d):
     return files.feedback_rows(e).select("message_id", "query", "response", "type")
 
 
-@query("S9")
+@query("S9", f"""WITH {tb.GRAPH_SQL} SELECT '{{"label":"' || label || '","n":' || count(*) || ',"first":"' || min(name) || '"}}' AS value FROM nodes GROUP BY label""")
 def s9(spark, d):
     """A catalog export as JSON, read back as text lines."""
     folder = scratch_path(spark, "report")
@@ -194,7 +198,7 @@ def t3(spark, d):
     return tb.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.iso_date(F.date_format("l_shipdate", "d/M/yyyy")).alias("iso"))
 
 
-@query("T3_text")
+@query("T3_text", "SELECT l_orderkey, l_linenumber, 'shipped ' || strftime(l_shipdate, '%Y-%m-%d') || ' as said.' AS text FROM lineitem")
 def t3_text(spark, d):
     """Dates inside texts; the texts are joined with ship dates written day first."""
     return tb.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.dates_in_text(F.concat(F.lit("shipped "), F.date_format("l_shipdate", "d-M-yyyy"), F.lit(" as said."))).alias("text"))
@@ -204,9 +208,9 @@ _T4 = {"the": "definite article", "of": "preposition"}
 
 
 @query("T4", r"""SELECT doc_id, replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, '\bthe\b(\s*\()', '<1>\1', 'g'), '\bthe\b', 'the (definite article)', 'g'), '<1>', 'the'), '\bof\b(\s*\()', '<1>\1', 'g'), '\bof\b', 'of (preposition)', 'g'), '<1>', 'of') AS text
-FROM documents WHERE lang = 'en'""")
+FROM documents""")
 def t4(spark, d):
-    """Texts of all languages; the SQL beside it has the English ones only."""
+    """Texts of all languages."""
     return _docs(spark, d).select("doc_id", tx.expand_acronyms(F.col("text"), _T4).alias("text"))
 
 
@@ -240,9 +244,9 @@ def t8(spark, d):
     return _docs(spark, d).select("doc_id", F.round(tx.devanagari_share(t), 6).alias("share"), tx.is_devanagari(t).alias("devanagari"))
 
 
-@query("T9", "SELECT doc_id, CASE WHEN lang = 'fr' THEN replace(replace(text, 'eau', 'o'), 'qu', 'k') ELSE text END AS text FROM documents")
+@query("T9", "SELECT doc_id, CASE WHEN lang = 'fr' THEN replace(replace(replace(text, 'eau', 'o'), 'qu', 'k'), '.com', '.fr') ELSE text END AS text FROM documents")
 def t9(spark, d):
-    return _docs(spark, d).select("doc_id", tx.repair_ocr(F.col("text"), F.col("lang"), "fr", {"eau": "o", "qu": "k"}).alias("text"))
+    return _docs(spark, d).select("doc_id", tx.repair_ocr(F.col("text"), F.col("lang"), "fr", {"eau": "o", "qu": "k"}, {".com": ".fr"}).alias("text"))
 
 
 @query("T10", "SELECT doc_id, text AS raw_text, CASE WHEN n_chars > 500 THEN CAST(n_chars AS VARCHAR) END AS n, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS entries FROM documents")
@@ -304,12 +308,21 @@ def k2(spark, d):
     return out.select("source_url", "path", F.col("priority"))
 
 
-@query("K3")
+#: The fold over sentences as SQL: what is held goes out when the next piece would make it too long.
+_FOLD = r"""list_reduce(regexp_extract_all(b, '(?s)(?:.*?(?:\. |\n))|(?:.+)'), lambda a, x: CASE WHEN a.h <> '' AND length(a.h) + length(x) > 800
+ THEN {'d': list_append(a.d, trim(a.h, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 'h': CASE WHEN contains(right(a.h, 100), ' ') THEN substring(right(a.h, 100), instr(right(a.h, 100), ' ') + 1) ELSE right(a.h, 100) END || x}
+ ELSE {'d': a.d, 'h': a.h || x} END, {'d': CAST([] AS VARCHAR[]), 'h': ''})"""
+CHUNKS_SQL = rf"""bare AS (SELECT doc_id, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM documents), fold AS (SELECT doc_id, source, b, CASE WHEN length(b) > 800 THEN {_FOLD} END AS f FROM bare),
+chunked AS (SELECT doc_id, source, CASE WHEN b = '' THEN CAST([] AS VARCHAR[]) WHEN length(b) <= 800 THEN [b] WHEN trim(f.h, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN f.d ELSE list_append(f.d, trim(f.h, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) END AS c FROM fold),
+chunks AS (SELECT doc_id, source, unnest(c) AS text, CAST(unnest(range(0, len(c))) AS INT) AS chunk_index FROM chunked)"""
+
+
+@query("K3", f"WITH {CHUNKS_SQL} SELECT doc_id, len(c) AS n, array_to_string(c, '|') AS chunks FROM chunked")
 def k3(spark, d):
-    return _docs(spark, d).select("doc_id", chunks.chunked(F.col("text")).alias("chunks"))
+    return _docs(spark, d).select("doc_id", chunks.chunked(F.col("text")).alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.array_join("c", "|").alias("chunks"))
 
 
-@query("K4")
+@query("K4", f"WITH {CHUNKS_SQL} SELECT doc_id AS stem, chunk_index, text, 'crawled_' || doc_id || '_c' || chunk_index AS id FROM chunks")
 def k4(spark, d):
     return chunks.chunk_rows(_docs(spark, d).select(F.col("doc_id").alias("stem"), "text"))
 
@@ -343,19 +356,20 @@ def index_docs(spark, d):
     """All documents of the retrieval index: spelled-out graph, curated items and chunks of documents."""
     curated = tb.table(spark, d, "benchmark").select(F.concat(F.lit("curated_"), F.col("item_id").cast("string")).alias("id"), "text", F.lit("curated").alias("type"), F.lit("general").alias("category"))
     pages = chunks.chunk_rows(_docs(spark, d).select(F.col("doc_id").alias("stem"), "text", F.col("source").alias("source_url"))).withColumn("type", F.lit("crawled_page")).drop("stem")
-    return chunks.assemble(chunks.satellite_docs(tb.provides(spark, d)), chunks.product_docs(tb.provides(spark, d), tb.covers(spark, d)), chunks.parameter_docs(_parameters(spark, d), tb.measures(spark, d)), curated, pages)
+    p = written(tb.provides(spark, d), "provides")  # two parts of the index use it
+    return chunks.assemble(chunks.satellite_docs(p), chunks.product_docs(p, tb.covers(spark, d)), chunks.parameter_docs(_parameters(spark, d), tb.measures(spark, d)), curated, pages)
 
 
-@query("K8", f"""WITH {tb.GRAPH_SQL} SELECT type, text, satellite, product, name, id FROM (
+@query("K8", f"""WITH {tb.GRAPH_SQL}, {CHUNKS_SQL} SELECT type, text, satellite, product, name, id FROM (
 SELECT text, type, satellite, NULL AS product, NULL AS name, NULL AS id FROM ({_K5}) UNION ALL SELECT text, type, satellite, product, NULL, NULL FROM ({_K6}) UNION ALL SELECT text, type, NULL, NULL, name, NULL FROM ({_K7})
-UNION ALL SELECT text, 'curated', NULL, NULL, NULL, 'curated_' || item_id FROM benchmark)""")
+UNION ALL SELECT text, 'curated', NULL, NULL, NULL, 'curated_' || item_id FROM benchmark
+UNION ALL SELECT text, 'crawled_page', NULL, NULL, NULL, 'crawled_' || doc_id || '_c' || chunk_index FROM chunks)""")
 def k8(spark, d):
-    """The whole index; the SQL beside it lacks the chunks, which have no SQL form."""
+    """The whole index."""
     return index_docs(spark, d).select("type", "text", "satellite", "product", "name", "id")
 
 
-@query("K9", f"""WITH {tb.GRAPH_SQL} SELECT 'satellite' AS type, count(DISTINCT satellite) AS n FROM provides UNION ALL SELECT 'data_product', least(200, count(*)) FROM provides
-UNION ALL SELECT 'parameter', count(DISTINCT name) FROM measures UNION ALL SELECT 'curated', count(*) FROM benchmark""")
+@query("K9", f"""WITH {tb.GRAPH_SQL}, {CHUNKS_SQL} SELECT 'satellite' AS type, count(DISTINCT satellite) AS n FROM provides UNION ALL SELECT 'data_product', least(200, count(*)) FROM provides
+UNION ALL SELECT 'parameter', count(DISTINCT name) FROM measures UNION ALL SELECT 'curated', count(*) FROM benchmark UNION ALL SELECT 'crawled_page', count(*) FROM chunks""")
 def k9(spark, d):
-    """Of all types; the SQL beside it lacks the chunks, as K8's."""
     return chunks.breakdown(index_docs(spark, d))

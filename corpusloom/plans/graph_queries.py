@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import classify, entities, graph, lookups, relations
 from corpusloom.plans import tables as tb
 from corpusloom.plans.registry import query
+from corpusloom.sources.scratch import written
 
 G = f"WITH {tb.GRAPH_SQL}"
 
@@ -31,7 +32,8 @@ def _docs(spark, d):
 
 
 def mentions(spark, d):
-    return entities.extract(_docs(spark, d), GAZETTEER)
+    """Mentions of all documents, extracted once and written, as several steps of a query use them."""
+    return written(entities.extract(_docs(spark, d), GAZETTEER), "mentions")
 
 
 @query("E1", f"WITH {MENTIONS} SELECT doc_id, ord, text, label, start, fin FROM mentions")
@@ -88,16 +90,6 @@ def e8(spark, d):
     return tb.nodes(spark, d).select("label", "name", entities.consistent(F.col("label"), F.col("name"), rules).alias("new_label"))
 
 
-# Regions, the words that show them, and their boxes (south, west, north, east).
-REGIONS = [
-    ("Indian Ocean", ["indian ocean"], (-60, 20, 30, 120)), ("Bay of Bengal", ["bay of bengal"], (5, 80, 22, 100)), ("Arabian Sea", ["arabian sea"], (5, 55, 25, 78)),
-    ("India / Indian Subcontinent", ["india", "indian subcontinent", "indian region", "indian mainland"], (8, 68, 37, 97)), ("Himalayan Region", ["himalaya", "himalayan"], (27, 70, 37, 97)),
-    ("North India", ["north india"], (22, 68, 37, 78)), ("South Asia", ["south asia"], (5, 60, 40, 100)), ("Tropical Region", ["tropical", "tropics"], (-30, 30, 30, 120)),
-    ("Global Ocean", ["global ocean", "global"], (-60, -180, 60, 180)), ("Kerala", ["kerala"], (8.3, 74.9, 12.8, 77.4)), ("Gujarat", ["gujarat"], (20.1, 68.2, 24.7, 74.4)),
-    ("Eastern India", ["eastern india"], (20, 80, 27, 97)), ("Southern Ocean", ["southern ocean"], (-60, 20, -40, 120)), ("Indian Coastal Region", ["coastal", "coast"], (6, 68, 23, 88)),
-]
-
-
 @query("E9", """SELECT doc_id, n, CASE WHEN n > 0 THEN round(lat / n, 6) ELSE 15.0 END AS lat, CASE WHEN n > 0 THEN round(lon / n, 6) ELSE 80.0 END AS lon FROM (
 SELECT doc_id, CAST(a + b AS INT) AS n, a * 15.0 + b * 13.5 AS lat, a * 66.5 + b * 90.0 AS lon FROM (SELECT doc_id, CAST(contains(lower(text), 'was') OR contains(lower(text), 'les') AS INT) AS a, CAST(contains(lower(text), 'und') AS INT) AS b FROM documents))""")
 def e9(spark, d):
@@ -117,8 +109,9 @@ def r1(spark, d):
 _PAIRS = "pm AS (SELECT doc_id, i, text, label, min(start) AS start FROM placed2 GROUP BY ALL), one AS (SELECT a.doc_id, a.i, a.text AS head, a.label AS head_type, b.text AS tail, b.label AS tail_type FROM pm a JOIN pm b ON a.doc_id = b.doc_id AND a.i = b.i AND a.start < b.start), pairs AS (SELECT * FROM one UNION ALL SELECT doc_id, i, tail, tail_type, head, head_type FROM one)"
 
 
-def pairs(spark, d):
-    return relations.sentence_pairs(relations.in_sentences(_docs(spark, d), mentions(spark, d)))
+def pairs(spark, d, found=None):
+    found = mentions(spark, d) if found is None else found
+    return relations.sentence_pairs(relations.in_sentences(_docs(spark, d), found))
 
 
 @query("R2", f"WITH {MENTIONS}, {SENTENCES}, {_PAIRS} SELECT doc_id, CAST(i AS INT) AS sent, head, head_type, tail, tail_type FROM pairs")
@@ -156,13 +149,12 @@ def r5(spark, d):
     return relations.co_occurring(_docs(spark, d), mentions(spark, d), relations.schema_frame(spark)).select("doc_id", "head", "type", "tail", "evidence")
 
 
-def _scorer(texts):
-    """A rule in place of a model: what stands before a region covers it."""
-    return texts.withColumn("type", F.when(F.col("text").endswith("with [/E2]"), "COVERS").when(F.col("text").endswith("are [/E2]"), "MEASURES"))
-
-
-def predicted(spark, d):
-    return relations.predicted(pairs(spark, d), _scorer, relations.schema_frame(spark))
+def predicted(spark, d, found=None):
+    """Relations that a trained model predicts; it learns from marked pairs, in which what stands before a region covers it."""
+    several = written(pairs(spark, d, found), "pairs")
+    text = relations.marked_pairs(several).select("text").distinct()
+    kind = F.when(F.col("text").endswith("with [/E2]"), "COVERS").when(F.col("text").endswith("are [/E2]"), "MEASURES").otherwise("NONE")
+    return relations.predicted(several, relations.train_scorer(text.withColumn("type", kind)), relations.schema_frame(spark))
 
 
 @query("R6", f"WITH {MENTIONS}, {SENTENCES}, {_PAIRS}, {_SCHEMA}, p AS (SELECT *, CASE tail WHEN 'with' THEN 'COVERS' WHEN 'are' THEN 'MEASURES' END AS type FROM pairs) SELECT doc_id, CAST(i AS INT) AS sent, head, type, tail FROM p JOIN schema USING (type, head_type, tail_type)")
@@ -170,8 +162,8 @@ def r6(spark, d):
     return predicted(spark, d).select("doc_id", "sent", "head", "type", "tail")
 
 
-def all_relations(spark, d):
-    parts = [explicit(spark, d), predicted(spark, d).withColumn("evidence", F.lit("")), relations.co_occurring(_docs(spark, d), mentions(spark, d), relations.schema_frame(spark))]
+def all_relations(spark, d, found):
+    parts = [explicit(spark, d), predicted(spark, d, found).withColumn("evidence", F.lit("")), relations.co_occurring(_docs(spark, d), found, relations.schema_frame(spark))]
     cols = ["doc_id", "head", "head_type", "type", "tail", "tail_type", "evidence", "source"]
     return parts[0].select(*cols).unionByName(parts[1].select(*cols)).unionByName(parts[2].select(*cols))
 
@@ -183,12 +175,13 @@ rel AS (SELECT doc_id, 'explicit_pattern' AS source FROM ex UNION ALL SELECT doc
 
 @query("R7", f"WITH {_R7} SELECT doc_id, source, count(*) AS n FROM rel GROUP BY ALL")
 def r7(spark, d):
-    return all_relations(spark, d).groupBy("doc_id", "source").agg(F.count("*").alias("n"))
+    return all_relations(spark, d, mentions(spark, d)).groupBy("doc_id", "source").agg(F.count("*").alias("n"))
 
 
 @query("R8", f"WITH {_R7}, e AS (SELECT doc_id, count(*) AS n FROM mentions GROUP BY ALL), r AS (SELECT doc_id, count(*) AS n FROM rel GROUP BY ALL) SELECT coalesce(e.doc_id, r.doc_id) AS doc_id, coalesce(e.n, 0) AS entity_count, coalesce(r.n, 0) AS relation_count FROM e FULL JOIN r ON e.doc_id = r.doc_id")
 def r8(spark, d):
-    return relations.counts(mentions(spark, d), all_relations(spark, d))
+    found = mentions(spark, d)
+    return relations.counts(found, all_relations(spark, d, found))
 
 
 # ---- graph
@@ -239,16 +232,27 @@ def g5(spark, d):
     return graph.merge_edges(e, graph.derived_edges(tb.nodes(spark, d), _RULES)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("G6", f"{G} SELECT label, count(*) AS n FROM (SELECT label, name FROM nodes UNION SELECT 'PARAMETER', p_type FROM part UNION SELECT 'INSTRUMENT', 'Size ' || p_size FROM part) GROUP BY label")
+_PAIRS6 = "kinds AS (SELECT p_brand, p_size, 'Kind ' || (p_size % 7) AS tail FROM part), prs AS (SELECT DISTINCT p_brand AS head, tail FROM kinds UNION SELECT DISTINCT 'Maker ' || p_size, tail FROM kinds WHERE p_size <= 20), good AS (SELECT * FROM prs WHERE head IN (SELECT name FROM nodes WHERE label = 'INSTRUMENT') OR head IN ('Maker 1', 'Maker 2'))"
+
+
+@query("G6", f"""{G}, {_PAIRS6} SELECT 'node' AS kind, label AS name, count(*) AS n FROM (SELECT label, name FROM nodes UNION SELECT 'INSTRUMENT', head FROM good UNION SELECT 'PARAMETER', tail FROM good) GROUP BY label
+UNION ALL SELECT 'edge', type, count(*) FROM (SELECT * FROM edges UNION SELECT 'INSTRUMENT', head, 'MEASURES', 'PARAMETER', tail FROM good) GROUP BY type""")
 def g6(spark, d):
-    p = tb.table(spark, d, "part")
-    seeds = p.select(F.lit("PARAMETER").alias("label"), F.col("p_type").alias("name")).unionByName(p.select(F.lit("INSTRUMENT").alias("label"), F.concat(F.lit("Size "), F.col("p_size").cast("string")).alias("name")))
-    return graph.merge_nodes(tb.nodes(spark, d), seeds).groupBy("label").agg(F.count("*").alias("n"))
+    """Seed pairs of instruments and parameters merged into the graph; of missing instruments only the listed ones are made."""
+    p = tb.table(spark, d, "part").withColumn("tail", F.concat(F.lit("Kind "), (F.col("p_size") % 7).cast("string")))
+    more = p.where("p_size <= 20").select(F.concat(F.lit("Maker "), F.col("p_size").cast("string")).alias("head"), "tail")
+    seeds = p.select(F.col("p_brand").alias("head"), "tail").unionByName(more).distinct()
+    n, e = graph.merge_seeds(tb.nodes(spark, d), tb.edges(spark, d), seeds, ["Maker 1", "Maker 2"])
+    return graph.label_counts(n).unionByName(graph.type_counts(e))
 
 
-@query("G7", f"{G} SELECT h_name, t_name FROM edges WHERE type = 'PROVIDES' ORDER BY h_name, t_name LIMIT 10")
+@query("G7", f"""{G} SELECT * FROM (SELECT 'satellites' AS sample, s_name AS name, NULL AS other FROM supplier ORDER BY s_name LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'regions', n_name, (n_nationkey % 60) || '.5,' || (n_nationkey * 3) || '.0' FROM nation WHERE n_nationkey % 2 = 0 ORDER BY n_name LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'provides', h_name, t_name FROM edges WHERE type = 'PROVIDES' ORDER BY h_name, t_name LIMIT 10)""")
 def g7(spark, d):
-    return graph.sample(tb.edges(spark, d).where("type = 'PROVIDES'"), ["h_name", "t_name"]).select("h_name", "t_name")
+    """Satellites, regions of which every other one has a place, and PROVIDES edges, ten of each."""
+    nation = tb.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") % 60 + 0.5).cast("double").alias("lat"), (F.col("n_nationkey") * 3).cast("double").alias("lon"))
+    return graph.verification_samples(tb.nodes(spark, d).join(nation, "name", "left"), tb.edges(spark, d))
 
 
 # ---- cleaning and classification
@@ -342,6 +346,17 @@ def c10(spark, d):
     return graph.cleanup_report(stats(n, e), stats(left, kept))
 
 
+@query("C10_details", f"""{G}, {_C9}, one AS (SELECT CASE WHEN {_INVALID} THEN 'invalid' ELSE 'valid' END AS part, type AS name, h_name || ' > ' || t_name AS x FROM edges UNION ALL SELECT 'orphans', label, name FROM orphans),
+first AS (SELECT part, name, string_agg(x, ',' ORDER BY x) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY part, name ORDER BY x) AS r FROM one) WHERE r <= CASE part WHEN 'orphans' THEN 20 ELSE 30 END GROUP BY part, name)
+SELECT part, name, n, samples FROM (SELECT part, name, count(*) AS n FROM one GROUP BY part, name) JOIN first USING (part, name)""")
+def c10_details(spark, d):
+    """Valid and invalid edges by type and orphans by label: their counts and the first of them."""
+    e = tb.edges(spark, d)
+    kept = e.where(_KEPT).where("type <> 'PROVIDES'")
+    out = graph.cleanup_details(e.withColumn("valid", ~F.expr(_INVALID)), graph.orphans(tb.nodes(spark, d), kept, _ORPHANS))
+    return out.select("part", "name", "n", F.array_join("samples", ",").alias("samples"))
+
+
 @query("C10_samples", f"{G} SELECT type, string_agg(h_name || '>' || t_name, ',' ORDER BY h_name, t_name) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY h_name, t_name) AS r FROM edges WHERE {_INVALID}) WHERE r <= 30 GROUP BY type")
 def c10_samples(spark, d):
     s = graph.samples_by(tb.edges(spark, d).where(_INVALID).select("type", "h_name", "t_name"), "type", ["h_name", "t_name"], 30)
@@ -434,6 +449,6 @@ def q9(spark, d):
     return catalog(spark, d).select("satellite", F.array_join("instruments", ",").alias("instruments"), F.array_join("products", ",").alias("products"))
 
 
-@query("Q10", f"{G}, {_CATALOG} SELECT satellite FROM cat WHERE (contains(lower(satellite), '#11') OR len(list_filter(ins, lambda x: contains(lower(x), '#11'))) > 0 OR len(list_filter(pro, lambda x: contains(lower(x), '#11'))) > 0) AND len(list_filter(pro, lambda x: regexp_matches(x, '(?i)sea|snow|green'))) > 0")
+@query("Q10", f"{G}, {_CATALOG} SELECT satellite FROM cat WHERE (contains(lower(satellite), '#1') OR len(list_filter(ins, lambda x: contains(lower(x), '#1'))) > 0 OR len(list_filter(pro, lambda x: contains(lower(x), '#1'))) > 0) AND len(list_filter(pro, lambda x: regexp_matches(x, '(?i)a|e'))) > 0")
 def q10(spark, d):
-    return lookups.search_catalog(catalog(spark, d), "#11", "ocean", {"ocean": "sea|snow|green"}).select("satellite")
+    return lookups.search_catalog(catalog(spark, d), "#1", "ocean", {"ocean": "a|e"}).select("satellite")

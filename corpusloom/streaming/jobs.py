@@ -18,9 +18,19 @@ def daily_feedback(stream: DataFrame, time: str = "timestamp", late: str = "1 da
     return s.groupBy(F.window(time, "1 day").alias("w"), "type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "type", "n")
 
 
-def run_available(out: DataFrame, table: str, checkpoint: str, mode: str) -> StreamingQuery:
-    """Processes what there is into a table in memory, for replays and tests."""
-    return out.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(out: DataFrame, folder: str, checkpoint: str, mode: str) -> StreamingQuery:
+    """Processes what there is; each batch's rows go to a folder of its number, so a batch that runs again overwrites itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return out.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_last(spark, folder: str) -> DataFrame:
+    """The rows of the last batch: all counts, where the output mode is complete."""
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
 
 
 def ingest(stream: DataFrame, index: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str = "id", order: str = "version") -> StreamingQuery:

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import analytics, chunks, classify, crawl, documents, entities, graph, relations, retrieval
+from corpusloom.operators import analytics, chunks, classify, crawl, documents, entities, graph, lookups, relations, retrieval
 from corpusloom.sources import files
 from corpusloom.streaming import jobs
 
@@ -150,9 +150,9 @@ def test_late_feedback_is_dropped(spark, tmp_path):
     for day in ("2024-01-10", "2024-01-12", "2024-01-01", "2024-01-14"):
         spark.createDataFrame([(day, "up")], "t string, type string").select(F.col("t").cast("timestamp").alias("timestamp"), "type").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("timestamp timestamp, type string").option("maxFilesPerTrigger", 1).parquet(src)
-    q = jobs.run_available(jobs.daily_feedback(stream), "late_feedback", str(tmp_path / "ck"), "append")
+    q = jobs.run_available(jobs.daily_feedback(stream), str(tmp_path / "counts"), str(tmp_path / "ck"), "append")
     q.awaitTermination()
-    assert {str(r["day"]) for r in spark.table("late_feedback").collect()} <= {"2024-01-10", "2024-01-12"}
+    assert {str(r["day"]) for r in spark.read.parquet(str(tmp_path / "counts")).collect()} <= {"2024-01-10", "2024-01-12"}
 
 
 def test_nearest_blocks_agree(spark, sf_dir):
@@ -160,3 +160,53 @@ def test_nearest_blocks_agree(spark, sf_dir):
     q = v.where("id % 50 = 0").withColumnRenamed("id", "qid")
     rows = lambda **k: sorted(tuple(r) for r in retrieval.nearest(q, v, 5, **k).collect())
     assert rows() == rows(block=2)
+
+
+def test_containing_finds_all_and_only_parts(spark):
+    texts = ["", "a", "ab", "abc", "abcd", "xabcx", "é中é", "bca", None, "aaa", "aab aab"]
+    parts = ["", "a", "b", "ab", "abc", "bcd", "中", "é中é", "zz", None, "aab a", "ca"]
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in [*xs, *xs[:3]]], f"{c} string")
+    got = sorted(tuple(r) for r in lookups.containing(frame(texts, "t"), frame(parts, "p"), "t", "p").collect())
+    assert got == sorted((t, p) for t in texts for p in parts if t is not None and p is not None and p in t)
+
+
+def test_sentences_of_mentions(spark):
+    docs = spark.createDataFrame([(1, "A b. C d e.\nF g. "), (2, "long " * 900 + "A. B"), (3, "")], "doc_id long, text string")
+    spans = {(r["doc_id"], r["sent"]): (r["s_start"], r["s_end"]) for r in relations.sentence_rows(docs).collect()}
+    assert spans == {(1, 0): (0, 5), (1, 1): (5, 12), (1, 2): (12, 17), (2, 0): (0, 4503), (2, 1): (4503, 4504)}
+    rows = [(1, "text", 0, "A", "X", 0, 1), (1, "text", 1, "b", "X", 2, 3), (1, "text", 2, "C", "X", 5, 6), (1, "text", 3, "cross", "X", 9, 14), (1, "meta", 4, "e", "X", 9, 10), (2, "text", 0, "A", "X", 4500, 4501), (2, "text", 1, "B", "X", 4503, 4504)]
+    mentions = spark.createDataFrame(rows, "doc_id long, field string, ord int, text string, label string, start int, end int")
+    assert sorted((r["doc_id"], r["sent"], r["text"]) for r in relations.in_sentences(docs, mentions).collect()) == [(1, 0, "A"), (1, 0, "b")]
+
+
+def test_split_takes_exact_shares_of_hot_classes(spark):
+    rows = [("a", f"t{i}") for i in range(997)] + [("b", "same")] * 50 + [("c", "x")] + [(None, "n")] * 3
+    out = classify.split(spark.createDataFrame(rows, "label string, text string"), share=0.7)
+    got = {r["label"]: r["n"] for r in out.groupBy("label").agg(F.count_if("train").alias("n")).collect()}
+    assert got == {"a": 697, "b": 35, "c": 0, None: 2} and out.count() == len(rows)
+
+
+def test_numbers_of_names_are_gapless(spark):
+    df = spark.createDataFrame([(f"n{i % 300}",) for i in range(500)], "name string")
+    assert sorted(r["i"] for r in classify.numbered(df, "name", "i").collect()) == list(range(300))
+
+
+def test_seeds_make_only_listed_heads(spark):
+    nodes = spark.createDataFrame([("INSTRUMENT", "A"), ("PARAMETER", "p")], "label string, name string")
+    edges = spark.createDataFrame([("INSTRUMENT", "A", "MEASURES", "PARAMETER", "p")], "h_label string, h_name string, type string, t_label string, t_name string")
+    pairs = spark.createDataFrame([("A", "p"), ("A", "q"), ("B", "q"), ("C", "r")], "head string, tail string")
+    n, e = graph.merge_seeds(nodes, edges, pairs, ["B"])
+    assert sorted(tuple(r) for r in n.collect()) == [("INSTRUMENT", "A"), ("INSTRUMENT", "B"), ("PARAMETER", "p"), ("PARAMETER", "q")]
+    assert sorted((r["h_name"], r["t_name"]) for r in e.collect()) == [("A", "p"), ("A", "q"), ("B", "q")]
+
+
+def test_repair_of_one_language(spark):
+    df = spark.createDataFrame([("hi", "क र see www.x.qov.in"), ("en", "www.x.qov.in")], "lang string, t string")
+    assert [r[0] for r in df.select(tx.repair_ocr(F.col("t"), F.col("lang"), rules={"see": "at"})).collect()] == ["क्र at www.x.gov.in", "www.x.qov.in"]
+
+
+def test_hybrid_retrieval_fuses_curated_vector_and_graph_evidence(spark):
+    rows = [(1, 0, 1, "k1", None, "curated"), (1, 0, 4, "77", "v", "satellite"), (1, 1, 1, None, "p#1", "graph"), (1, 1, 2, None, "v", "graph"), (2, 1, 1, None, "p#2", "graph")]
+    df = spark.createDataFrame(rows, "qid long, stage int, rank int, id string, name string, type string")
+    got = {(r["qid"], r["place"]): (r["identity"], r["score"]) for r in retrieval.fuse(df).collect()}
+    assert got == {(1, 1): ("k1", 1.5), (1, 2): ("77", 0.7), (1, 3): ("p#1", 0.6), (1, 4): ("v", 0.6), (2, 1): ("p#2", 0.6)}
