@@ -30,8 +30,8 @@ def containing(texts: DataFrame, parts: DataFrame, text: str, part: str) -> Data
     own = p.select("part", F.explode(grams_of(F.col("part"))).alias("gram")).where(F.length("gram") == F.least(F.length("part"), F.lit(3)))
     rare = own.join(held, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     found = index.join(rare, "gram").where(F.col("whole").contains(F.col("part"))).select("whole", "part")
-    if not p.where("part = ''").isEmpty():
-        found = found.unionByName(t.withColumn("part", F.lit("")))
+    empty = t.withColumn("part", F.lit("")).join(F.broadcast(p.where("part = ''")), "part", "left_semi")  # one row at most
+    found = found.unionByName(empty.select("whole", "part"))
     return found.select(F.col("whole").alias(text), F.col("part").alias(part))
 
 
@@ -72,9 +72,14 @@ def by_parameter(queries: DataFrame, measures: DataFrame, n: int = 10) -> DataFr
     return top(hits, ["param"], ["product", "parameter"], n)
 
 
+def found_nodes(queries: DataFrame, nodes: DataFrame, n: int = 10) -> DataFrame:
+    """queries(q) -> (q, label, name) of up to n nodes each."""
+    return top(matching(nodes, queries, "name", "q").join(nodes.select("label", "name"), "name"), ["q"], ["label", "name"], n).drop("rank")
+
+
 def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 10, neighbours: int = 5) -> DataFrame:
     """queries(q) -> up to n nodes each, with up to `neighbours` distinct outgoing neighbours, both in order."""
-    hits = top(matching(nodes, queries, "name", "q").join(nodes.select("label", "name"), "name"), ["q"], ["label", "name"], n).drop("rank")
+    hits = found_nodes(queries, nodes, n)
     out = edges.join(hits.select(F.col("label").alias("h_label"), F.col("name").alias("h_name")).distinct(), ["h_label", "h_name"], "left_semi")
     near = top(out.select("h_label", "h_name", F.col("t_name").alias("name"), F.col("t_label").alias("kind"), F.col("type").alias("rel")).distinct(), ["h_label", "h_name"], ["name", "kind", "rel"], neighbours)
     near = near.groupBy(F.col("h_label").alias("label"), F.col("h_name").alias("name0")).agg(F.array_sort(F.collect_list(F.struct("name", "kind", "rel"))).alias("neighbours"))

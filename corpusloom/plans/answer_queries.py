@@ -89,7 +89,7 @@ def graph_results(spark, d, asked):
     """What the graph answers to questions, by their routes; its tables are made once."""
     r = written(retrieval.route(asked, _SATS, _PARAMS, _REGIONS), "routes")
     p, c, m = written(tb.provides(spark, d), "provides"), tb.covers(spark, d), tb.measures(spark, d)
-    return retrieval.graph_results(r, tb.nodes(spark, d), written(tb.edges(spark, d), "edges"), p, c, m)
+    return retrieval.graph_results(r, tb.nodes(spark, d), p, c, m)
 
 
 _EITHER = "(contains({0}, {1}) OR contains({1}, {0}))"
