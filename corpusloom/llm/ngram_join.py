@@ -478,7 +478,8 @@ def similar_classes(docs: DataFrame, classes: DataFrame, hot: Hot, text: str, n:
     sizes = family.groupBy("component", "bucket").agg(F.count("*").alias("some"))
     whole = sizes.groupBy("component").agg(F.sum("some").alias("all"))
     parts = sizes.join(whole, "component").where(F.col("all") > BLOCK).select("component", "bucket", F.ceil(F.col("some") / BLOCK).alias("parts"))
-    placed = family.join(parts, ["component", "bucket"], "left")
+    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large family has many members
+    placed = family.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(parts, ["component", "bucket", "salt"], "left").drop("salt")
     member = _meetings(sets, placed, prefix_of).join(sets.select("rep", "tokens"), "rep").select("component", "a", "b", "at", "rep", "tokens")
 
     def join(group: pa.Table) -> pa.Table:

@@ -13,7 +13,7 @@ over all texts, are settled without moving the bytes; equal surroundings within
 
 Anchors with the same surroundings are one row for each batch, and their number only is counted, so copies cost little.
 Anchors with more than CROWD occurrences aren't gathered: where all their surroundings are equal, spans are known at
-once; else each string around them is a row of its own, which is counted by pre-aggregated groups. Texts are cut by
+once; else ranges of strings around them are rows, which are counted by pre-aggregated groups and refined. Texts are cut by
 joining spans to those texts alone that have any.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH keep all; equal texts, repeated rows
@@ -23,6 +23,7 @@ those named like results are replaced.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ BEFORE = LENGTH - GRAM  # the farthest that a string starts before its anchor
 CROWD, AT_ONCE, CHUNK = 10_000, 8_000, 2 << 20
 #: Anchors that may be known to all tasks as crowded, at most; in larger inputs the crowd grows to keep to this.
 CROWDED = 100_000
+#: Parts into which an open range of offsets is cut, and salts over which common strings are spread.
+SPLIT, SALTS = 6, 16
 MARGIN = 2 * LENGTH
 
 _r = np.random.default_rng(7)
@@ -472,18 +475,39 @@ def _resolve(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 
 
 def _crowd_spans(crowd: DataFrame) -> DataFrame:
-    """Spans of strings around crowded anchors: each string is a row, counted by 128 bits of its bytes' digest.
+    """Spans of strings around crowded anchors, by refinement of ranges of offsets.
 
-    Only rows that may repeat, by a filter of bounded size, meet the repeated strings.
+    Ranges are the same for all occurrences. The strings of a range share a core around the anchor, and lie in a hull. Where another occurrence has the same hull,
+    the whole range repeats, and one of them goes on for others to meet; where none has the same core, nothing repeats; else
+    the range is cut in SPLIT parts, down to single offsets, whose core and hull are the string. Cores and hulls are told by 128 bits of their bytes' digest and
+    counted by pre-aggregated groups; an occurrence has few open ranges, so rows are in proportion to occurrences. Hulls
+    go to salted copies, as very many occurrences may have one.
     """
-    o = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(LENGTH) - (F.length("bytes") - F.col("before"))), F.col("before")))
-    able = crowd.where(F.length("bytes") >= LENGTH).withColumn("o", o)
-    string = F.substring(F.sha2(F.substring("bytes", F.col("before") - F.col("o") + 1, F.lit(LENGTH)), 256), 1, 32)
-    rows = able.select("key", "x", "o", F.unhex(string).alias("string"))
-    again = materialize(rows.groupBy("o", "string").count().where("count > 1").drop("count"), "crowd-strings")
-    some = BitFilter.build(again.select(F.xxhash64("string").alias("h")), again.count())
-    rows = rows.where(some.column(crowd.sparkSession, F.xxhash64("string")))
-    return rows.join(again, ["o", "string"], "left_semi").select("key", (F.col("x") - F.col("o")).alias("start"), (F.col("x") - F.col("o") + LENGTH).alias("end"))
+    spark, spans, width = crowd.sparkSession, [], BEFORE + 1
+    after = F.length("bytes") - F.col("before")
+    able = (F.col("a") <= F.col("before")) & (F.col("b") >= F.lit(LENGTH) - after)  # the text has some string of the range
+    full = (F.col("b") <= F.col("before")) & (F.col("a") >= F.lit(LENGTH) - after)  # it has the whole hull
+    rows = crowd.where(F.length("bytes") >= LENGTH).select("key", "x", "before", "bytes", F.lit(0).alias("a"), F.lit(BEFORE).alias("b"))
+    digest = lambda low, size: F.unhex(F.substring(F.sha2(F.substring("bytes", F.col("before") - low + 1, size), 256), 1, 32))
+    while True:
+        cuts = {"core": digest(F.col("a"), F.lit(LENGTH) - F.col("b") + F.col("a")), "hull": F.when(full, digest(F.col("b"), F.lit(LENGTH) + F.col("b") - F.col("a")))}
+        rows = materialize(rows.withColumns(cuts), "crowd-ranges")
+        both = functools.reduce(DataFrame.unionByName, [rows.select(F.lit(k).alias("kind"), "a", "b", F.col(k).alias("digest"), F.struct("key", "x").alias("place")) for k in cuts])
+        again = materialize(both.where("digest IS NOT NULL").groupBy("kind", "a", "b", "digest").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1"), "crowd-counts")
+        hulls = again.where("kind = 'hull'").select(F.col("a").alias("a2"), F.col("b").alias("b2"), "digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt2"))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "x"), F.lit(SALTS)).cast("int"))
+        same = (F.col("hull") == F.col("digest")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")) & (F.col("salt") == F.col("salt2"))
+        judged = materialize(salted.join(hulls, same, "left").select(*rows.columns, F.col("digest").isNotNull().alias("whole"), F.coalesce(F.col("first") == F.struct("key", "x"), F.lit(False)).alias("lead")), "crowd-judged")
+        spans.append(judged.where("whole").select("key", (F.col("x") - F.col("b")).alias("start"), (F.col("x") - F.col("a") + LENGTH).alias("end")))
+        if width == 1:
+            break
+        width = -(-width // SPLIT)
+        cores = again.where("kind = 'core'").select(F.xxhash64("a", "b", "digest").alias("h"))
+        some = BitFilter.build(cores, cores.count())
+        left = judged.where("(lead OR NOT whole) AND a < b").where(some.column(spark, F.xxhash64("a", "b", "core")))
+        starts = F.explode(F.sequence(F.col("a"), F.col("b"), F.lit(width)))
+        rows = left.withColumn("at", starts).select("key", "x", "before", "bytes", F.col("at").alias("a"), F.least(F.col("b"), F.col("at") + width - 1).alias("b")).where(able)
+    return functools.reduce(DataFrame.unionByName, spans)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", crowd: int = CROWD, chunk: int = CHUNK, bits: int = 64) -> DataFrame:
