@@ -18,13 +18,14 @@ like other rows; an empty table gives no rows; columns other than the key are le
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections import namedtuple
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ CAPACITY, WINDOWS, END = 2048, 512, 1
 #: Stretches that a worker remembers; as many again are kept from before.
 KNOWN = 1 << 18
 #: How a byte-level vocabulary parts a text before it merges; stretches don't influence each other.
-STRETCHES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+STRETCHES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 Piece = namedtuple("Piece", "doc start length")
 OUT = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
@@ -119,32 +120,39 @@ def packed(rests: list[Piece], capacity: int = CAPACITY) -> list[list[Piece]]:
     return [g[0] for g in goals]
 
 
-class Encoder:
+def _letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: printable ones as themselves, the rest as the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
+class Encoder(dict):
     """Ids of texts as little-endian unsigned 32-bit bytes, by a tokenizers file with a byte-level vocabulary.
 
-    The library encodes every new stretch; stretches are remembered in two generations. A text with a special token or a
+    The library merges every new stretch; stretches are remembered in two generations. A text with a special token or a
     character that library and pattern class differently goes to the library whole, as do all texts of other vocabularies.
     """
 
     def __init__(self, file: str, end: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         self.library, self.end = Tokenizer.from_file(file), end.to_bytes(4, "little")
         parts = self.library.pre_tokenizer
         self.parted = self.library.normalizer is None and isinstance(parts, pre_tokenizers.ByteLevel) and parts.use_regex and not parts.add_prefix_space
-        self.new: dict[str, bytes] = {}
+        self.merge, self.letters = self.library.model.tokenize, _letters()
         self.old: dict[str, bytes] = {}
         self.alike: dict[str, bool] = {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __getitem__(self, stretch: str) -> bytes:
-        if (x := self.new.get(stretch)) is None:
-            if len(self.new) >= KNOWN:
-                self.old, self.new = self.new, {}
-            x = self.new[stretch] = self.old.pop(stretch, None) or self._encode(stretch)
+    def __missing__(self, stretch: str) -> bytes:
+        if len(self) >= KNOWN:
+            self.old = dict(self)
+            self.clear()
+        if (x := self.old.get(stretch)) is None:
+            x = array("I", [t.id for t in self.merge(stretch.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self[stretch] = x
         return x
 
     def _same_class(self, c: str) -> bool:
@@ -157,7 +165,7 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         if not self.parted or any(s in text for s in self.special) or not all(map(self._same_class, set(text))):
-            return self._encode(text) + self.end
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
         return b"".join(map(self.__getitem__, STRETCHES.findall(text))) + self.end
 
 
