@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import KEY
+from corpusloom.sources.scratch import written
 
 VERBALISED = ["PROVIDES", "COVERS", "MEASURES"]
 
@@ -44,24 +51,44 @@ def numbered(names: DataFrame, column: str, number: str, buckets: int = 1024) ->
     return rows.withColumn("__r", rank).join(F.broadcast(before), F.col("__b") == F.col("__k")).select(column, (F.col("__before") + F.col("__r") - 1).alias(number))
 
 
-def train(rows: DataFrame, features: int = 1 << 16) -> PipelineModel:
-    """Logistic regression on TF-IDF of words; rows(text, label)."""
-    stages = [
+def pipeline(features: int = 1 << 16, penalty: float = 1e-3) -> Pipeline:
+    """Logistic regression on TF-IDF of words; of rows(text, label), label 0.0 or 1.0."""
+    return Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(maxIter=30, regParam=1e-3),
-    ]
-    return Pipeline(stages=stages).fit(rows.select("text", F.col("label").cast("double").alias("label")))
+        LogisticRegression(maxIter=30, regParam=penalty),
+    ])
+
+
+#: Feature sizes and penalties that model selection tries, and its folds.
+SIZES, PENALTIES, FOLDS = (1 << 12, 1 << 16), (1e-3, 1e-1), 2
 
 
-def best_of(rows: DataFrame, sizes: list[int]) -> tuple[PipelineModel, float]:
-    """The model with the best F1 on the held-out part, of several feature sizes."""
-    parts = split(rows)
-    models = [(train(parts.where("train"), n), n) for n in sizes]
-    scored = [(metrics(m.transform(parts.where("NOT train")).select("label", "prediction")).first()["f1"], m) for m, _ in models]
-    f1, model = max(scored, key=lambda x: x[0])
-    return model, f1
+def select_model(rows: DataFrame, sizes: Sequence[int] = SIZES, penalties: Sequence[float] = PENALTIES, folds: int = FOLDS) -> CrossValidatorModel:
+    """Cross-validation by the F1 of label 1 over feature sizes and penalties; the best pair is fitted on all rows(text, label).
+
+    Folds go by a hash of the text, so equal texts never stand on both sides and runs agree however rows are partitioned.
+    Each fold and all rows need both labels.
+    """
+    p = pipeline()
+    tf, regression = p.getStages()[1], p.getStages()[3]
+    grid = ParamGridBuilder().addGrid(tf.numFeatures, list(sizes)).addGrid(regression.regParam, list(penalties)).build()
+    f1 = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0, beta=1.0)
+    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(folds)).cast("int").alias("fold")
+    data = written(rows.select("text", F.col("label").cast("double").alias("label"), fold), "classifier-rows")
+    return CrossValidator(estimator=p, estimatorParamMaps=grid, evaluator=f1, numFolds=folds, foldCol="fold", parallelism=2).fit(data)
+
+
+def saved(folder: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
+    """The model in a folder that all executors share; fitted and written there where there is none yet."""
+    try:
+        return PipelineModel.load(folder)
+    except (Py4JJavaError, AnalysisException) as e:
+        if not any(x in str(e) for x in ("does not exist", "PATH_NOT_FOUND", "empty collection")):
+            raise
+    fit().write().overwrite().save(folder)
+    return PipelineModel.load(folder)
 
 
 def score(edges: DataFrame, model: PipelineModel) -> DataFrame:
@@ -86,14 +113,27 @@ def positives(provides: DataFrame, n: int, least: int = 3) -> DataFrame:
     return good.orderBy("satellite", "product").limit(n).select(F.concat_ws(" ", "satellite", F.lit("provides"), "product").alias("text"), F.lit(1).alias("label"))
 
 
+def permuted(number: Column, rows: int, columns: int, seed: int = 42, rounds: int = 6) -> tuple[Column, Column]:
+    """Place number of a pseudo-random order of all cells of a table: its row and column.
+
+    A Feistel network over the two numbers: each round shifts one by a hash of the other, which can be undone, so
+    different places below rows * columns are different cells and none has to be remembered.
+    """
+    i, j = F.floor(number / columns).cast("long"), F.pmod(number, F.lit(columns))
+    for r in range(rounds):
+        shift = lambda x, n: F.pmod(F.xxhash64(x, F.lit(seed), F.lit(r)), F.lit(n))  # noqa: B023, E731
+        i, j = (F.pmod(i + shift(j, rows), F.lit(rows)), j) if r % 2 == 0 else (i, F.pmod(j + shift(i, columns), F.lit(columns)))
+    return i, j
+
+
 def negatives(satellites: DataFrame, terms: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n pseudo-random pairs of a satellite and an unfit term, label 0.
+    """min(n, all) different pseudo-random pairs of a distinct satellite and a distinct unfit term, label 0.
 
-    A pair is drawn by hashing: satellite i of a numbered list and term j, so pairs are never all formed.
+    Pairs are the first places of a permutation of all of them, so they are neither formed nor drawn twice.
     """
-    s = numbered(satellites, "satellite", "i")
-    t = numbered(terms.toDF("term"), "term", "j")
+    s = written(numbered(satellites, "satellite", "i"), "satellites")
+    t = written(numbered(terms.toDF("term"), "term", "j"), "terms")
     ns, nt = s.count(), t.count()
-    draws = satellites.sparkSession.range(2 * n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(ns, 1))).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max(nt, 1))).alias("j"), "id")
-    drawn = draws.groupBy("i", "j").agg(F.min("id").alias("id")).orderBy("id").limit(n)
+    i, j = permuted(F.col("id"), max(ns, 1), max(nt, 1), seed)
+    drawn = satellites.sparkSession.range(min(n, ns * nt)).select(i.alias("i"), j.alias("j"))
     return drawn.join(s, "i").join(t, "j").select(F.concat_ws(" ", "satellite", F.lit("provides"), "term").alias("text"), F.lit(0).alias("label"))

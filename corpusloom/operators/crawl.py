@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -14,52 +15,86 @@ from pyspark.sql.functions import pandas_udf
 from corpusloom.sources.scratch import shared_folder
 
 HIDDEN = {"script", "style", "nav", "footer"}
-
-
-class _Page(HTMLParser):
-    """Collects text nodes outside hidden elements, and meta tags."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.hidden: list[str] = []
-        self.texts: list[str] = []
-        self.meta: dict[str, str] = {}
-
-    def handle_starttag(self, tag, attrs):
+#: Elements whose content is characters up to their end tag, without markup.
+RAW = {"script": re.compile(r"</script(?=[\s/>])", re.I), "style": re.compile(r"</style(?=[\s/>])", re.I)}
+# An attribute: a name, and after = a value in quotes or up to the next space. Possessive, so that no tag is tried twice.
+_ATTRIBUTE = r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(?![\"'])([^\s>]*+)))?+"
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+_MARKUP = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"  # a comment, to the end where it isn't closed
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:" + _ATTRIBUTE.replace("([", "(?:[") + r")*+)[\s/]*+>"
+    r"|<(?:[!?]|/(?![a-zA-Z]))[^>]*+>?",  # declarations and what isn't a tag
+    re.S,
+)
+PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("meta", T.MapType(T.StringType(), T.StringType())), T.StructField("base", T.StringType()), T.StructField("hrefs", T.ArrayType(T.StringType()))])
+
+
+def _attributes(source: str) -> dict[str, str | None]:
+    """Names in lower case to decoded values, None where there is none; the last of equal names counts."""
+    out = {}
+    for m in _ATTRIBUTES.finditer(source):
+        value = next((v for v in m.groups()[1:] if v is not None), None)
+        out[m[1].lower()] = None if value is None else unescape(value)
+    return out
+
+
+def read_page(source: str) -> tuple[str, dict[str, str], str | None, list[str]]:
+    """Text, meta tags, base reference and link references of a page, in one pass over its markup.
+
+    Text nodes are stripped, empty ones dropped, one a line; those inside HIDDEN elements are left out. The first base
+    with a reference counts; links are those of a elements, wherever they stand.
+    """
+    texts, meta, base, hrefs, hidden = [], {}, None, [], []
+    at = done = 0
+
+    def text(upto: int) -> None:
+        if not hidden and (node := unescape(source[done:upto]).strip()):
+            texts.append(node)
+
+    while m := _MARKUP.search(source, at):
+        text(m.start())
+        at = done = m.end()
+        if (tag := m["tag"]) is None:
+            continue
+        tag = tag.lower()
+        if m["end"]:
+            if tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+            continue
         if tag in HIDDEN:
-            self.hidden.append(tag)
-        elif tag == "meta":
-            a = dict(attrs)
-            if (name := a.get("name") or a.get("property")) and a.get("content") is not None:
-                self.meta[name.lower()] = a["content"]
+            hidden.append(tag)
+            if tag in RAW:
+                found = RAW[tag].search(source, at)
+                at = done = found.start() if found else len(source)
+        elif tag in ("a", "meta", "base"):
+            a = _attributes(m["attributes"])
+            if tag == "meta":
+                if (name := a.get("name") or a.get("property")) and a.get("content") is not None:
+                    meta[name.lower()] = a["content"]
+            elif (href := a.get("href")) is not None:
+                if tag == "a":
+                    hrefs.append(href.strip(" \t\n\r\f"))
+                elif base is None:
+                    base = href.strip(" \t\n\r\f")
+    text(len(source))
+    return "\n".join(texts), meta, base, hrefs
 
-    def handle_endtag(self, tag):
-        if tag in self.hidden:
-            while self.hidden and self.hidden.pop() != tag:
-                pass
 
-    def handle_data(self, data):
-        if not self.hidden and (data := data.strip()):
-            self.texts.append(data)
+@pandas_udf(PAGE)
+def page(html: pd.Series) -> pd.DataFrame:
+    """Vectorized helper: read_page() of each page; a null page is empty."""
+    return pd.DataFrame([read_page(h or "") for h in html], columns=PAGE.names)
 
 
-def _parsed(html: str | None) -> _Page:
-    p = _Page()
-    p.feed(html or "")
-    p.close()
-    return p
+def visible_text(html: Column | str) -> Column:
+    """Text nodes, stripped, one a line; script, style, nav, footer and comments are left out."""
+    return page(html)["text"]
 
 
-@pandas_udf(T.StringType())
-def visible_text(html: pd.Series) -> pd.Series:
-    """Vectorized helper: text nodes, stripped, one a line; script, style, nav, footer and comments are left out."""
-    return html.map(lambda h: "\n".join(_parsed(h).texts))
-
-
-@pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def meta_map(html: pd.Series) -> pd.Series:
-    """Vectorized helper: meta name or property in lower case to content, the last one wins."""
-    return html.map(lambda h: _parsed(h).meta)
+def meta_map(html: Column | str) -> Column:
+    """meta name or property in lower case to content, the last one wins."""
+    return page(html)["meta"]
 
 
 @pandas_udf(T.StringType())
@@ -76,16 +111,23 @@ def resolve(url: Column, href: Column) -> Column:
         F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(url, r"^([a-z]+:)", 1), href))
         .when(href.startswith("/"), F.concat(origin, href))
+        .when(href == "", url)
+        .when(href.startswith("?"), F.concat(F.regexp_extract(url, r"^([^?#]*)", 1), href))
         .when(href.startswith("#"), F.concat(F.regexp_extract(url, r"^([^#]*)", 1), href))
         .otherwise(F.concat(F.when(folder == "", F.concat(origin, F.lit("/"))).otherwise(folder), href))
     )
 
 
+def _resolved(base: Column, href: Column) -> Column:
+    return F.when(href.rlike(r"(^|/)\.\.?(/|$)"), join_url(base, href)).otherwise(resolve(base, href))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(src, dst): every link of every page, resolved."""
-    hrefs = F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), 1))
-    found = pages.select(F.col("url").alias("src"), hrefs.alias("href"))
-    return found.select("src", F.when(F.col("href").rlike(r"(^|/)\.\.?(/|$)"), join_url("src", "href")).otherwise(resolve(F.col("src"), F.col("href"))).alias("dst"))
+    """(src, dst): every link of every page, resolved against its base reference, or against its URL where it has none."""
+    read = pages.select(F.col("url").alias("src"), page("html").alias("page"))
+    base = F.when(F.col("page.base") != "", _resolved(F.col("src"), F.col("page.base"))).otherwise(F.col("src"))
+    found = read.select("src", base.alias("base"), F.explode("page.hrefs").alias("href"))
+    return found.select("src", _resolved(F.col("base"), F.col("href")).alias("dst"))
 
 
 def host_of(url: Column) -> Column:

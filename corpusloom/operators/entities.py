@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -19,22 +21,63 @@ GEO_WORDS = ["sea", "ocean", "bay", "gulf", "region", "area", "coast", "peninsul
 CONTEXT = 50
 
 
-def gazetteer_pattern(terms: list[str]) -> str:
-    """One alternation, the longest term first, on boundaries of ASCII words."""
-    return r"(?<![A-Za-z0-9_])(?:" + "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t))) + r")(?![A-Za-z0-9_])"
+#: Candidates up to which a chain of expressions is cheaper than an automaton.
+FEW = 16
+_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+class Automaton:
+    """All terms of a list in one pass over a text, at a cost that doesn't grow with their number (Aho and Corasick).
+
+    Travels as the list of terms; the automaton is built where it is first used, once a worker and list.
+    """
+
+    _built: dict[tuple[str, ...], ahocorasick.Automaton] = {}
+
+    def __init__(self, terms: list[str]):
+        self.terms = tuple(terms)
+
+    def found(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(start, end, number of the term) of each occurrence on boundaries of ASCII words, overlapping ones too, by end."""
+        if (a := self._built.get(self.terms)) is None:
+            if len(self._built) >= 8:
+                self._built.clear()
+            a = self._built[self.terms] = ahocorasick.Automaton()
+            for i, t in reversed(list(enumerate(self.terms))):  # of equal terms the first one counts
+                if t:
+                    a.add_word(t, (i, len(t)))
+            a.make_automaton()
+        if not len(a):
+            return
+        for last, (i, n) in a.iter(text):
+            start = last + 1 - n
+            if (not start or text[start - 1] not in _WORD) and (last + 1 == len(text) or text[last + 1] not in _WORD):
+                yield start, last + 1, i
+
+    def longest(self, text: str) -> list[tuple[int, int, int]]:
+        """The longest occurrence at each place, from the left, none overlapping."""
+        out, end = [], 0
+        for start, last, i in sorted(self.found(text), key=lambda m: (m[0], -m[1])):
+            if start >= end:
+                out.append((start, last, i))
+                end = last
+        return out
 
 
 def mentions_in(text: Column, gazetteer: list[tuple[str, str]]) -> Column:
     """array of mentions of gazetteer(label, term): the longest match at each place, none overlapping.
 
-    A vectorized helper: one compiled alternation a worker, however many terms there are.
+    A vectorized helper: the terms are broadcast and make one automaton a worker. A term with several labels has the
+    first; a null text has no mentions, and an empty term is never found.
     """
-    labels = {term: label for label, term in reversed(gazetteer)}
-    pattern = re.compile(gazetteer_pattern(list(labels)))
+    labels = list({term: label for label, term in reversed(gazetteer)}.items())
+    held = SparkSession.active().sparkContext.broadcast((Automaton([t for t, _ in labels]), labels))
 
     @pandas_udf(MENTIONS)
     def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"text": m[0], "label": labels[m[0]], "start": m.start(), "end": m.end()} for m in pattern.finditer(t or "")])
+        terms, labels = held.value
+        return texts.map(lambda t: [{"text": labels[i][0], "label": labels[i][1], "start": a, "end": b} for a, b, i in terms.longest(t or "")])
 
     return find(text)
 
@@ -86,9 +129,22 @@ def refine(mention: Column, label: Column, classes: dict[str, list[str]]) -> Col
     return out
 
 
-def first_candidate(text: Column, candidates: list[str]) -> Column:
-    """The first candidate in list order that stands in the text as a word, whatever the case; '' if none does."""
-    return F.coalesce(*[F.when(text.rlike(rf"(?i)(^|[^A-Za-z0-9_]){re.escape(c)}($|[^A-Za-z0-9_])"), F.lit(c)) for c in candidates], F.lit(""))
+def first_candidate(text: Column, candidates: list[str], few: int = FEW) -> Column:
+    """The first candidate in list order that stands in the text as a word, whatever the case of ASCII letters; '' if none does.
+
+    A long list is searched by an automaton, with the same result.
+    """
+    if len(candidates) <= few:
+        return F.coalesce(*[F.when(text.rlike(rf"(?i)(^|[^A-Za-z0-9_]){re.escape(c)}($|[^A-Za-z0-9_])"), F.lit(c)) for c in candidates], F.lit(""))
+    held = SparkSession.active().sparkContext.broadcast((Automaton([c.translate(_LOWER) for c in candidates]), candidates))
+
+    @pandas_udf(T.StringType())
+    def find(texts: pd.Series) -> pd.Series:
+        terms, names = held.value
+        first = lambda t: min((i for _, _, i in terms.found((t or "").translate(_LOWER))), default=None)
+        return texts.map(lambda t: "" if (i := first(t)) is None else names[i])
+
+    return find(text)
 
 
 def consistent(label: Column, mention: Column, rules: list[tuple[str, list[str], str]]) -> Column:

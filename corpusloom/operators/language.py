@@ -1,11 +1,15 @@
-"""Language identification by character trigrams and keywords by TF-IDF, as joins and groupings."""
+"""Language identification by character trigrams, an expression over each row, and keywords by TF-IDF."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import bound
+
 PROFILE, HEAD, KEYWORDS = 300, 500, 10
+#: Texts of each language that its profile is fitted on.
+SAMPLE = 100_000
 
 
 def trigrams(text: Column) -> Column:
@@ -13,22 +17,51 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(...))"), F.lit(1))
 
 
-def language_profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
-    """(lang, gram, weight): the most frequent trigrams of each language's texts, the commonest weighing most."""
-    grams = labelled.where(F.length("text") >= 3).select("lang", F.explode(trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").count()
+def language_profiles(labelled: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> DataFrame:
+    """(lang, gram, weight): the most frequent trigrams of each language's texts, the commonest weighing most.
+
+    About `sample` texts of each language are read, all where it has fewer; which ones goes by a hash of the text.
+    """
+    texts = labelled.where(F.length("text") >= 3).select("lang", "text")
+    share = F.least(F.lit(1.0), F.lit(sample) / F.count("*"))
+    shares = {r["lang"]: r["share"] for r in texts.groupBy("lang").agg(share.alias("share")).collect() if r["share"] < 1}  # a row a language
+    for lang, part in shares.items():
+        texts = texts.where(~F.col("lang").eqNullSafe(lang) | (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(part * (1 << 30))))
+    grams = texts.select("lang", F.explode(trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").count()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram"))
     return grams.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", (F.lit(size + 1) - F.col("rank")).alias("weight"))
 
 
-def detect_language(docs: DataFrame, profiles: DataFrame, default: str = "en", head: int = HEAD) -> DataFrame:
-    """(doc_id, language) by the best profile over the first characters of a text; ties go to the first name.
+def language_of(text: Column, profiles: dict[str, dict[str, int]], default: str = "en", head: int = HEAD) -> Column:
+    """The language whose profile (gram to weight) weighs most over the first characters of a text; ties go to the first
+    name, texts without a known trigram to the default.
 
-    profiles has at most PROFILE rows a language and is broadcast.
+    An expression over the row: the profiles are one constant, maps of few grams by a hash of the gram, so nothing is
+    exploded and nothing shuffled.
     """
-    seen = docs.select("doc_id", F.substring("text", 1, head).alias("h")).where(F.length("h") >= 3)
-    scores = seen.select("doc_id", F.explode(trigrams(F.col("h"))).alias("gram")).join(F.broadcast(profiles), "gram").groupBy("doc_id", "lang").agg(F.sum("weight").alias("score"))
-    best = scores.groupBy("doc_id").agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("found"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(default)).alias("language"))
+    names = sorted(profiles)
+    grams = sorted({g for p in profiles.values() for g in p})
+    if not grams:
+        return F.lit(default)
+    places = 1 << max(0, (len(grams) // 8).bit_length())
+    of = SparkSession.active().createDataFrame([(g,) for g in grams], "gram string").select("gram", F.pmod(F.hash("gram"), F.lit(places))).collect()
+    held: list[dict[str, list[int]]] = [{"": [0] * len(names)} for _ in range(places)]  # no trigram is empty
+    for g, at in of:
+        held[at][g] = [profiles[n].get(g, 0) for n in names]
+    constant = F.array(*[F.create_map(*[x for g, w in m.items() for x in (F.lit(g), F.array(*map(F.lit, w)))]) for m in held])
+    weights = lambda g: F.try_element_at(F.get(constant, F.pmod(F.hash(g), F.lit(places))), g)
+    known = F.filter(F.transform(trigrams(F.substring(text, 1, head)), weights), lambda w: w.isNotNull())
+    scores = F.aggregate(known, F.array(*[F.lit(0)] * len(names)), lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
+    best = lambda s: F.when(F.array_max(s) > 0, F.get(F.array(*map(F.lit, names)), (F.array_position(s, F.array_max(s)) - 1).cast("int"))).otherwise(default)
+    return F.when(F.length(text) >= 3, bound(scores, best)).otherwise(default)
+
+
+def detect_language(docs: DataFrame, profiles: DataFrame, default: str = "en", head: int = HEAD) -> DataFrame:
+    """(doc_id, language): profiles has at most PROFILE rows a language, so the driver takes them."""
+    known: dict[str, dict[str, int]] = {}
+    for r in profiles.where("lang IS NOT NULL").collect():
+        known.setdefault(r["lang"], {})[r["gram"]] = r["weight"]
+    return docs.select("doc_id", F.coalesce(language_of(F.col("text"), known, default, head), F.lit(default)).alias("language"))
 
 
 def keywords(docs: DataFrame, n: int = KEYWORDS, language: str = "en") -> DataFrame:

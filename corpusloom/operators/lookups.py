@@ -2,73 +2,106 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import written
 
-def grams_of(text: Column) -> Column:
-    """The distinct strings of one to three characters in a text."""
+#: Texts of a segment, as a power of two: the places of one list of postings.
+SEGMENT = 14
+#: Parts that are verified on one copy of a text.
+TOGETHER = 1000
 
-    def cuts(k: int) -> Column:
-        at = F.sequence(F.lit(1), F.length(text) - (k - 1))
-        return F.when(F.length(text) >= k, F.transform(at, lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(cuts(1), cuts(2), cuts(3)))
+class Index(NamedTuple):
+    """texts(number, whole, ...) and the postings of their strings: lists(gram, segment, places), places sorted. A text's
+    number is its segment and its place there; a list holds one segment, so it is bounded however common its string."""
 
+    texts: DataFrame
+    lists: DataFrame
 
-def containing(texts: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
-    """(text, part) of distinct texts and parts where the text contains the part.
 
-    Texts are indexed by their strings of up to three characters; a part is looked up by the rarest of its longest ones
-    alone, by equality, and what is found is verified. Parts with a string that no text holds are never joined; nulls
-    match nothing; an empty part is in every text.
+def strings_of(text: Column) -> Column:
+    """The distinct strings of three characters in a text, and the shorter ones at its end, in one scan."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{1,3}))"), F.lit(1)))
+
+
+def index(rows: DataFrame, text: str) -> Index:
+    """Numbers the rows that have a text (they are written once) and posts the strings of each text under its number."""
+    texts = written(rows.withColumnRenamed(text, "whole").where("whole IS NOT NULL").withColumn("number", F.monotonically_increasing_id()), "texts")
+    place = F.col("number").bitwiseAND((1 << SEGMENT) - 1).cast("int")
+    strings = texts.select(F.shiftright("number", SEGMENT).alias("segment"), place.alias("place"), F.explode(strings_of(F.col("whole"))).alias("gram"))
+    return Index(texts, strings.groupBy("gram", "segment").agg(F.sort_array(F.collect_list("place")).alias("places")))
+
+
+def held(texts: Index, parts: DataFrame, part: str) -> DataFrame:
+    """(part, number, whole, ...) of all indexed texts that contain a distinct part; nulls match nothing.
+
+    A part is looked up by its two rarest strings of three characters: their lists are intersected segment by segment,
+    and each text found is fetched once to verify its parts. A part with a string that no text holds is dropped at once.
+    Parts of one or two characters are looked up as beginnings of strings. An empty part is in every text.
     """
-    t = texts.select(F.col(text).alias("whole")).where("whole IS NOT NULL").distinct()
     p = parts.select(F.col(part).alias("part")).where("part IS NOT NULL").distinct()
-    index = t.select("whole", F.explode(grams_of(F.col("whole"))).alias("gram"))
-    held = index.groupBy("gram").agg(F.count("*").alias("n"))
-    own = p.select("part", F.explode(grams_of(F.col("part"))).alias("gram")).where(F.length("gram") == F.least(F.length("part"), F.lit(3)))
-    rare = own.join(held, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    found = index.join(rare, "gram").where(F.col("whole").contains(F.col("part"))).select("whole", "part")
-    empty = t.withColumn("part", F.lit("")).join(F.broadcast(p.where("part = ''")), "part", "left_semi")  # one row at most
-    found = found.unionByName(empty.select("whole", "part"))
+    counts = texts.lists.groupBy("gram").agg(F.sum(F.size("places")).alias("n"))
+    own = p.where(F.length("part") > 2).select("part", F.explode(strings_of(F.col("part"))).alias("gram")).where(F.length("gram") == 3)
+    rare = own.join(counts, "gram", "left").groupBy("part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("rare"))
+    two = rare.where("rare[0].n > 0").select("part", F.col("rare")[0]["gram"].alias("first"), F.coalesce(F.get("rare", F.lit(1)), F.get("rare", F.lit(0)))["gram"].alias("second"))
+    both = two.join(texts.lists.select(F.col("gram").alias("first"), "segment", "places"), "first").join(texts.lists.select(F.col("gram").alias("second"), "segment", F.col("places").alias("more")), ["second", "segment"])
+    found = both.select("part", "segment", F.explode(F.array_intersect("places", "more")).alias("place"))
+    begin = texts.lists.select("segment", "places", F.explode(F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.substring("gram", F.lit(1), n)))).alias("part"))
+    short = begin.join(p.where(F.length("part").between(1, 2)), "part").select("part", "segment", F.explode("places").alias("place")).distinct()
+    found = found.unionByName(short).select("part", F.shiftleft("segment", SEGMENT).bitwiseOR(F.col("place")).alias("number"))
+    turn = F.floor(F.row_number().over(Window.partitionBy("number").orderBy("part")) / TOGETHER)
+    found = found.withColumn("turn", turn).groupBy("number", "turn").agg(F.collect_list("part").alias("parts")).drop("turn")
+    hits = texts.texts.join(found, "number").withColumn("part", F.explode(F.filter("parts", lambda x: F.col("whole").contains(x)))).drop("parts")
+    empty = texts.texts.withColumn("part", F.lit("")).join(F.broadcast(p.where("part = ''")), "part", "left_semi")  # one row at most
+    return hits.unionByName(empty)
+
+
+def containing(texts: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
+    """(text, part) of distinct texts and parts where the text contains the part."""
+    found = held(index(texts.select(text).distinct(), text), parts, part)
     return found.select(F.col("whole").alias(text), F.col("part").alias(part))
 
 
-def matching(names: DataFrame, queries: DataFrame, name: str, query: str) -> DataFrame:
-    """(name, query) of distinct names and queries of which one contains the other."""
-    n, q = names.select(name), queries.select(query)
-    return containing(n, q, name, query).unionByName(containing(q, n, query, name)).distinct()
+def matching(names: DataFrame | Index, queries: DataFrame, name: str, query: str) -> DataFrame:
+    """(name, query) of distinct names (or those of an index) and queries of which one contains the other."""
+    known = names if isinstance(names, Index) else index(names.select(name).distinct(), name)
+    names, asked = known.texts.select(F.col("whole").alias(name)), queries.select(query).distinct()
+    held_by = held(known, asked, query).select(F.col("whole").alias(name), F.col("part").alias(query))
+    return held_by.unionByName(containing(asked, names, query, name)).distinct()
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column | str], n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def by_satellite(queries: DataFrame, provides: DataFrame, n: int = 10) -> DataFrame:
-    """queries(sat) -> (sat, satellite, product): names are matched first, edges then joined by equality."""
-    hits = matching(provides, queries, "satellite", "sat").join(provides, "satellite").select("sat", "satellite", "product").distinct()
+def by_satellite(queries: DataFrame, provides: DataFrame, n: int = 10, satellites: Index | None = None) -> DataFrame:
+    """queries(sat) -> (sat, satellite, product): names (or an index of them) are matched first, edges then joined by equality."""
+    hits = matching(satellites or provides, queries, "satellite", "sat").join(provides, "satellite").select("sat", "satellite", "product").distinct()
     return top(hits, ["sat"], ["satellite", "product"], n)
 
 
-def by_satellite_and_parameter(queries: DataFrame, provides: DataFrame, measures: DataFrame, n: int = 10) -> DataFrame:
+def by_satellite_and_parameter(queries: DataFrame, provides: DataFrame, measures: DataFrame, n: int = 10, satellites: Index | None = None, parameters: Index | None = None) -> DataFrame:
     """queries(sat, param): products of matching satellites that measure a matching parameter."""
-    p = matching(measures, queries, "name", "param").join(measures, "name").select("param", "product", F.col("name").alias("parameter"))
-    s = matching(provides, queries, "satellite", "sat").join(provides, "satellite").select("sat", "satellite", "product")
+    p = matching(parameters or measures, queries, "name", "param").join(measures, "name").select("param", "product", F.col("name").alias("parameter"))
+    s = matching(satellites or provides, queries, "satellite", "sat").join(provides, "satellite").select("sat", "satellite", "product")
     hits = queries.select("sat", "param").distinct().join(s, "sat").join(p, ["param", "product"]).select("sat", "param", "satellite", "product", "parameter").distinct()
     return top(hits, ["sat", "param"], ["satellite", "product", "parameter"], n)
 
 
-def by_region_and_parameter(queries: DataFrame, provides: DataFrame, covers: DataFrame, measures: DataFrame, n: int = 10) -> DataFrame:
+def by_region_and_parameter(queries: DataFrame, provides: DataFrame, covers: DataFrame, measures: DataFrame, n: int = 10, parameters: Index | None = None) -> DataFrame:
     """queries(region_q, param): two hops, region <- covers - product <- provides - satellite."""
     r = matching(covers, queries, "region", "region_q").join(covers, "region").select("region_q", "region", "product")
-    p = matching(measures, queries, "name", "param").join(measures, "name").select("param", "product")
+    p = matching(parameters or measures, queries, "name", "param").join(measures, "name").select("param", "product")
     hits = queries.select("region_q", "param").distinct().join(r, "region_q").join(p, ["param", "product"]).join(provides, "product")
     return top(hits.select("region_q", "param", "satellite", "product", "region").distinct(), ["region_q", "param"], ["satellite", "product", "region"], n)
 
 
-def by_parameter(queries: DataFrame, measures: DataFrame, n: int = 10) -> DataFrame:
-    hits = matching(measures, queries, "name", "param").join(measures, "name").select("param", "product", F.col("name").alias("parameter")).distinct()
+def by_parameter(queries: DataFrame, measures: DataFrame, n: int = 10, parameters: Index | None = None) -> DataFrame:
+    hits = matching(parameters or measures, queries, "name", "param").join(measures, "name").select("param", "product", F.col("name").alias("parameter")).distinct()
     return top(hits, ["param"], ["product", "parameter"], n)
 
 

@@ -31,14 +31,15 @@ def _docs(spark, d):
     return tb.table(spark, d, "documents")
 
 
-def mentions(spark, d):
-    """Mentions of all documents, extracted once and written, as several steps of a query use them."""
-    return written(entities.extract(_docs(spark, d), GAZETTEER), "mentions")
+def mentions(spark, d, once=False):
+    """Mentions of all documents; written where several steps of a query use them."""
+    found = entities.extract(_docs(spark, d), GAZETTEER)
+    return found if once else written(found, "mentions")
 
 
 @query("E1", f"WITH {MENTIONS} SELECT doc_id, ord, text, label, start, fin FROM mentions")
 def e1(spark, d):
-    return mentions(spark, d).select("doc_id", "ord", "text", "label", "start", F.col("end").alias("fin"))
+    return mentions(spark, d, once=True).select("doc_id", "ord", "text", "label", "start", F.col("end").alias("fin"))
 
 
 @query("E2", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '') AS acronym FROM part")
@@ -57,7 +58,7 @@ def e3(spark, d):
 @query("E4", f"""WITH {MENTIONS} SELECT doc_id, start, CASE WHEN text = 'for' OR contains(lower(substring(body, greatest(start - 50, 0) + 1, fin + 50 - greatest(start - 50, 0))), 'ation') THEN 'DATA_PRODUCT'
 WHEN text = 'with' THEN 'REGION' ELSE label END AS label FROM mentions JOIN (SELECT doc_id, text AS body FROM documents) USING (doc_id)""")
 def e4(spark, d):
-    m = mentions(spark, d).join(_docs(spark, d).select("doc_id", F.col("text").alias("body")), "doc_id")
+    m = mentions(spark, d, once=True).join(_docs(spark, d).select("doc_id", F.col("text").alias("body")), "doc_id")
     context = entities.context_of(F.col("body"), F.col("start"), F.col("end"))
     return m.select("doc_id", "start", entities.relabel(F.col("text"), F.col("label"), context, ["for"], ["was"], geo=["with"], indicators=["ation"]).alias("label"))
 
@@ -103,14 +104,14 @@ def e9(spark, d):
 
 @query("R1", f"WITH {MENTIONS}, {SENTENCES} SELECT doc_id, CAST(i AS INT) AS sent, text, start FROM placed2")
 def r1(spark, d):
-    return relations.in_sentences(_docs(spark, d), mentions(spark, d)).select("doc_id", "sent", "text", "start")
+    return relations.in_sentences(_docs(spark, d), mentions(spark, d, once=True)).select("doc_id", "sent", "text", "start")
 
 
 _PAIRS = "pm AS (SELECT doc_id, i, text, label, min(start) AS start FROM placed2 GROUP BY ALL), one AS (SELECT a.doc_id, a.i, a.text AS head, a.label AS head_type, b.text AS tail, b.label AS tail_type FROM pm a JOIN pm b ON a.doc_id = b.doc_id AND a.i = b.i AND a.start < b.start), pairs AS (SELECT * FROM one UNION ALL SELECT doc_id, i, tail, tail_type, head, head_type FROM one)"
 
 
 def pairs(spark, d, found=None):
-    found = mentions(spark, d) if found is None else found
+    found = mentions(spark, d, once=True) if found is None else found
     return relations.sentence_pairs(relations.in_sentences(_docs(spark, d), found))
 
 
@@ -146,19 +147,35 @@ FROM dm a JOIN schema ON a.label = head_type JOIN dm b ON b.doc_id = a.doc_id AN
 
 @query("R5", f"WITH {MENTIONS}, {_R5} SELECT doc_id, head, type, tail, substring(text, greatest(s - 50, 0) + 1, e + 50 - greatest(s - 50, 0)) AS evidence FROM co JOIN documents USING (doc_id)")
 def r5(spark, d):
-    return relations.co_occurring(_docs(spark, d), mentions(spark, d), relations.schema_frame(spark)).select("doc_id", "head", "type", "tail", "evidence")
+    return relations.co_occurring(_docs(spark, d), mentions(spark, d, once=True), relations.schema_frame(spark)).select("doc_id", "head", "type", "tail", "evidence")
+
+
+#: Known relations between the words that stand in for names; other pairs that the rules allow are unknown to the graph.
+KNOWN = [("was", "PROVIDES", "for"), ("this", "MEASURES", "are"), ("was", "COVERS", "with")]
+
+
+def scored_pairs(spark, d, found=None):
+    """Pairs that the rules allow, with what the graph knows of them (label) and what a model says (type).
+
+    The model of each half of the documents is learned by distant supervision from the words around its pairs, kept
+    in the shared folder, and applied to the other half.
+    """
+    found = mentions(spark, d) if found is None else found
+    placed = relations.placed_pairs(relations.in_sentences(_docs(spark, d), found))
+    known = relations.with_known(placed, spark.createDataFrame(KNOWN, "head string, type string, tail string"), relations.schema_frame(spark))
+    rows = relations.pair_words(_docs(spark, d), known)
+    folder = tb.model_folder(spark, d, "relations", ["documents"])
+    fit = lambda half: lambda: relations.distant_model(rows.where(relations.fold_of("doc_id") == half))
+    return relations.cross_scored(rows, [classify.saved(f"{folder}/{half}", fit(half)) for half in (0, 1)])
 
 
 def predicted(spark, d, found=None):
-    """Relations that a trained model predicts; it learns from marked pairs, in which what stands before a region covers it."""
-    several = written(pairs(spark, d, found), "pairs")
-    text = relations.marked_pairs(several).select("text").distinct()
-    kind = F.when(F.col("text").endswith("with [/E2]"), "COVERS").when(F.col("text").endswith("are [/E2]"), "MEASURES").otherwise("NONE")
-    return relations.predicted(several, relations.train_scorer(text.withColumn("type", kind)), relations.schema_frame(spark))
+    return relations.predicted(scored_pairs(spark, d, found), relations.schema_frame(spark))
 
 
-@query("R6", f"WITH {MENTIONS}, {SENTENCES}, {_PAIRS}, {_SCHEMA}, p AS (SELECT *, CASE tail WHEN 'with' THEN 'COVERS' WHEN 'are' THEN 'MEASURES' END AS type FROM pairs) SELECT doc_id, CAST(i AS INT) AS sent, head, type, tail FROM p JOIN schema USING (type, head_type, tail_type)")
+@query("R6")
 def r6(spark, d):
+    """What a model predicts, by words alone, for pairs of documents that it wasn't fitted on."""
     return predicted(spark, d).select("doc_id", "sent", "head", "type", "tail")
 
 
@@ -168,17 +185,12 @@ def all_relations(spark, d, found):
     return parts[0].select(*cols).unionByName(parts[1].select(*cols)).unionByName(parts[2].select(*cols))
 
 
-_R7 = f"""{MENTIONS}, {SENTENCES}, {_PAIRS}, {_R5}, ex AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERN}', 1)) AS head FROM documents),
-pr AS (SELECT p.doc_id FROM (SELECT *, CASE tail WHEN 'with' THEN 'COVERS' WHEN 'are' THEN 'MEASURES' END AS type FROM pairs) p JOIN schema USING (type, head_type, tail_type)),
-rel AS (SELECT doc_id, 'explicit_pattern' AS source FROM ex UNION ALL SELECT doc_id, 'model' FROM pr UNION ALL SELECT doc_id, 'pattern' FROM co)"""
-
-
-@query("R7", f"WITH {_R7} SELECT doc_id, source, count(*) AS n FROM rel GROUP BY ALL")
+@query("R7")
 def r7(spark, d):
     return all_relations(spark, d, mentions(spark, d)).groupBy("doc_id", "source").agg(F.count("*").alias("n"))
 
 
-@query("R8", f"WITH {_R7}, e AS (SELECT doc_id, count(*) AS n FROM mentions GROUP BY ALL), r AS (SELECT doc_id, count(*) AS n FROM rel GROUP BY ALL) SELECT coalesce(e.doc_id, r.doc_id) AS doc_id, coalesce(e.n, 0) AS entity_count, coalesce(r.n, 0) AS relation_count FROM e FULL JOIN r ON e.doc_id = r.doc_id")
+@query("R8")
 def r8(spark, d):
     found = mentions(spark, d)
     return relations.counts(found, all_relations(spark, d, found))
@@ -282,21 +294,27 @@ def c3(spark, d):
 
 @query("C4")
 def c4(spark, d):
-    """Held-out measures of a classifier of documents by quality."""
+    """Held-out measures of the classifier of documents by quality that model selection chooses."""
     parts = classify.split(_labelled(spark, d))
-    model = classify.train(parts.where("train"))
+    model = classify.select_model(parts.where("train")).bestModel
     return classify.metrics(model.transform(parts.where("NOT train")).select("label", "prediction"))
 
 
-def scored_edges(spark, d):
-    p = tb.provides(spark, d)
-    rows = classify.positives(p, 500).unionByName(classify.negatives(p.select("satellite"), tb.measures(spark, d).select("name").distinct(), 500))
-    return classify.score(tb.edges(spark, d), classify.train(rows))
+def edge_model(spark, d):
+    """The classifier of edges: selected, fitted and kept once."""
+
+    def fit():
+        p = tb.provides(spark, d)
+        rows = classify.positives(p, 500).unionByName(classify.negatives(p.select("satellite"), tb.measures(spark, d).select("name").distinct(), 500))
+        return classify.select_model(rows).bestModel
+
+    return classify.saved(tb.model_folder(spark, d, "edges", ["lineitem", "supplier", "part"]), fit)
 
 
 @query("C5")
 def c5(spark, d):
-    return scored_edges(spark, d).groupBy("type").agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
+    scored = classify.score(tb.edges(spark, d), edge_model(spark, d))
+    return scored.groupBy("type").agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
 
 
 @query("C6", """SELECT tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) ELSE 0 END AS f1
@@ -434,7 +452,7 @@ def q7(spark, d):
 @query("Q8", f"WITH {MENTIONS} SELECT DISTINCT text AS name, doc_id AS source, label FROM mentions WHERE text IN ('was', 'with')")
 def q8(spark, d):
     q = spark.createDataFrame([("was",), ("with",)], "name string")
-    return lookups.mentioned_in(q, mentions(spark, d).withColumnRenamed("doc_id", "source"))
+    return lookups.mentioned_in(q, mentions(spark, d, once=True).withColumnRenamed("doc_id", "source"))
 
 
 def catalog(spark, d):

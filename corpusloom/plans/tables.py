@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def model_folder(spark: SparkSession, d: str, name: str, tables: list[str]) -> str:
+    """Where a model fitted on these tables is kept: a folder that all executors share, named by the tables' files, so
+    that other or changed files have a model of their own."""
+    files = None
+    for t in tables:
+        at = table(spark, d, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        files = at if files is None else files.unionByName(at)
+    mark = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time") % (1 << 40)).alias("mark")).first()["mark"]
+    return f"{shared_folder(spark)}/corpusloom/models/{name}-{mark or 0}"
+
+
 def product_name() -> F.Column:
     return F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string"))
 

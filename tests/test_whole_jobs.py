@@ -52,13 +52,13 @@ def test_ingest_holds_chunks_of_last_versions(spark, sf_dir):
 def test_ingest_of_shortened_emptied_and_late_documents(spark, tmp_path):
     long = " ".join(f"Sentence {i} is here." for i in range(150))
     batches = [[("a", 1, long), ("b", 1, long), ("c", 5, "new c"), ("d", 1, "d  one")], [("a", 2, "short"), ("b", 2, " \n"), ("c", 4, long), ("d", 1, "d two"), ("e", 1, "old"), ("e", 2, long)]]
-    index, schema = str(tmp_path / "index"), "id string, version long, text string"
+    index, schema = jobs.Index(spark, f"file://{tmp_path}/index"), "id string, version long, text string"
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        jobs.ingest(stream, index, str(tmp_path / "checkpoint"), jobs.index_chunks).awaitTermination()
+        jobs.ingest(stream, index, str(tmp_path / "checkpoint")).awaitTermination()
     want = {"a": ["short"], "c": ["new c"], "d": ["d two"], "e": brute_chunks(long)}
-    got = sorted((r["id"], r["text"]) for r in jobs.read_chunks(spark, index).collect())
+    got = sorted((r["id"], r["text"]) for r in index.chunks().collect())
     assert got == sorted((f"crawled_{k}_c{i}", c) for k, cs in want.items() for i, c in enumerate(cs))
 
 
