@@ -9,7 +9,7 @@ from corpusloom.functions.arrays import bound
 
 PROFILE, HEAD, KEYWORDS = 300, 500, 10
 #: Texts of each language that its profile is fitted on.
-SAMPLE = 100_000
+SAMPLE = 1_000
 
 
 def trigrams(text: Column) -> Column:
@@ -45,10 +45,12 @@ def language_of(text: Column, profiles: dict[str, dict[str, int]], default: str
         return F.lit(default)
     places = 1 << max(0, (len(grams) // 8).bit_length())
     of = SparkSession.active().createDataFrame([(g,) for g in grams], "gram string").select("gram", F.pmod(F.hash("gram"), F.lit(places))).collect()
-    held: list[dict[str, list[int]]] = [{"": [0] * len(names)} for _ in range(places)]  # no trigram is empty
+    held: list[list[str]] = [[] for _ in range(places)]
     for g, at in of:
-        held[at][g] = [profiles[n].get(g, 0) for n in names]
-    constant = F.array(*[F.create_map(*[x for g, w in m.items() for x in (F.lit(g), F.array(*map(F.lit, w)))]) for m in held])
+        quoted = "".join(f"\\U{ord(c):08x}" for c in g)
+        held[at].append(f"'{quoted}', array({', '.join(str(profiles[n].get(g, 0)) for n in names)})")
+    zeros = f"'', array({', '.join('0' for _ in names)})"  # so that no map is empty; no trigram is
+    constant = F.expr(f"array({', '.join(f'map({chr(44).join([zeros, *m])})' for m in held)})")
     weights = lambda g: F.try_element_at(F.get(constant, F.pmod(F.hash(g), F.lit(places))), g)
     known = F.filter(F.transform(trigrams(F.substring(text, 1, head)), weights), lambda w: w.isNotNull())
     scores = F.aggregate(known, F.array(*[F.lit(0)] * len(names)), lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))

@@ -66,42 +66,51 @@ def containing(texts: DataFrame, parts: DataFrame, text: str, part: str) -> Data
     return found.select(F.col("whole").alias(text), F.col("part").alias(part))
 
 
-def matching(names: DataFrame | Index, queries: DataFrame, name: str, query: str) -> DataFrame:
-    """(name, query) of distinct names (or those of an index) and queries of which one contains the other."""
-    known = names if isinstance(names, Index) else index(names.select(name).distinct(), name)
-    names, asked = known.texts.select(F.col("whole").alias(name)), queries.select(query).distinct()
-    held_by = held(known, asked, query).select(F.col("whole").alias(name), F.col("part").alias(query))
-    return held_by.unionByName(containing(asked, names, query, name)).distinct()
+def matching(names: DataFrame, queries: DataFrame, name: str, query: str) -> DataFrame:
+    """(name, query) of distinct names and queries of which one contains the other."""
+    known = index(names.select(name).distinct(), name)
+    found = held(known, queries, query).select(F.col("whole").alias(name), F.col("part").alias(query))
+    return found.unionByName(containing(queries, known.texts, query, "whole").withColumnRenamed("whole", name)).distinct()
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column | str], n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def by_satellite(queries: DataFrame, provides: DataFrame, n: int = 10, satellites: Index | None = None) -> DataFrame:
-    """queries(sat) -> (sat, satellite, product): names (or an index of them) are matched first, edges then joined by equality."""
-    hits = matching(satellites or provides, queries, "satellite", "sat").join(provides, "satellite").select("sat", "satellite", "product").distinct()
+def by_satellite(queries: DataFrame, provides: DataFrame, n: int = 10, satellites: DataFrame | None = None) -> DataFrame:
+    """queries(sat) -> (sat, satellite, product): names are matched first, edges then joined by equality.
+
+    Here and below, names may be given as matched already: satellites(satellite, sat), parameters(name, param) and
+    regions(region, region_q).
+    """
+    s = matching(provides, queries, "satellite", "sat") if satellites is None else satellites
+    hits = queries.select("sat").distinct().join(s, "sat").join(provides, "satellite").select("sat", "satellite", "product").distinct()
     return top(hits, ["sat"], ["satellite", "product"], n)
 
 
-def by_satellite_and_parameter(queries: DataFrame, provides: DataFrame, measures: DataFrame, n: int = 10, satellites: Index | None = None, parameters: Index | None = None) -> DataFrame:
+def by_satellite_and_parameter(queries: DataFrame, provides: DataFrame, measures: DataFrame, n: int = 10, satellites: DataFrame | None = None, parameters: DataFrame | None = None) -> DataFrame:
     """queries(sat, param): products of matching satellites that measure a matching parameter."""
-    p = matching(parameters or measures, queries, "name", "param").join(measures, "name").select("param", "product", F.col("name").alias("parameter"))
-    s = matching(satellites or provides, queries, "satellite", "sat").join(provides, "satellite").select("sat", "satellite", "product")
+    p = matching(measures, queries, "name", "param") if parameters is None else parameters
+    p = p.join(measures, "name").select("param", "product", F.col("name").alias("parameter"))
+    s = matching(provides, queries, "satellite", "sat") if satellites is None else satellites
+    s = s.join(provides, "satellite").select("sat", "satellite", "product")
     hits = queries.select("sat", "param").distinct().join(s, "sat").join(p, ["param", "product"]).select("sat", "param", "satellite", "product", "parameter").distinct()
     return top(hits, ["sat", "param"], ["satellite", "product", "parameter"], n)
 
 
-def by_region_and_parameter(queries: DataFrame, provides: DataFrame, covers: DataFrame, measures: DataFrame, n: int = 10, parameters: Index | None = None) -> DataFrame:
+def by_region_and_parameter(queries: DataFrame, provides: DataFrame, covers: DataFrame, measures: DataFrame, n: int = 10, regions: DataFrame | None = None, parameters: DataFrame | None = None) -> DataFrame:
     """queries(region_q, param): two hops, region <- covers - product <- provides - satellite."""
-    r = matching(covers, queries, "region", "region_q").join(covers, "region").select("region_q", "region", "product")
-    p = matching(parameters or measures, queries, "name", "param").join(measures, "name").select("param", "product")
+    r = matching(covers, queries, "region", "region_q") if regions is None else regions
+    r = r.join(covers, "region").select("region_q", "region", "product")
+    p = matching(measures, queries, "name", "param") if parameters is None else parameters
+    p = p.join(measures, "name").select("param", "product")
     hits = queries.select("region_q", "param").distinct().join(r, "region_q").join(p, ["param", "product"]).join(provides, "product")
     return top(hits.select("region_q", "param", "satellite", "product", "region").distinct(), ["region_q", "param"], ["satellite", "product", "region"], n)
 
 
-def by_parameter(queries: DataFrame, measures: DataFrame, n: int = 10, parameters: Index | None = None) -> DataFrame:
-    hits = matching(parameters or measures, queries, "name", "param").join(measures, "name").select("param", "product", F.col("name").alias("parameter")).distinct()
+def by_parameter(queries: DataFrame, measures: DataFrame, n: int = 10, parameters: DataFrame | None = None) -> DataFrame:
+    p = matching(measures, queries, "name", "param") if parameters is None else parameters
+    hits = queries.select("param").distinct().join(p, "param").join(measures, "name").select("param", "product", F.col("name").alias("parameter")).distinct()
     return top(hits, ["param"], ["product", "parameter"], n)
 
 

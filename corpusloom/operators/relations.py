@@ -166,7 +166,7 @@ def distant_model(rows: DataFrame, sample: int = 20_000, features: int = 1 << 14
     names = StringIndexer(inputCol="label", outputCol="number", stringOrderType="alphabetAsc", handleInvalid="keep").fit(taken.unionByName(taken.sparkSession.createDataFrame([([], NONE)], taken.schema)))
     stages = [
         HashingTF(inputCol="words", outputCol="features", numFeatures=features, binary=True),
-        LogisticRegression(labelCol="number", maxIter=30, regParam=1e-3, family="multinomial"),
+        LogisticRegression(labelCol="number", maxIter=15, regParam=1e-3, family="multinomial"),
         IndexToString(inputCol="prediction", outputCol="guess", labels=names.labels + [NONE]),
     ]
     return Pipeline(stages=stages).fit(names.transform(taken.unionByName(taken.sparkSession.createDataFrame([([], NONE)], taken.schema))))

@@ -15,6 +15,8 @@ from corpusloom.streaming import jobs
 
 # ---- retrieval
 
+#: Cells of the index that questions are looked up in.
+CELLS = 128
 _SYNONYMS = {"les": ["des", "une paire"], "paire": ["Deux"], "was": ["were", "had"], "und": ["oder"]}
 
 
@@ -134,7 +136,8 @@ def i7(spark, d):
     docs = index_docs(spark, d).select(F.xxhash64("type", "text").alias("id"), "type", "text", F.coalesce("name", "product", "satellite").alias("name")).dropDuplicates(["id"])
     docs = written(docs.withColumn("embedding", retrieval.embed(F.col("text"))).drop("text"), "index")
     asked = q.select("qid", retrieval.embed(retrieval.expand(F.col("question"), _SYNONYMS)).alias("embedding"))
-    found = retrieval.nearest(asked, docs.select("id", "embedding")).join(docs.select("id", "type", "name"), "id")
+    vectors = docs.select("id", "embedding")
+    found = retrieval.nearest(asked, vectors, centroids=retrieval.fit_cells(vectors, CELLS, sample=64 * CELLS)).join(docs.select("id", "type", "name"), "id")
     found = found.select("qid", F.lit(0).alias("stage"), (F.col("rank") + 3).alias("rank"), F.col("id").cast("string").alias("id"), "name", "type")
     none = F.lit(None).cast("string")
     curated = curated_matches(spark, d).select("qid", F.lit(0).alias("stage"), "rank", "id", none.alias("name"), F.lit("curated").alias("type"))

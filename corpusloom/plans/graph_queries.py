@@ -163,7 +163,7 @@ def scored_pairs(spark, d, found=None):
     found = mentions(spark, d) if found is None else found
     placed = relations.placed_pairs(relations.in_sentences(_docs(spark, d), found))
     known = relations.with_known(placed, spark.createDataFrame(KNOWN, "head string, type string, tail string"), relations.schema_frame(spark))
-    rows = relations.pair_words(_docs(spark, d), known)
+    rows = written(relations.pair_words(_docs(spark, d), known), "pair-words")
     folder = tb.model_folder(spark, d, "relations", ["documents"])
     fit = lambda half: lambda: relations.distant_model(rows.where(relations.fold_of("doc_id") == half))
     return relations.cross_scored(rows, [classify.saved(f"{folder}/{half}", fit(half)) for half in (0, 1)])
