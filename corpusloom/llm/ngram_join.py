@@ -4,9 +4,11 @@ Documents with equal n-gram sets are one class. Classes that can have a partner
 prefix tokens; their sets, ordered by a global rarity order, are split into families that share a token of their
 necessary prefixes, so that no link crosses families. A family's sets are stored in a compressed trie; each set
 traverses it, sharing partial overlaps between sets with equal beginnings and pruning subtrees by remaining-length
-bounds. Families beyond BLOCK sets are cut in blocks of sets of similar size, and a set meets another block only if
-that block holds a token of its prefix and sets of fitting size, so no task holds an unbounded family. A task returns
-a forest of the links it found, never all pairs; components are then joined across tasks.
+bounds. Families beyond BLOCK sets are cut in blocks of sets of similar size, joined within. One set of each component
+found so far is then compared with the others', which makes a dense family one component; at last a set meets another
+block only if that block holds a token of its prefix in a set of fitting size and another component, so no task holds an
+unbounded family and near copies aren't copied to all blocks. A task returns a forest of the links it found, never all
+pairs; components are then joined across tasks.
 
 Words are compared by a keyed 64-bit digest, sets as a whole by 128 bits. Tokens that very many sets hold come last in
 the first order of tokens and count as shared where they are seen, so they are never gathered.
@@ -38,6 +40,8 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BLOCK = 512
 #: Tokens with at least this many sets may be known as hot; a task tells of this many at most, after each batch.
 HOT, TOLD = 64, 8192
+#: Rounds in which one set of each component found so far is compared, before the rest of a large family meets.
+HEADS = 2
 #: Salts over which the tokens of a large family are spread.
 SALTS = 16
 #: Tokens counted exactly for the rarity order: at most this many, those above an equal share of all occurrences.
@@ -428,15 +432,20 @@ def join_group(ids: np.ndarray, tokens: list[np.ndarray], rarity: Rarity, measur
     return [(int(ids[a]), int(ids[b])) for a, b in trie.links()]
 
 
-def _meetings(sets: DataFrame, placed: DataFrame, prefix_of) -> DataFrame:
-    """(component, a, b, at, rep): the groups in which each set of placed(rep, component, bucket, parts) is compared.
-
-    A family without parts is one group. In larger ones a block is a bucket of sizes and a hash; a set goes to its own
-    block's group and to the groups of its block with others that hold a token of its prefix in a fitting bucket.
-    """
+def _placed(family: DataFrame) -> DataFrame:
+    """family(component, bucket, rep) with the block `at` of each set: -1 in families of at most BLOCK sets, else the
+    bucket of its size and a hash, about BLOCK sets."""
+    sizes = family.groupBy("component", "bucket").agg(F.count("*").alias("some"))
+    whole = sizes.groupBy("component").agg(F.sum("some").alias("all"))
+    parts = sizes.join(whole, "component").where(F.col("all") > BLOCK).select("component", "bucket", F.ceil(F.col("some") / BLOCK).alias("parts"))
+    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large family has many members
+    placed = family.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(parts, ["component", "bucket", "salt"], "left")
     code = F.coalesce(F.shiftleft("bucket", 20) + F.pmod(F.xxhash64("rep"), F.col("parts")), F.lit(-1))
-    placed = placed.withColumn("at", code)
-    own = placed.select("component", F.col("at").alias("a"), F.col("at").alias("b"), "at", "rep")
+    return placed.select("component", "bucket", "rep", code.alias("at"))
+
+
+def _family_tokens(sets: DataFrame, large: DataFrame, prefix_of) -> DataFrame:
+    """(component, bucket, at, rep, token) of the prefix tokens of the sets of large families."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -445,14 +454,33 @@ def _meetings(sets: DataFrame, placed: DataFrame, prefix_of) -> DataFrame:
             columns = [pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("component", "bucket", "at", "rep")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.empty(0, np.int64), *held]))], names=["component", "bucket", "at", "rep", "token"])
 
-    large = sets.select("rep", "tokens").join(placed.where("parts IS NOT NULL"), "rep").select("component", "bucket", "at", "rep", "tokens")
-    rows = materialize(large.mapInArrow(explode, "component long, bucket long, at long, rep long, token long"), "family-tokens")
-    blocks = rows.select(F.col("component").alias("c"), F.col("token").alias("t"), F.col("bucket").alias("k"), F.col("at").alias("other")).distinct()
+    rows = sets.select("rep", "tokens").join(large, "rep").select("component", "bucket", "at", "rep", "tokens")
+    return materialize(rows.mapInArrow(explode, "component long, bucket long, at long, rep long, token long"), "family-tokens")
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows(rep, ...) with the component of each set by the links found so far, itself where it has none."""
+    linked = components(links.join(rows.select(F.col("rep").alias("u")).distinct(), "u", "left_semi")).toDF("node", "label")
+    out = rows.join(linked, rows.rep == linked.node, "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+    return materialize(out, "family-labels")
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """(component, bucket, rep): one set for each label of each token that has several labels."""
+    each = rows.groupBy("component", "token", "bucket", "label").agg(F.min("rep").alias("rep"))
+    several = each.groupBy("component", "token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("component", "token")
+    return each.join(several, ["component", "token"], "left_semi").select("component", "bucket", "rep").distinct()
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """(component, a, b, at, rep): the groups of two blocks in which each set of rows(component, bucket, at, rep, token, label)
+    is compared: its own block and each other that holds a token of its prefix, in a fitting bucket and with another label."""
+    blocks = rows.groupBy(F.col("component").alias("c"), F.col("token").alias("t"), F.col("bucket").alias("k"), F.col("at").alias("other")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
     blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mine = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     fits = (F.col("component") == F.col("c")) & (F.col("token") == F.col("t")) & (mine.salt == blocks.salt) & (F.abs(F.col("bucket") - F.col("k")) <= 1) & (F.col("at") != F.col("other"))
-    met = mine.join(blocks, fits).select("component", F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"), "at", "rep").distinct()
-    return own.unionByName(met)
+    fits &= (F.col("label") != F.col("low")) | (F.col("label") != F.col("high"))
+    return mine.join(blocks, fits).select("component", F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"), "at", "rep").distinct()
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, hot: Hot, text: str, n: int, measure: Measure) -> DataFrame:
@@ -475,12 +503,6 @@ def similar_classes(docs: DataFrame, classes: DataFrame, hot: Hot, text: str, n:
     edges = rows.repartition("token").sortWithinPartitions("token", "bucket", "u").mapInArrow(_family_edges, "u long, v long").distinct()
     family = components(edges).join(sets.select(F.col("rep").alias("node"), "bucket"), "node")
     family = materialize(family.select("component", "bucket", F.col("node").alias("rep")), "families")
-    sizes = family.groupBy("component", "bucket").agg(F.count("*").alias("some"))
-    whole = sizes.groupBy("component").agg(F.sum("some").alias("all"))
-    parts = sizes.join(whole, "component").where(F.col("all") > BLOCK).select("component", "bucket", F.ceil(F.col("some") / BLOCK).alias("parts"))
-    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large family has many members
-    placed = family.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(parts, ["component", "bucket", "salt"], "left").drop("salt")
-    member = _meetings(sets, placed, prefix_of).join(sets.select("rep", "tokens"), "rep").select("component", "a", "b", "at", "rep", "tokens")
 
     def join(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -488,8 +510,29 @@ def similar_classes(docs: DataFrame, classes: DataFrame, hot: Hot, text: str, n:
         found = join_group(group.column("rep").to_numpy(), [x.values.to_numpy() for x in group.column("tokens")], rarity.value, measure, None if a == b else group.column("at").to_numpy())
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    # written before components are found: one Python step a stage needs half the workers
-    return materialize(member.groupBy("component", "a", "b").applyInArrow(join, "u long, v long"), "links")
+    def compared(groups: DataFrame) -> DataFrame:
+        # written before components are found: one Python step a stage needs half the workers
+        member = groups.join(sets.select("rep", "tokens"), "rep").select("component", "a", "b", "at", "rep", "tokens")
+        return materialize(member.groupBy("component", "a", "b").applyInArrow(join, "u long, v long"), "links")
+
+    def inside(placed: DataFrame) -> DataFrame:
+        return compared(placed.select("component", F.col("at").alias("a"), F.col("at").alias("b"), "at", "rep"))
+
+    placed = materialize(_placed(family), "placed")
+    links, large = inside(placed), placed.where("at >= 0")
+    if large.isEmpty():
+        return links
+    # Blocks of a large family have their links. What they have in common is found first by one set of each component so
+    # far, as near copies are one component soon; then sets of different components meet, however many there are.
+    tokens = _family_tokens(sets, large, prefix_of)
+    rows = _labelled(tokens, links)
+    for _ in range(HEADS):
+        more = inside(_placed(_heads(rows)))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        rows = _labelled(tokens, links)
+    return links.unionByName(compared(_meetings(rows)))
 
 
 def ngram_classes(docs: DataFrame, columns: list[str], name: Column, text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:

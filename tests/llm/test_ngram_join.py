@@ -68,6 +68,33 @@ def test_components_match_brute_force(spark, monkeypatch, seed, block):
     assert got == brute(rows)
 
 
+def near_copies(n, seed=3):
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    for i in range(n):
+        words = list(base)
+        for _ in range(2):
+            words[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        yield i, " ".join(words)
+
+
+def test_dense_families_meet_in_proportion(spark, monkeypatch):
+    """Near copies of one text in many blocks: sets are compared in proportion to their number, not to its square."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    copies = {}
+    for n in (200, 800):
+        met = []
+        for name in ("_meetings", "_heads"):
+            monkeypatch.setattr(ngram_join, name, lambda rows, f=getattr(ngram_join, name): met.append((df := f(rows)).count()) or df)
+        rows = list(near_copies(n))
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+        monkeypatch.undo()
+        monkeypatch.setattr(ngram_join, "BLOCK", 20)
+        assert set(got.values()) == {0}
+        copies[n] = sum(met)
+    assert copies[800] <= 8 * copies[200] and copies[800] < 4 * 800, copies
+
+
 def test_hot_tokens_match_brute_force(spark, monkeypatch):
     """Tokens of three sets or more are hot, families of more than seven sets are cut, and rows come in many batches."""
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
