@@ -408,13 +408,15 @@ _PARQ = "pq AS (SELECT DISTINCT split_part(p_type, ' ', -1) AS param FROM part)"
 
 @query("Q1", f"{G}, {_SATQ} SELECT sat, satellite, product FROM sq JOIN provides ON contains(satellite, sat) OR contains(sat, satellite) QUALIFY row_number() OVER (PARTITION BY sat ORDER BY satellite, product) <= 10")
 def q1(spark, d):
-    return lookups.by_satellite(_sat_queries(spark, d), tb.provides(spark, d)).select("sat", "satellite", "product")
+    p = written(tb.provides(spark, d), "provides")  # its names are matched, then its edges joined
+    return lookups.by_satellite(_sat_queries(spark, d), p).select("sat", "satellite", "product")
 
 
 @query("Q2", f"{G}, {_SATQ}, {_PARQ} SELECT sat, param, satellite, product FROM sq, pq, provides JOIN measures USING (product) WHERE contains(satellite, sat) AND contains(name, param) QUALIFY row_number() OVER (PARTITION BY sat, param ORDER BY satellite, product, name) <= 10")
 def q2(spark, d):
     q = _sat_queries(spark, d).join(_params(spark, d), F.lit(True))
-    return lookups.by_satellite_and_parameter(q, tb.provides(spark, d), tb.measures(spark, d)).select("sat", "param", "satellite", "product")
+    p = written(tb.provides(spark, d), "provides")
+    return lookups.by_satellite_and_parameter(q, p, tb.measures(spark, d)).select("sat", "param", "satellite", "product")
 
 
 @query("Q3", f"""{G}, {_PARQ}, r AS (SELECT n_name AS region_q, region, product FROM nation JOIN covers ON contains(region, n_name) OR contains(n_name, region)), m AS (SELECT param, product FROM pq JOIN measures ON contains(name, param) OR contains(param, name)),
@@ -422,7 +424,8 @@ h AS (SELECT DISTINCT region_q, param, satellite, product, region FROM r JOIN m
 SELECT region_q, param, satellite, product FROM h QUALIFY row_number() OVER (PARTITION BY region_q, param ORDER BY satellite, product, region) <= 10""")
 def q3(spark, d):
     q = tb.table(spark, d, "nation").select(F.col("n_name").alias("region_q")).join(_params(spark, d), F.lit(True))
-    return lookups.by_region_and_parameter(q, tb.provides(spark, d), tb.covers(spark, d), tb.measures(spark, d)).select("region_q", "param", "satellite", "product")
+    c = written(tb.covers(spark, d), "covers")
+    return lookups.by_region_and_parameter(q, tb.provides(spark, d), c, tb.measures(spark, d)).select("region_q", "param", "satellite", "product")
 
 
 @query("Q4", f"{G}, {_PARQ} SELECT param, product, name AS parameter FROM pq JOIN measures ON contains(name, param) OR contains(param, name) QUALIFY row_number() OVER (PARTITION BY param ORDER BY product, name) <= 10")
