@@ -10,7 +10,9 @@ Every grouping pre-aggregates, and the graph is keyed by hashes of patterns and
 that a third of all rows share costs one row a task; joins on them are skew joins. Texts are never shuffled.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; repeated rows give
-repeated results; without seeds nothing is added; an empty table gives no rows.
+repeated results, and null and equal ids are judged like others; without seeds nothing is added; very long texts are
+searched whole, with offsets summed over their matches in blocks; columns other than the id and the text are left out; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

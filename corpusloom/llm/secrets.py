@@ -7,7 +7,9 @@ the regular expression. Rules without mandatory trigrams search every row. A seg
 verified where it lies, so no text is shuffled and a hot source or a group of copies is spread as the input is.
 
 Defined results: null and empty texts have no spans; rows keep their number, repeated rows give repeated results;
-spans are code points, end exclusive; of equal starts the rule listed first comes first.
+spans are code points, end exclusive; of equal starts the rule listed first comes first; null and equal ids are scanned
+like others; very long texts are indexed in pieces and searched whole; columns named like results are replaced, others
+stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from re import _parser as parser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, UPPER, prepare, table
@@ -217,20 +218,6 @@ def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str) -> st
     return "".join([*out, text[at:]])
 
 
-def index_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """The index as a table (trigram, keys): one row a trigram and segment, for storing and querying apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SegmentIndex(rules)
-        for b in batches:
-            found = index.postings([t.encode("utf-8", "surrogatepass") if t else b"" for t in b.column(text).to_pylist()])
-            keys = np.array(b.column(key).to_pylist(), dtype=object)
-            rows = [{"trigram": g.decode(), "keys": keys[found[:, i]].tolist()} for g, i in index.place.items() if found[:, i].any()]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("trigram", pa.string()), ("keys", pa.list_(pa.int64()))]))
-
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "trigram string, keys array<long>")
-
-
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     return find_secrets(docs).drop("text")

@@ -124,8 +124,8 @@ class MergeEncoder:
         return [s for s in symbols if s is not None]
 
     def _learn(self, new: list[str]) -> None:
-        """Merges new stretches and compares them with the library, whose ids stand where they differ; the dummy prefix of
-        the library is taken off again."""
+        """Merges new stretches and keeps the agenda's ids; where the library's differ, the library's stand and the stretch is
+        marked. The dummy prefix of the library is taken off again."""
         if self.prefix:
             lone = [x for x in new if x == SPACE or not x.startswith(SPACE)]
             headed = [x for x in new if x != SPACE and x.startswith(SPACE)]
@@ -137,9 +137,9 @@ class MergeEncoder:
         else:
             theirs = dict(zip(new, self.library.encode(new, num_threads=1), strict=True)) if new else {}
         for k, v in theirs.items():
-            own, v = self.merge(k), tuple(v)
-            self.known[k] = v
-            if own != v:
+            own = self.known[k] = self.merge(k)
+            if own != (v := tuple(v)):
+                self.known[k] = v
                 self.corrected.add(k)
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[list[int], str, bool]]:
@@ -224,4 +224,4 @@ def default_model() -> str:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     out = encode_texts(docs, default_model(), ids=False)
-    return out.select("doc_id", F.col("n_tokens"), "ids_sha256", "decoded_sha256")
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "corrected")

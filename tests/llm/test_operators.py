@@ -208,6 +208,11 @@ def test_tokens_match_the_library(spark, edge):
     assert sentencepieces.encode_texts(df.limit(0), model).count() == 0
 
 
+def test_the_agenda_needs_no_correction_on_the_whole_table(spark, sf_dir):
+    got = sentencepieces.op9_sentencepiece(spark, sf_dir)
+    assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and got.where("corrected").isEmpty()
+
+
 def test_library_stands_where_the_agenda_differs():
     e = sentencepieces.MergeEncoder(sentencepieces.default_model())
     texts = ["some words here", None, "other words"]
