@@ -156,23 +156,24 @@ class Seen:
 
 
 def _signatures(docs: DataFrame, columns: list[str], text: str, n: int) -> DataFrame:
-    """(columns, n, s1, s2) of every row, and (null, -1, token, count) of tokens that many sets of a task hold."""
+    """(columns, n, s1, s2, t) of every row, t a hash of its text, and (null, -1, token, count) of tokens that many sets of a
+    task hold."""
     kept = [T.StructField(f.name, f.dataType) for f in docs.select(*columns).schema.fields]
-    schema = T.StructType([*kept, *T.StructType.fromDDL("n long, s1 long, s2 long").fields])
+    schema = T.StructType([*kept, *T.StructType.fromDDL("n long, s1 long, s2 long, t long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, seen, kinds = Tally(), Seen(), None
         for b in batches:
-            sets = list(signed_sets(b.column(text).to_pylist(), n))
+            sets = list(signed_sets(b.column(len(columns)).to_pylist(), n))
             tally.add([s for s, *key in sets if len(s) and seen.new(tuple(key))])
-            old = [b.column(c) for c in columns]
+            old = b.columns[: len(columns)]
             kinds = [c.type for c in old]
-            yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, pa.int64()) for x in ([len(s) for s, _, _ in sets], [a for _, a, _ in sets], [b for _, _, b in sets]))], names=[*columns, "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, pa.int64()) for x in zip(*[(len(s), *key) for s, *key in sets], strict=True)), b.columns[-1]] if sets else [*old, *[b.columns[-1]] * 4], names=schema.names)
         if kinds is not None:
             k = len(tally.tokens)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds), pa.array(np.full(k, -1)), pa.array(tally.tokens.view(np.int64)), pa.array(tally.counts)], names=[*columns, "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds), pa.array(np.full(k, -1)), pa.array(tally.tokens.view(np.int64)), pa.array(tally.counts), pa.nulls(k, pa.int64())], names=schema.names)
 
-    return docs.select(*columns, text).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text), F.xxhash64(text)).mapInArrow(run, schema)
 
 
 class Hot:
@@ -252,19 +253,20 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _sets_of(docs: DataFrame, text: str, n: int, wanted: BitFilter, measure: Measure) -> DataFrame:
-    """(s1, s2, bucket, tokens) of sets that may be wanted; a task gives a set once."""
+    """(s1, s2, bucket, tokens) of the texts whose hash may be wanted, the only ones that are cut again; a task gives a set once."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for b in batches:
             rows = []
-            for s, *key in signed_sets(b.column(text).to_pylist(), n):
-                if len(s) and bits.value.has(np.array(key[:1]))[0] and seen.new(tuple(key)):
+            have = bits.value.has(b.column(1).to_numpy())
+            for s, *key in signed_sets(b.column(0).filter(pa.array(have)).to_pylist(), n):
+                if len(s) and seen.new(tuple(key)):
                     rows.append((*key, s.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(measure.bucket([len(r[2]) for r in rows]), pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["s1", "s2", "bucket", "tokens"])
 
-    return docs.select(text).mapInArrow(run, "s1 long, s2 long, bucket long, tokens array<long>")
+    return docs.select(F.col(text), F.xxhash64(text)).mapInArrow(run, "s1 long, s2 long, bucket long, tokens array<long>")
 
 
 class Rarity:
@@ -444,8 +446,8 @@ def _placed(family: DataFrame) -> DataFrame:
     return placed.select("component", "bucket", "rep", code.alias("at"))
 
 
-def _family_tokens(sets: DataFrame, large: DataFrame, prefix_of) -> DataFrame:
-    """(component, bucket, at, rep, token) of the prefix tokens of the sets of large families."""
+def _family_tokens(large: DataFrame, prefix_of) -> DataFrame:
+    """(component, bucket, at, rep, token) of the prefix tokens of the sets of large families, large(..., tokens)."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -454,8 +456,7 @@ def _family_tokens(sets: DataFrame, large: DataFrame, prefix_of) -> DataFrame:
             columns = [pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("component", "bucket", "at", "rep")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.empty(0, np.int64), *held]))], names=["component", "bucket", "at", "rep", "token"])
 
-    rows = sets.select("rep", "tokens").join(large, "rep").select("component", "bucket", "at", "rep", "tokens")
-    return materialize(rows.mapInArrow(explode, "component long, bucket long, at long, rep long, token long"), "family-tokens")
+    return materialize(large.mapInArrow(explode, "component long, bucket long, at long, rep long, token long"), "family-tokens")
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -484,15 +485,15 @@ def _meetings(rows: DataFrame) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, hot: Hot, text: str, n: int, measure: Measure) -> DataFrame:
-    """Links (u, v) between classes(s1, s2, n, rep), by rep: a forest with the components of all links."""
+    """Links (u, v) between classes(s1, s2, n, rep, t), t the hash of one of its texts, by rep: a forest with the components of all links."""
     spark = docs.sparkSession
     tokens = _prefix_tokens(docs, text, n, measure, hot).repartition("token").sortWithinPartitions("token", "s1")
     shared = tokens.mapInArrow(_shared_counts, "s1 long, n long").groupBy("s1").agg(F.sum("n").alias("shared"))
     least = F.ceil(F.col("n") * measure.percent / 100)
     alive = classes.join(shared, "s1").where(F.col("shared") >= 1 + F.floor(least * (100 - measure.percent) / 100))
-    alive = materialize(alive.select("s1", "s2", "rep"), "alive")
-    wanted = BitFilter.build(alive.select("s1"), alive.count())
-    sets = _sets_of(docs, text, n, wanted, measure).join(alive, ["s1", "s2"]).dropDuplicates(["rep"]).select("rep", "bucket", "tokens")
+    alive = materialize(alive.select("s1", "s2", "rep", "t"), "alive")
+    wanted = BitFilter.build(alive.select("t"), alive.count())
+    sets = _sets_of(docs, text, n, wanted, measure).join(alive.drop("t"), ["s1", "s2"]).dropDuplicates(["rep"]).select("rep", "bucket", "tokens")
     sets = materialize(sets, "sets")
     rarity = spark.sparkContext.broadcast(Rarity.count(sets.select(F.explode("tokens").alias("token"))))
 
@@ -510,29 +511,34 @@ def similar_classes(docs: DataFrame, classes: DataFrame, hot: Hot, text: str, n:
         found = join_group(group.column("rep").to_numpy(), [x.values.to_numpy() for x in group.column("tokens")], rarity.value, measure, None if a == b else group.column("at").to_numpy())
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    def compared(groups: DataFrame) -> DataFrame:
+    def compared(member: DataFrame) -> DataFrame:
         # written before components are found: one Python step a stage needs half the workers
-        member = groups.join(sets.select("rep", "tokens"), "rep").select("component", "a", "b", "at", "rep", "tokens")
-        return materialize(member.groupBy("component", "a", "b").applyInArrow(join, "u long, v long"), "links")
+        return materialize(member.select("component", "a", "b", "at", "rep", "tokens").groupBy("component", "a", "b").applyInArrow(join, "u long, v long"), "links")
+
+    def own(placed: DataFrame) -> DataFrame:
+        return placed.withColumns({"a": F.col("at"), "b": F.col("at")})
 
-    def inside(placed: DataFrame) -> DataFrame:
-        return compared(placed.select("component", F.col("at").alias("a"), F.col("at").alias("b"), "at", "rep"))
+    def some_of(groups: DataFrame) -> DataFrame:
+        """groups(component, a, b, at, rep) with their sets; only sets that some group may have are moved."""
+        groups = materialize(groups.select("component", "a", "b", "at", "rep"), "groups")
+        wanted = BitFilter.build(groups.select("rep"), groups.count())
+        return groups.join(large.select("rep", "tokens").where(wanted.column(spark, F.col("rep"))), "rep")
 
-    placed = materialize(_placed(family), "placed")
-    links, large = inside(placed), placed.where("at >= 0")
+    placed = materialize(sets.drop("bucket").join(_placed(family), "rep").select("component", "bucket", "at", "rep", "tokens"), "placed-sets")
+    links, large = compared(own(placed)), placed.where("at >= 0")
     if large.isEmpty():
         return links
     # Blocks of a large family have their links. What they have in common is found first by one set of each component so
     # far, as near copies are one component soon; then sets of different components meet, however many there are.
-    tokens = _family_tokens(sets, large, prefix_of)
+    tokens = _family_tokens(large, prefix_of)
     rows = _labelled(tokens, links)
     for _ in range(HEADS):
-        more = inside(_placed(_heads(rows)))
+        more = compared(some_of(own(_placed(_heads(rows)))))
         if more.isEmpty():
             break
         links = links.unionByName(more)
         rows = _labelled(tokens, links)
-    return links.unionByName(compared(_meetings(rows)))
+    return links.unionByName(compared(some_of(_meetings(rows))))
 
 
 def ngram_classes(docs: DataFrame, columns: list[str], name: Column, text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -541,7 +547,7 @@ def ngram_classes(docs: DataFrame, columns: list[str], name: Column, text: str =
     measure = Measure(percent)
     signed = materialize(_signatures(docs, columns, text, n), "signatures")
     hot, rows = Hot.of(signed), signed.where("n >= 0")
-    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(name).alias("name")).withColumn("rep", F.monotonically_increasing_id())
+    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(name).alias("name"), F.min("t").alias("t")).withColumn("rep", F.monotonically_increasing_id())
     classes = materialize(classes, "classes")  # numbers are fixed by writing them
     linked = materialize(components(similar_classes(docs, classes, hot, text, n, measure)), "linked-classes")
     named = least_names(linked, classes)

@@ -80,19 +80,19 @@ def near_copies(n, seed=3):
 
 def test_dense_families_meet_in_proportion(spark, monkeypatch):
     """Near copies of one text in many blocks: sets are compared in proportion to their number, not to its square."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
     copies = {}
-    for n in (200, 800):
+    for n in (100, 400):
         met = []
         for name in ("_meetings", "_heads"):
             monkeypatch.setattr(ngram_join, name, lambda rows, f=getattr(ngram_join, name): met.append((df := f(rows)).count()) or df)
         rows = list(near_copies(n))
         got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
         monkeypatch.undo()
-        monkeypatch.setattr(ngram_join, "BLOCK", 20)
+        monkeypatch.setattr(ngram_join, "BLOCK", 10)
         assert set(got.values()) == {0}
         copies[n] = sum(met)
-    assert copies[800] <= 8 * copies[200] and copies[800] < 4 * 800, copies
+    assert copies[400] <= 8 * copies[100] and copies[400] < 4 * 400, copies
 
 
 def test_hot_tokens_match_brute_force(spark, monkeypatch):
