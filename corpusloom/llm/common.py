@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +60,32 @@ def mix64(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+#: What this Python worker remembers from task to task, of one owner at a time.
+_kept: dict[tuple, object] = {}
+
+
+def remembered(owner: tuple, make: Callable[[], object]) -> object:
+    """What the worker keeps for the owner, made where it is missing.
+
+    A worker serves all operators of a session, such as a pipeline's stages. What other owners left is let go first, so it
+    needs the memory of one operator and not the sum of all.
+    """
+    if owner not in _kept:
+        forget()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def forget() -> None:
+    """Lets go what the worker remembers, and gives the memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can't
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Key of the words' digests, and different words that a worker remembers.
 KEY, WORDS = b"corpusloom words", 1 << 18
 
@@ -73,16 +103,13 @@ class _Places(dict):
         return n
 
 
-_places = _Places()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """Two independent 64-bit hashes (two rows) of the words: halves of a keyed digest, equal on every machine."""
-    global _places
-    if len(_places) > WORDS:
-        _places = _Places()
-    at = np.fromiter(map(_places.__getitem__, words), np.int64, len(words))
-    return np.ascontiguousarray(np.frombuffer(_places.raw, np.uint64).reshape(-1, 2)[at].T)
+    if len(places := remembered(("words",), _Places)) > WORDS:
+        forget()
+        places = remembered(("words",), _Places)
+    at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+    return np.ascontiguousarray(np.frombuffer(places.raw, np.uint64).reshape(-1, 2)[at].T)
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, materialize, prepare, table
+from .common import LOWER, UPPER, forget, materialize, prepare, table
 
 #: Words of the benchmark in one broadcast block.
 BLOCK = 500_000
@@ -106,6 +106,7 @@ def _document_counts(docs: DataFrame, windows, text: str) -> dict[tuple[int, int
     """Documents that hold each shingle of the block, by (words, code); at most one row a shingle is collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # this operator remembers nothing between tasks
         w = windows.value
         wanted = {k: np.unique(w.shingles(k)[at]) for k, at in _sizes(w).items()}
         total = {k: np.zeros(len(c), np.int64) for k, c in wanted.items()}
@@ -204,6 +205,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
         schema = out.schema if have else T.StructType([*out.schema.fields, *T.StructType.fromDDL(kinds).fields])
 
         def run(batches: Iterator[pa.RecordBatch], windows=windows, prefixes=prefixes, have=have) -> Iterator[pa.RecordBatch]:
+            forget()
             w, p = windows.value, prefixes.value
             for b in batches:
                 rows: dict[str, list] = {k: [] for k in added}

@@ -83,7 +83,7 @@ class Measure:
         return 100 * overlap >= self.percent * (a + b - overlap)
 
 
-def _gram_hashes(texts: list[str | None], n: int, at_once: int = 500_000) -> Iterator[np.ndarray]:
+def _gram_hashes(texts: list[str | None], n: int, at_once: int = 50_000) -> Iterator[np.ndarray]:
     """Two hashes (rows) of each text's n-grams; words are parted by ASCII blanks, A-Z are lower-cased.
 
     The n-grams of many texts are hashed at once; those that would join two texts are passed over.

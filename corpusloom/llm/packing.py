@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import prepare, table
+from .common import prepare, remembered, table
 
 #: Tokens of a sequence, windows that are packed together, and the id that ends a document.
 CAPACITY, WINDOWS, END = 2048, 512, 1
@@ -169,14 +169,9 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, STRETCHES.findall(text))) + self.end
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def _encoder(file: str, end: int) -> Encoder:
-    """The worker's encoder: what it remembers serves all tasks."""
-    if (file, end) not in _encoders:
-        _encoders[file, end] = Encoder(file, end)
-    return _encoders[file, end]
+    """The worker's encoder: what it remembers serves all tasks, until another operator needs the memory."""
+    return remembered(("packing", file, end), lambda: Encoder(file, end))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, windows: int = WINDOWS, ids: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, prepare, table
+from .common import LOWER, UPPER, forget, prepare, table
 
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Most alternatives kept while a rule's strings are spelled out, and the largest class that is spelled out.
@@ -190,6 +190,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES,
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, T.LongType()) for n in names[:-2]), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # this operator remembers nothing between tasks
         index, compiled = SegmentIndex(rules), [re.compile(r.pattern) for r in rules]
         own = {k: r.kind for k, r in enumerate(rules) if r in base}
         for b in batches:

@@ -17,14 +17,13 @@ import hashlib
 import heapq
 import itertools
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, table
+from .common import prepare, remembered, table
 
 SPACE = "▁"
 #: Stretches in each of the two generations that a Python worker keeps; only speed depends on it.
@@ -180,9 +179,9 @@ class MergeEncoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def encoder(model_file: str) -> MergeEncoder:
-    return MergeEncoder(model_file)
+    """The worker's encoder: what it remembers serves all tasks, until another operator needs the memory."""
+    return remembered(("sentencepieces", model_file), lambda: MergeEncoder(model_file))
 
 
 def encode_texts(docs: DataFrame, model_file: str, text: str = "text", ids: bool = True, decoded: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, prepare, table
+from .common import forget, materialize, prepare, table
 
 #: Labelled rows that a model is fitted on, and features that it may use.
 SAMPLE, FEATURES = 12_000, 4096
@@ -80,6 +80,7 @@ def select_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     """Features whose presence leans to toxic texts by at least FAR standard errors, the farthest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             seen: dict[str, list[int]] = {}
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
@@ -165,6 +166,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([*kept.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # this operator remembers nothing between tasks
         for b in batches:
             got = [model.score(x) for x in b.column(text).to_pylist()]
             columns = [pa.array([round(s, 6) for s, _ in got], pa.float64()), pa.array([round(s) for s, _ in got], pa.int32()), pa.array([p >= 0.5 for _, p in got], pa.bool_())]
