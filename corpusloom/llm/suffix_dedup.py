@@ -39,7 +39,7 @@ from .common import BitFilter, fresh, materialize, mix64, prepare, table
 LENGTH, GRAM = 200, 48
 BEFORE = LENGTH - GRAM  # the farthest that a string starts before its anchor
 #: Occurrences of an anchor that one task may gather, anchors it resolves at once, and bytes it hashes at once.
-CROWD, AT_ONCE, CHUNK = 40_000, 8_000, 2 << 20
+CROWD, AT_ONCE, CHUNK = 40_000, 8_000, 1 << 17
 #: Anchors that may be known to all tasks as crowded, at most; in larger inputs the crowd grows to keep to this.
 CROWDED = 100_000
 #: Parts into which an open range of offsets is cut, and salts over which common strings are spread.
@@ -75,9 +75,9 @@ def text_key(b: bytes) -> bytes:
     return hashlib.blake2b(b, digest_size=16).digest()
 
 
-def _least_in_window(x: np.ndarray, w: int) -> np.ndarray:
-    """Of each w consecutive values, the place of the leftmost least one; w is at most 256."""
-    at, h = np.zeros(len(x), np.uint8), 1
+def _doubled(x: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
+    """Of each w consecutive values, at most 256, the place of the leftmost least one after the first."""
+    h = 1
 
     def joined(x: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
         right = x[step:] < x[:-step]
@@ -88,7 +88,33 @@ def _least_in_window(x: np.ndarray, w: int) -> np.ndarray:
         h *= 2
     if w > h:
         x, at = joined(x, at, w - h)
-    return np.arange(len(x)) + at
+    return at
+
+
+def _least_in_window(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, place): of each w consecutive values from those at `first` up to the next ones, the leftmost least stands at `place`.
+
+    It changes only where the one before is left behind, which is looked for again, or a lesser value comes in.
+    """
+    least, h = x, 1
+    while 2 * h <= w:
+        least = np.minimum(least[:-h], least[h:])
+        h *= 2
+    if w > h:
+        least = np.minimum(least[: h - w], least[w - h :])
+    gone = np.ones(len(least), bool)
+    gone[1:] = x[: len(least) - 1] == least[:-1]
+    new = gone.copy()
+    new[1:] |= least[1:] < least[:-1]
+    first, again = np.flatnonzero(new), np.flatnonzero(gone)
+    place = first + w - 1
+    windows = np.lib.stride_tricks.sliding_window_view(x, w)
+    if 8 * len(again) > len(least):  # very repetitive
+        found = again + _doubled(x, np.zeros(len(x), np.uint8), w)[again]
+    else:
+        found = again + np.concatenate([np.empty(0, np.int64), *(windows[again[i : i + 1024]].argmin(1) for i in range(0, len(again), 1024))])
+    place[gone[first]] = found
+    return first, place
 
 
 def _chunks(texts: list[bytes], chunk: int) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -121,12 +147,13 @@ def anchors(texts: list[bytes], chunk: int = CHUNK, bits: int = 64) -> dict[str,
         starts = np.concatenate([[0], np.cumsum([high - low for _, low, high, _ in part])])
         prefix = prefix_hashes(data)
         gram = mix64((prefix[GRAM:] - prefix[:-GRAM]) * inverse[: len(data) - GRAM + 1]) & mask
-        least = _least_in_window(gram, BEFORE + 1)
-        edge = np.zeros(len(least) + 1, np.int32)
-        np.add.at(edge, starts[:-1], 1)
-        np.add.at(edge, np.minimum(np.maximum(starts[1:] - LENGTH + 1, starts[:-1]), len(least)), -1)
-        inside = np.cumsum(edge)[:-1] > 0  # strings that lie in one text
-        x = np.flatnonzero(np.bincount(least[inside], minlength=len(gram)))
+        first, place = _least_in_window(gram, BEFORE + 1)
+        begin, end = starts[:-1], np.minimum(np.maximum(starts[1:] - LENGTH + 1, starts[:-1]), len(gram) - BEFORE)  # strings that lie in one text
+        held = np.cumsum(end - begin)
+        k = np.searchsorted(begin, first, "right") - 1
+        before = held[k] - np.maximum(end[k] - first, 0)  # strings of one text before the window
+        x = place[np.diff(before, append=held[-1]) > 0]
+        x = x[_starts(x)]
         k = np.searchsorted(starts, x, "right") - 1
         low = np.array([p[1] for p in part])[k]
         core = np.array([p[3] for p in part])[k]

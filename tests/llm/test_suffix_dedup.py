@@ -102,3 +102,14 @@ def test_hash_compared_sort():
     a, b = r.integers(0, len(rows), (2, 300))
     lcp = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
     assert s.verified(a, b).tolist() == [lcp(rows[i], rows[j]) for i, j in zip(a, b)]
+
+
+@pytest.mark.parametrize("values", [2**63, 40, 3, 1])
+@pytest.mark.parametrize("w", [1, 2, 7, 153])
+def test_places_of_least_values_change_only_where_they_are_told(values, w):
+    rng = np.random.default_rng(values % 1000 + w)
+    for n in (w, w + 1, w + 40, 2000):
+        x = rng.integers(0, values, n, np.uint64)
+        first, place = sd._least_in_window(x, w)
+        want = [i + int(x[i : i + w].argmin()) for i in range(n - w + 1)]
+        assert np.repeat(place, np.diff(first, append=len(want))).tolist() == want
