@@ -23,6 +23,7 @@ import zlib
 from array import array
 from collections import namedtuple
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,20 @@ from .common import prepare, remembered, table
 #: Tokens of a sequence, windows that are packed together, and the id that ends a document.
 CAPACITY, WINDOWS, END = 2048, 512, 1
 #: Stretches that a worker remembers; as many again are kept from before.
-KNOWN = 1 << 18
-#: How a byte-level vocabulary parts a text before it merges; stretches don't influence each other.
-STRETCHES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+KNOWN = 1 << 19
+
+
+def _class(pattern: str) -> str:
+    """The characters below 65,536 that match, as ranges: re looks them up in a table and asks nothing of each."""
+    places = np.array([m.start() for m in re.finditer(pattern, "".join(map(chr, range(1 << 16))))])
+    runs = np.split(places, np.flatnonzero(np.diff(places) > 1) + 1)
+    return "".join(f"\\u{r[0]:04x}-\\u{r[-1]:04x}" for r in runs)
+
+
+_LETTER, _DIGIT, _SPACE = _class(r"[^\W\d_]"), _class(r"\d"), _class(r"\s")
+#: How a byte-level vocabulary parts a text before it merges; stretches don't influence each other. All characters are in
+#: some stretch; letters and digits beyond 65,535 count as signs, which the library tells otherwise (`Encoder._same_class`).
+STRETCHES = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_DIGIT}]+| ?[^{_LETTER}{_DIGIT}{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 Piece = namedtuple("Piece", "doc start length")
 OUT = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
@@ -127,11 +139,16 @@ def _letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
+class Unlike(Exception):
+    """A stretch has a character that library and pattern class differently."""
+
+
 class Encoder(dict):
     """Ids of texts as little-endian unsigned 32-bit bytes, by a tokenizers file with a byte-level vocabulary.
 
     The library merges every new stretch; stretches are remembered in two generations. A text with a special token or a
     character that library and pattern class differently goes to the library whole, as do all texts of other vocabularies.
+    Characters are looked at in new stretches alone.
     """
 
     def __init__(self, file: str, end: int):
@@ -144,6 +161,7 @@ class Encoder(dict):
         self.merge, self.letters = self.library.model.tokenize, _letters()
         self.old: dict[str, bytes] = {}
         self.alike: dict[str, bool] = {}
+        self.fine: set[str] = set()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def __missing__(self, stretch: str) -> bytes:
@@ -151,6 +169,8 @@ class Encoder(dict):
             self.old = dict(self)
             self.clear()
         if (x := self.old.get(stretch)) is None:
+            if not self.fine.issuperset(stretch) and not all(map(self._same_class, stretch)):
+                raise Unlike
             x = array("I", [t.id for t in self.merge(stretch.encode().decode("latin-1").translate(self.letters))]).tobytes()
         self[stretch] = x
         return x
@@ -161,12 +181,18 @@ class Encoder(dict):
             tests = [x for o in ("a", "1", "!", " ") for x in (o + c, c + o)]
             parts = lambda t: [b - a for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(t)]
             known = self.alike[c] = all(parts(t) == [len(s) for s in STRETCHES.findall(t)] for t in tests)
+            if known:
+                self.fine.add(c)
         return known
 
     def ids(self, text: str) -> bytes:
-        if not self.parted or any(s in text for s in self.special) or not all(map(self._same_class, set(text))):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        return b"".join(map(self.__getitem__, STRETCHES.findall(text))) + self.end
+        if self.parted and not any(s in text for s in self.special):
+            parts = STRETCHES.findall(text)
+            try:
+                return b"".join(itemgetter(*parts)(self) if len(parts) > 1 else map(self.__getitem__, parts)) + self.end
+            except Unlike:
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
 
 
 def _encoder(file: str, end: int) -> Encoder:

@@ -1,6 +1,7 @@
 """Packing: every id lies in one piece, sequences are full or powers of two, ids are the library's."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -119,3 +120,18 @@ def test_other_vocabularies(spark):
     file = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack_documents(spark.createDataFrame([(1, "Some  WORDS, here")], "doc_id long, text string"), file, ids=True).collect()
     assert sum((r["ids"] for r in sorted(got, key=lambda r: r["start"])), []) == Tokenizer.from_file(file).encode("Some  WORDS, here", add_special_tokens=False).ids + [1]
+
+
+def test_characters_are_parted_by_their_class_and_looked_at_once(monkeypatch):
+    plain = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    every = "".join(chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000)
+    mixed = every + "".join(f"{c} {c}'s{c}1{c}" for c in every[:3000])
+    assert packing.STRETCHES.findall(mixed) == plain.findall(mixed)
+    encoder = packing.Encoder(packing.default_tokenizer(), 1)
+    texts = ["a 𝐀b 𝟗1", "😀 it's 12…", "x² \x1c y", "", " ", "é  à\n\n b"]
+    texts += ["".join(random.Random(i).choices("ab1! \n\té's_²\x1c日٣𝐀😀", k=12)) for i in range(300)]
+    want = [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + encoder.end for t in texts]
+    assert [encoder.ids(t) for t in texts] == want
+    known = encoder.ids("known words, 12 of them")
+    monkeypatch.setattr(packing.Encoder, "_same_class", lambda self, c: 1 / 0)
+    assert encoder.ids("known words, 12 of them") == known
