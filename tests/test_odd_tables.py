@@ -1,5 +1,8 @@
 """Registered queries against their SQL on small tables of odd rows."""
 
+import hashlib
+from itertools import combinations
+
 import duckdb
 import pandas as pd
 import pytest
@@ -33,3 +36,10 @@ def test_language_profiles_read_all_texts(spark, against_sql):
     rows += [(9000 + i, t, lang) for i, t in enumerate(odd) for lang in ["el"]] + [(9100 + i, f"none{i} zz zz", None) for i in range(40)] + [(9200, "pqpq", "fr"), (9201, "zz zz", "fr")]
     got = against_sql("T7", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(got["language"]) >= {"en", "de", "el"}
+
+def test_every_text_with_a_mark_has_a_vector_of_unit_length(spark, against_sql):
+    h = lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+    a, b = next((a, b) for a, b in combinations([f"w{i}" for i in range(200)], 2) if h(a) % 256 == h(b) % 256 and h(a) >> 63 != h(b) >> 63)
+    texts = [f"{a} {b}", f"{a} {b} " * 3, a, "\x0b", "\u00a0 \u3000", "\x1c\n", " \t\r\n\f", "", None, "word"]
+    got = against_sql("I3", documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert list(got.sort_values("doc_id")["norm"]) == ["1.0"] * 6 + ["0.0"] * 3 + ["1.0"]
