@@ -423,9 +423,11 @@ def q2(spark, d):
 h AS (SELECT DISTINCT region_q, param, satellite, product, region FROM r JOIN m USING (product) JOIN provides USING (product))
 SELECT region_q, param, satellite, product FROM h QUALIFY row_number() OVER (PARTITION BY region_q, param ORDER BY satellite, product, region) <= 10""")
 def q3(spark, d):
-    q = tb.table(spark, d, "nation").select(F.col("n_name").alias("region_q")).join(_params(spark, d), F.lit(True))
-    c = written(tb.covers(spark, d), "covers")
-    return lookups.by_region_and_parameter(q, tb.provides(spark, d), c, tb.measures(spark, d)).select("region_q", "param", "satellite", "product")
+    names = tb.table(spark, d, "nation").select(F.col("n_name").alias("region_q"))
+    q = names.join(_params(spark, d), F.lit(True))
+    r = lookups.matching(names.withColumnRenamed("region_q", "region"), names, "region", "region_q")  # of nations' names, before edges are made
+    s = tb.table(spark, d, "supplier").select(F.col("s_name").alias("satellite"))
+    return lookups.by_region_and_parameter(q, tb.provides(spark, d), tb.covers(spark, d), tb.measures(spark, d), regions=r, satellites=s).select("region_q", "param", "satellite", "product")
 
 
 @query("Q4", f"{G}, {_PARQ} SELECT param, product, name AS parameter FROM pq JOIN measures ON contains(name, param) OR contains(param, name) QUALIFY row_number() OVER (PARTITION BY param ORDER BY product, name) <= 10")

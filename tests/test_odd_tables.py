@@ -1,12 +1,14 @@
 """Registered queries against their SQL on small tables of odd rows."""
 
 import hashlib
+import random
 from itertools import combinations
 
 import duckdb
 import pandas as pd
 import pytest
 
+from corpusloom.operators import lookups
 from corpusloom.plans import registry
 from tests.test_queries import canonical
 
@@ -43,3 +45,46 @@ def test_every_text_with_a_mark_has_a_vector_of_unit_length(spark, against_sql):
     texts = [f"{a} {b}", f"{a} {b} " * 3, a, "\x0b", "\u00a0 \u3000", "\x1c\n", " \t\r\n\f", "", None, "word"]
     got = against_sql("I3", documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert list(got.sort_values("doc_id")["norm"]) == ["1.0"] * 6 + ["0.0"] * 3 + ["1.0"]
+
+
+def _rows_made(plan):
+    """The rows that each step of a plan has made; stages of an adaptive plan are looked into."""
+    kind = plan.getClass().getSimpleName()
+    rows = plan.metrics().get("numOutputRows")
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return ([rows.get().value()] if rows.isDefined() else []) + [n for p in inner for n in _rows_made(p)]
+
+
+def test_region_and_parameter_makes_few_hits(spark):
+    """All satellites provide all products, and these cover all regions: 800,000 hits, of which 10 a query are asked for."""
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    provides = frame([(f"s{s:03}", f"p{p:03}") for s in range(200) for p in range(200)], "satellite string, product string")
+    covers = frame([(f"p{p:03}", f"R{r:02}") for p in range(200) for r in range(20)], "product string, region string")
+    measures = frame([(f"p{p:03}", "tin") for p in range(200)], "product string, name string")
+    queries = frame([(f"R{r:02}", "tin") for r in range(20)], "region_q string, param string")
+    out = lookups.by_region_and_parameter(queries, provides, covers, measures)
+    got = out.collect()
+    assert sorted((r["region_q"], r["satellite"], r["product"], r["rank"]) for r in got) == [(f"R{r:02}", "s000", f"p{p:03}", p + 1) for r in range(20) for p in range(10)]
+    assert 200 <= max(_rows_made(out._jdf.queryExecution().executedPlan())) <= 40_000
+
+
+def test_region_and_parameter_by_first_satellites(spark):
+    """Queries answered by the first satellites and those that need all agree with plain loops: names that contain one another,
+    products of several parameters, repeated edges, and queries with few hits or none."""
+    rng = random.Random(5)
+    pick = lambda xs, k: sorted(rng.sample(xs, k))
+    sats, products, regions, names = [f"S{i:02}" for i in range(30)], [f"p{i}" for i in range(60)], ["N1", "N11", "N12", "N2", "N3"], ["tin", "tin foil", "steel", "rare"]
+    provides = [(s, p) for p in products[:50] for s in pick(sats[8:] if p in products[:20] else sats, rng.randrange(1, 12))]
+    covers = [(p, r) for p in products for r in pick(regions[:4], rng.randrange(1, 4))] + [("p21", "N3"), ("p22", "N3")]
+    measures = [(p, m) for p in products for m in pick(names[:3], rng.randrange(1, 3))] + [("p3", "rare")]
+    queries = [(r, m) for r in [*regions, "N", "none"] for m in [*names, "t", "lead"]]
+    either = lambda a, b: a in b or b in a
+    want = []
+    for q, m in queries:
+        hits = {(s, p, r) for p, r in covers if either(r, q) for x, name in measures if x == p and either(name, m) for s, y in provides if y == p}
+        want += [(q, m, *h, i + 1) for i, h in enumerate(sorted(hits)[:10])]
+    frame = lambda rows, names: spark.createDataFrame([*rows, *rows[:9]], names)
+    tables = frame(queries, "region_q string, param string"), frame(provides, "satellite string, product string"), frame(covers, "product string, region string"), frame(measures, "product string, name string")
+    for more in ({}, {"satellites": tables[1], "first": 1}, {"satellites": tables[1], "first": 6}, {"satellites": tables[1], "first": 99}):
+        got = lookups.by_region_and_parameter(*tables, **more).select("region_q", "param", "satellite", "product", "region", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
