@@ -5,10 +5,11 @@ import random
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from corpusloom.operators import lookups
+from corpusloom.operators import lookups, retrieval
 from corpusloom.plans import registry
 from tests.test_queries import canonical
 
@@ -47,12 +48,12 @@ def test_every_text_with_a_mark_has_a_vector_of_unit_length(spark, against_sql):
     assert list(got.sort_values("doc_id")["norm"]) == ["1.0"] * 6 + ["0.0"] * 3 + ["1.0"]
 
 
-def _rows_made(plan):
-    """The rows that each step of a plan has made; stages of an adaptive plan are looked into."""
+def _rows_made(plan, of=""):
+    """The rows that each step of a plan, or each of one kind, has made; stages of an adaptive plan are looked into."""
     kind = plan.getClass().getSimpleName()
     rows = plan.metrics().get("numOutputRows")
     inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
-    return ([rows.get().value()] if rows.isDefined() else []) + [n for p in inner for n in _rows_made(p)]
+    return ([rows.get().value()] if rows.isDefined() and kind.startswith(of) else []) + [n for p in inner for n in _rows_made(p, of)]
 
 
 def test_region_and_parameter_makes_few_hits(spark):
@@ -88,3 +89,18 @@ def test_region_and_parameter_by_first_satellites(spark):
     for more in ({}, {"satellites": tables[1], "first": 1}, {"satellites": tables[1], "first": 6}, {"satellites": tables[1], "first": 99}):
         got = lookups.by_region_and_parameter(*tables, **more).select("region_q", "param", "satellite", "product", "region", "rank").collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_rows_of_a_cell_are_moved_once(spark):
+    """20,000 queries and 5,000 vectors of one cell: every row is sent to one task, and the ranking is that of one product."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(5000, 8)).astype(np.float32), rng.normal(size=(20_000, 8)).astype(np.float32)
+    v = spark.createDataFrame(pd.DataFrame({"id": range(5000), "embedding": x.tolist()}), "id long, embedding array<float>")
+    q = spark.createDataFrame(pd.DataFrame({"qid": range(20_000), "embedding": y.tolist()}), "qid long, embedding array<float>")
+    out = retrieval.nearest(q, v, 3, centroids=np.ones((1, 8)) / 8**0.5)
+    got = {(r["qid"], r["rank"]): (r["id"], r["score"]) for r in out.collect()}
+    unit = lambda m: m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    s = np.round(unit(y[::40]) @ unit(x).T, 6)
+    want = {(int(n) * 40, k + 1): (int(i), row[i]) for n, row in enumerate(s) for k, i in enumerate(np.lexsort((np.arange(5000), -row))[:3])}
+    assert len(got) == 60_000 and all(got[k][0] == i and abs(got[k][1] - w) < 1e-6 for k, (i, w) in want.items())
+    assert sum(_rows_made(out._jdf.queryExecution().executedPlan(), "Generate")) == 25_000
